@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.llm.chat_format import format_chat, read_turns, unescape
 from tessera.llm.lattice_dedup import lattice_links
 from tessera.llm.polytope_search import search
+from tessera.llm.shingle_join import shingle_links
+from tessera.llm.substring_dedup import dedup_substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +22,15 @@ def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_links(_read(spark, sf_dir, "embeddings"))
 
 
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_links(_read(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = dedup_substrings(_read(spark, sf_dir, "documents"))
+    return told.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
@@ -43,6 +54,8 @@ def op10_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_dedup": op1_lattice_dedup,
+    "op5_shingle_join": op5_shingle_join,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_polytope_search": op10_polytope_search,
 }
