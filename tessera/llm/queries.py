@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.chat_format import format_chat, read_turns, unescape
 from tessera.llm.lattice_dedup import lattice_links
+from tessera.llm.packing import pack
 from tessera.llm.polytope_search import search
 from tessera.llm.shingle_join import shingle_links
 from tessera.llm.substring_dedup import dedup_substrings
@@ -22,6 +24,18 @@ def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_links(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), output="crc32").withColumnRenamed("ids", "ids_crc32")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, output="digest")
+
+
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_links(_read(spark, sf_dir, "documents"))
 
@@ -54,6 +68,8 @@ def op10_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_dedup": op1_lattice_dedup,
+    "op2_packing": op2_packing,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_shingle_join": op5_shingle_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_chat_format": op9_chat_format,
