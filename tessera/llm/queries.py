@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.chat_format import format_chat, read_turns, unescape
+from tessera.llm.html_text import main_text
 from tessera.llm.lattice_dedup import lattice_links
 from tessera.llm.packing import pack
 from tessera.llm.polytope_search import search
@@ -45,6 +46,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = main_text(_read(spark, sf_dir, "pages"))
+    return told.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_shingle_join": op5_shingle_join,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_html_text": op7_html_text,
     "op9_chat_format": op9_chat_format,
     "op10_polytope_search": op10_polytope_search,
 }
