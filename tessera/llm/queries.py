@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import ngram_lm
+from tessera.llm._store import Kept
 from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.chat_format import format_chat, read_turns, unescape
 from tessera.llm.html_text import main_text
@@ -51,6 +53,19 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def _fifth(id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = ngram_lm.fit(docs.where(_fifth() != 1))
+    scores = Kept(spark).put(ngram_lm.score(docs, model), "scores")
+    ngram_lm.delete_model(spark, model)
+    return scores.select("doc_id", (_fifth() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
@@ -79,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_shingle_join": op5_shingle_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_html_text": op7_html_text,
+    "op8_ngram_lm": op8_ngram_lm,
     "op9_chat_format": op9_chat_format,
     "op10_polytope_search": op10_polytope_search,
 }
