@@ -15,6 +15,7 @@ from tessera.llm.html_text import main_text
 from tessera.llm.lattice_dedup import lattice_links
 from tessera.llm.packing import pack
 from tessera.llm.polytope_search import search
+from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.shingle_join import shingle_links
 from tessera.llm.substring_dedup import dedup_substrings
 
@@ -23,6 +24,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fifth(id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
+
+
 def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_links(_read(spark, sf_dir, "embeddings"))
 
@@ -39,6 +45,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, output="digest")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels.where(fifth() != 0))
+    told = score_quality(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", (fifth() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_links(_read(spark, sf_dir, "documents"))
 
@@ -53,17 +66,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def _fifth(id_col: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
-
-
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    model = ngram_lm.fit(docs.where(_fifth() != 1))
+    model = ngram_lm.fit(docs.where(fifth() != 1))
     scores = Kept(spark).put(ngram_lm.score(docs, model), "scores")
     ngram_lm.delete_model(spark, model)
-    return scores.select("doc_id", (_fifth() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores.select("doc_id", (fifth() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_dedup": op1_lattice_dedup,
     "op2_packing": op2_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality": op4_quality,
     "op5_shingle_join": op5_shingle_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_html_text": op7_html_text,

@@ -19,6 +19,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,7 +213,7 @@ class FingerprintIndex:
         return out
 
 
-def _keep(window: int):
+def _keep(window: int, verbatim: bool):
     def run(batches):
         for batch in batches:
             for first, part in pieces(batch.column("text")):
@@ -247,19 +248,25 @@ def _keep(window: int):
                 raw[gap] = 0x20
                 size = np.concatenate([[0], np.cumsum(mask)])[words.offsets].astype(np.int32)
                 text = pa.StringArray.from_buffers(n, pa.py_buffer(size.tobytes()), pa.py_buffer(raw[mask].tobytes()))
+                if verbatim:
+                    text = pc.if_else(pa.array(removed > 0), text, part)
                 rows = batch.slice(first, n)
-                keep = [rows.column(i) for i, name in enumerate(rows.schema.names) if name not in ("text", "spans", "_id")]
+                names = [x for x in rows.schema.names if x not in ("text", "spans")]
                 yield pa.RecordBatch.from_arrays(
-                    [*keep, pa.array(np.diff(of).astype(np.int64)), pa.array(removed.astype(np.int64)), text],
-                    names=[x for x in rows.schema.names if x not in ("text", "spans", "_id")] + ["n_words", "n_removed", "kept_text"],
+                    [*(rows.column(x) for x in names), pa.array(np.diff(of).astype(np.int64)), pa.array(removed.astype(np.int64)), text],
+                    names=[*names, "n_words", "n_removed", "kept_text"],
                 )
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batches: int = 2) -> DataFrame:
-    """(id, n_words, n_removed, kept_text) for every row: each word is removed that is covered by a window whose word
-    sequence also starts in a document with a smaller id; ``kept_text`` joins the words left by one space.
+def dedup_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batches: int = 2,
+    columns: tuple[str, ...] = (), verbatim: bool = False,
+) -> DataFrame:
+    """(id, ``columns``, n_words, n_removed, kept_text) for every row: each word is removed that is covered by a window whose word
+    sequence also starts in a document with a smaller id; ``kept_text`` joins the words left by one
+    space; with ``verbatim`` a text that loses no word stays as it is.
 
     The documents go through a FingerprintIndex in ``batches`` ranges of ids, smallest first. Words are
     ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined cases: null text has no words; texts of less than a window lose none; rows with
@@ -267,7 +274,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep what they share; an empty table gives an empty result; extra columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_key"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
+    passed = [id_col, *columns]
+    rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(passed)), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
     cuts = sorted(set(rows.where("_id is not null").approxQuantile("_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     index = FingerprintIndex(spark, window)
     spans = None
@@ -279,6 +287,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         spans = found if spans is None else spans.unionByName(found)
     index.close()
     by_id = spans.groupBy("id").agg(F.collect_list(F.struct("variant", "whole", "starts")).alias("spans"))
-    joined = rows.join(by_id, rows._id == by_id.id, "left").select("_key", "_id", "text", "spans")
-    kind = dict(docs.dtypes)[id_col]
-    return joined.mapInArrow(_keep(window), f"_key {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("_key", id_col)
+    own = [f"_{i}" for i in range(len(passed))]
+    joined = rows.join(by_id, rows._id == by_id.id, "left").select(*own, "text", "spans")
+    shape = "".join(f"{c} {dict(docs.dtypes)[name]}, " for c, name in zip(own, passed)) + "n_words long, n_removed long, kept_text string"
+    out = joined.mapInArrow(_keep(window, verbatim), shape)
+    return out.select(*(F.col(c).alias(name) for c, name in zip(own, passed)), "n_words", "n_removed", "kept_text")
