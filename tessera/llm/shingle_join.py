@@ -200,7 +200,8 @@ def shingle_links(
     there = kept.put(member.select("tree", "node", F.col("chunk").alias("other")).distinct(), "there")
     pair = member.join(there, ["tree", "node"]).select("rep", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb")).distinct()
     units = kept.put(pair.join(chunks, "rep"), "units")
-    shipped = units.join(base, units.rep == base.id).select("ca", "cb", "rep", "k1", "copies", "chunk", "text").repartition("ca", "cb").sortWithinPartitions("ca", "cb")
+    # always by a sort-merge join: the units grow with the corpus, so they are never broadcast
+    shipped = units.hint("merge").join(base, units.rep == base.id).select("ca", "cb", "rep", "k1", "copies", "chunk", "text").repartition("ca", "cb").sortWithinPartitions("ca", "cb")
     found = kept.put(shipped.mapInArrow(_verifier(n, threshold), "rep long, links long, root long"), "links")
     kept.drop(met, member, there, chunks, groups, units)
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
