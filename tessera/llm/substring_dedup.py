@@ -15,8 +15,6 @@ All counts are aggregated on the map side before a join, so that a passage of ve
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -124,47 +122,46 @@ class FingerprintIndex:
     is to be removed wherever it also starts in a document with a smaller id.
     """
 
-    def __init__(self, spark: SparkSession, window: int = 50, max_runs: int = 4, buckets: int = 0):
+    def __init__(self, spark: SparkSession, window: int = 50, max_runs: int = 4):
         if window < 2:
             raise ValueError("a window has two words at least")
         self.spark, self.window, self.max_runs = spark, window, max_runs
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.kept = Kept(spark)
         self.runs: list[str] = []
-        self.paths: dict[str, str] = {}
         self.keys: list[DataFrame] = []
         self.texts: list[DataFrame] = []
 
+    def _read(self, run: str) -> DataFrame:
+        return self.spark.read.schema("fp long, id long, variant int, place int").parquet(run)
+
     def _write_run(self, anchors: DataFrame) -> str:
-        """A run is a table in buckets by fingerprint, sorted within them, so joins of runs need no shuffle."""
-        name = f"tessera_run_{uuid.uuid4().hex}"
+        """A run is sorted by (fingerprint, id) and cut into ranges of both, so that a fingerprint of very many documents fills several files."""
         path = new_path(self.spark, "run")
-        rows = anchors.repartition(self.buckets, "fp")
-        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-        self.runs.append(name)
-        self.paths[name] = path
-        return name
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = anchors.repartitionByRange(parts, "fp", "id").sortWithinPartitions("fp", "id")
+        rows.write.option("compression", "zstd").parquet(path)
+        self.runs.append(path)
+        return path
 
-    def _drop_run(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        delete(self.spark, self.paths.pop(name))
-        self.runs.remove(name)
+    def _drop_run(self, run: str) -> None:
+        delete(self.spark, run)
+        self.runs.remove(run)
 
     def compact(self) -> None:
         """Merge all runs into one."""
         old = list(self.runs)
         if len(old) > 1:
-            rows = self.spark.table(old[0])
-            for name in old[1:]:
-                rows = rows.unionByName(self.spark.table(name))
+            rows = self._read(old[0])
+            for run in old[1:]:
+                rows = rows.unionByName(self._read(run))
             self._write_run(rows)
-            for name in old:
-                self._drop_run(name)
+            for run in old:
+                self._drop_run(run)
 
     def close(self) -> None:
         """Delete the index."""
-        for name in list(self.runs):
-            self._drop_run(name)
+        for run in list(self.runs):
+            self._drop_run(run)
         self.kept.drop(*self.keys)
         self.keys, self.texts = [], []
 
@@ -180,17 +177,17 @@ class FingerprintIndex:
         whole = known.where("first < id").select("id", "variant").distinct()
         new = known.where("first = id").select("id", "variant", F.explode(F.arrays_zip("fps", "places")).alias("a")).select(F.col("a.fps").alias("fp"), "id", "variant", F.col("a.places").alias("place"))
         earlier = list(self.runs)
-        run = self.spark.table(self._write_run(new))
+        run = self._read(self._write_run(new))
         # fingerprints of the batch that recur in it or in an earlier run
         span = lambda t: t.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
         mine = span(run)
         meets = mine.where("low < high").select("fp")
         for name in earlier:
-            meets = meets.unionByName(mine.select("fp").join(self.spark.table(name).select("fp"), "fp", "left_semi"))
+            meets = meets.unionByName(mine.select("fp").join(self._read(name).select("fp"), "fp", "left_semi"))
         meets = self.kept.put(meets.distinct(), "meets")
         hits = None
         for name in [*earlier, self.runs[-1]]:
-            rows = self.spark.table(name).join(meets, "fp", "left_semi").select("id", "variant", "place")
+            rows = self._read(name).join(meets, "fp", "left_semi").select("id", "variant", "place")
             hits = rows if hits is None else hits.unionByName(rows)
         places = hits.groupBy("id", "variant").agg(F.collect_set("place").alias("places"))
         texts = base
