@@ -1,7 +1,5 @@
 """The boundary to models: protocols for generators, scorers, embedders and translators, and offline stand-ins."""
 
-from __future__ import annotations
-
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -51,8 +49,7 @@ def generate(df: DataFrame, prompt_col: str, client: Callable[[], Client], sampl
                             raise
             yield pd.Series(out, dtype=object)
 
-    udf = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)
-    return df.withColumn(response_col, udf(F.col(prompt_col)))
+    return df.withColumn(response_col, F.pandas_udf(run, "string")(F.col(prompt_col)))
 
 
 @dataclass
@@ -110,7 +107,11 @@ STOP_WORDS = {
 def identify_language(text: Column) -> Column:
     """struct<lang, confidence>: a stand-in for a language identifier (U5), the share of each language's frequent words among all such words."""
     w = F.split(F.lower(F.regexp_replace(text, r"\s+", " ")), " ")
-    votes = [F.struct(F.size(F.filter(w, lambda x, s=s: x.isin(s))).alias("n"), F.lit(k).alias("lang")) for k, s in sorted(STOP_WORDS.items())]
+
+    def vote(lang: str) -> Column:
+        return F.struct(F.size(F.filter(w, lambda x: x.isin(STOP_WORDS[lang]))).alias("n"), F.lit(lang).alias("lang"))
+
+    votes = [vote(lang) for lang in sorted(STOP_WORDS)]
     best = F.array_max(F.array(*votes))
     total = sum((v["n"] for v in votes[1:]), votes[0]["n"])
     return F.struct(F.when(best["n"] > 0, best["lang"]).alias("lang"), F.when(total > 0, best["n"] / total).otherwise(0.0).alias("confidence"))

@@ -29,6 +29,7 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int = BLOC
     some = F.exists("vector", lambda x: x != 0)
     q, nq = _blocks(queries.select("id", "vector").where(some), block, "qb")
     c, nc = _blocks(collection.select("id", "vector").where(some), block, "cb")
+    c = c.select(F.col("id").alias("id2"), F.col("vector").alias("vector2"), "cb")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("cb", each(nc))
     right = c.withColumn("qb", each(nq))
@@ -36,9 +37,9 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int = BLOC
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64", "distance": "float64"})
-        b = b.sort_values("id")
+        b = b.sort_values("id2")
         unit = lambda v: (m := np.array(v.tolist(), np.float64)) / np.linalg.norm(m, axis=1, keepdims=True)
-        x, y, ids = unit(a["vector"]), unit(b["vector"]), b["id"].to_numpy()
+        x, y, ids = unit(a["vector"]), unit(b["vector2"]), b["id2"].to_numpy()
         out = []
         for at in range(0, len(x), 512):
             d = 1.0 - x[at : at + 512] @ y.T
@@ -124,14 +125,14 @@ def near_pairs(items: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b) of different rows not further than ``least`` from each other, both ways, by blocks."""
     some = F.exists("vector", lambda x: x != 0)
     left, n = _blocks(items.select("id", "vector").where(some), block, "qb")
-    right = left.withColumnRenamed("qb", "cb")
+    right = left.select(F.col("id").alias("id2"), F.col("vector").alias("vector2"), F.col("qb").alias("cb"))
     each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         unit = lambda v: (m := np.array(v.tolist(), np.float64)) / np.linalg.norm(m, axis=1, keepdims=True)
         if a.empty or b.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        x, y, ia, ib = unit(a["vector"]), unit(b["vector"]), a["id"].to_numpy(), b["id"].to_numpy()
+        x, y, ia, ib = unit(a["vector"]), unit(b["vector2"]), a["id"].to_numpy(), b["id2"].to_numpy()
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for at in range(0, len(x), 512):
             i, j = np.nonzero(1.0 - x[at : at + 512] @ y.T <= least)

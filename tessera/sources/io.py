@@ -37,7 +37,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A whole prompt file; it is a driver's parameter, not data."""
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
