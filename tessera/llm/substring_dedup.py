@@ -45,7 +45,7 @@ def _variant(k1: np.ndarray) -> np.ndarray:
 
 
 def _anchors(window: int):
-    """Per document: the key of its words, their number, and its anchors with their positions."""
+    """Per document: the key of its words, their number, and its different anchors."""
     half = window // 2
     reach = window - half
 
@@ -62,22 +62,26 @@ def _anchors(window: int):
                 most = _sliding(np.concatenate([pad, least, pad]), reach + 1, np.maximum)
                 at = np.flatnonzero((most[: len(g)] == g) & (g != 0)) if len(least) else np.zeros(0, np.int64)
                 row = np.searchsorted(of, at, "right") - 1
+                order = np.lexsort((g[at], row))
+                at, row = at[order], row[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (row[1:] != row[:-1]) | (g[at[1:]] != g[at[:-1]])
+                at, row = at[new], row[new]
                 cut = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(first, len(part)),
                         pa.array(k1), pa.array(k2), pa.array(_variant(k1)), pa.array(np.diff(of).astype(np.int64)),
                         pa.ListArray.from_arrays(cut, pa.array(g[at].view(np.int64))),
-                        pa.ListArray.from_arrays(cut, pa.array((at - of[row]).astype(np.int32))),
                     ],
-                    names=["id", "k1", "k2", "variant", "words", "fps", "places"],
+                    names=["id", "k1", "k2", "variant", "words", "fps"],
                 )
 
     return run
 
 
 def _windows(window: int):
-    """Two hashes, document and start of each window that holds one of the given anchors."""
+    """Two hashes, document and starts of each different window that holds one of the given anchors."""
     half = window // 2
     reach = window - half
 
@@ -89,27 +93,33 @@ def _windows(window: int):
                 h, of = words.hashes(), words.of
                 fits, _ = within(of, window)
                 right = _variant(word_keys(h, of)[0]) == variants[first : first + len(part)]
-                lists = batch.column("places").slice(first, len(part))
-                place = lists.flatten().to_numpy()
-                row = np.repeat(np.arange(len(part)), np.diff(np.asarray(lists.offsets)))
-                row, place = row[right[row]], place[right[row]]
+                lists = batch.column("fps").slice(first, len(part))
+                wanted = np.unique(lists.flatten().to_numpy().view(np.uint64))
+                g = grams(h, half)
                 size = len(fits)
-                if not size or not len(place):
+                if not size or not len(wanted):
                     continue
+                place = np.flatnonzero(np.isin(g, wanted))
+                row = np.searchsorted(of, place, "right") - 1
+                place, row = place[right[row]], row[right[row]]
                 steps = np.zeros(size + 1, np.int32)
-                np.add.at(steps, np.minimum(of[row] + np.maximum(place - reach, 0), size), 1)
-                np.add.at(steps, np.minimum(of[row] + place + 1, size), -1)
+                np.add.at(steps, np.minimum(np.maximum(place - reach, of[row]), size), 1)
+                np.add.at(steps, np.minimum(place + 1, size), -1)
                 at = np.flatnonzero((np.cumsum(steps[:-1]) > 0) & fits)
                 owner = np.searchsorted(of, at, "right") - 1
                 keys = []
                 for x in (h, mix64(h ^ SALT)):
                     g, tail = grams(x, half), grams(x, window - half)
                     keys.append(mix64(g[at] * np.uint64(0xD1342543DE82EF95) + tail[at + half]).view(np.int64))
-                ids = batch.column("id").to_numpy()[first : first + len(part)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[0]), pa.array(keys[1]), pa.array(ids[owner]), pa.array(variants[first : first + len(part)][owner]), pa.array((at - of[owner]).astype(np.int32))],
-                    names=["h1", "h2", "id", "variant", "start"],
-                )
+                order = np.lexsort((at, keys[1], keys[0], owner))
+                at, owner, one, two = at[order], owner[order], keys[0][order], keys[1][order]
+                new = np.ones(len(at), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                head = np.flatnonzero(new)
+                ids = batch.column("id").to_numpy()[first : first + len(part)][owner[head]]
+                told = variants[first : first + len(part)][owner[head]]
+                starts = pa.ListArray.from_arrays(np.append(head, len(at)).astype(np.int32), pa.array((at - of[owner]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(one[head]), pa.array(two[head]), pa.array(ids), pa.array(told), starts], names=["h1", "h2", "id", "variant", "starts"])
 
     return run
 
@@ -132,7 +142,7 @@ class FingerprintIndex:
         self.texts: list[DataFrame] = []
 
     def _read(self, run: str) -> DataFrame:
-        return self.spark.read.schema("fp long, id long, variant int, place int").parquet(run)
+        return self.spark.read.schema("fp long, id long, variant int").parquet(run)
 
     def _write_run(self, anchors: DataFrame) -> str:
         """A run is sorted by (fingerprint, id) and cut into ranges of both, so that a fingerprint of very many documents fills several files."""
@@ -167,7 +177,7 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-        shape = "id long, k1 long, k2 long, variant int, words long, fps array<long>, places array<int>"
+        shape = "id long, k1 long, k2 long, variant int, words long, fps array<long>"
         scan = self.kept.put(base.mapInArrow(_anchors(self.window), shape).where(F.col("words") >= self.window), "scan")
         firsts = scan.select("k1", "k2", "id")
         for old in self.keys:
@@ -175,7 +185,7 @@ class FingerprintIndex:
         firsts = self.kept.put(firsts.groupBy("k1", "k2").agg(F.min("id").alias("id")), "keys")
         known = scan.join(firsts.withColumnRenamed("id", "first"), ["k1", "k2"])
         whole = known.where("first < id").select("id", "variant").distinct()
-        new = known.where("first = id").select("id", "variant", F.explode(F.arrays_zip("fps", "places")).alias("a")).select(F.col("a.fps").alias("fp"), "id", "variant", F.col("a.places").alias("place"))
+        new = known.where("first = id").select(F.explode("fps").alias("fp"), "id", "variant")
         earlier = list(self.runs)
         run = self._read(self._write_run(new))
         # fingerprints of the batch that recur in it or in an earlier run
@@ -187,23 +197,23 @@ class FingerprintIndex:
         meets = self.kept.put(meets.distinct(), "meets")
         hits = None
         for name in [*earlier, self.runs[-1]]:
-            rows = self._read(name).join(meets, "fp", "left_semi").select("id", "variant", "place")
+            rows = self._read(name).join(meets, "fp", "left_semi").select("id", "variant", "fp")
             hits = rows if hits is None else hits.unionByName(rows)
-        places = hits.groupBy("id", "variant").agg(F.collect_set("place").alias("places"))
+        shared = hits.groupBy("id", "variant").agg(F.collect_set("fp").alias("fps"))
         texts = base
         for old in self.texts:
             texts = texts.unionByName(old)
-        shape = "h1 long, h2 long, id long, variant int, start int"
-        found = self.kept.put(places.join(texts, "id").mapInArrow(_windows(self.window), shape), "windows")
-        least = found.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
-        starts = found.join(least, ["h1", "h2"]).where("low < id").groupBy("id", "variant").agg(F.collect_set("start").alias("starts"))
+        shape = "h1 long, h2 long, id long, variant int, starts array<int>"
+        found = self.kept.put(shared.join(texts, "id").mapInArrow(_windows(self.window), shape), "windows")
+        least = self.kept.put(found.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), "least")
+        starts = found.join(least, ["h1", "h2"]).where("low < id").groupBy("id", "variant").agg(F.flatten(F.collect_list("starts")).alias("starts"))
         batch_ids = base.select("id").distinct() if earlier else None
         starts = starts.join(batch_ids, "id", "left_semi") if batch_ids is not None else starts
         out = self.kept.put(
             starts.select("id", "variant", F.lit(False).alias("whole"), "starts").unionByName(whole.select("id", "variant", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts"))),
             "spans",
         )
-        self.kept.drop(scan, meets, found, *self.keys)
+        self.kept.drop(scan, meets, found, least, *self.keys)
         self.keys, self.texts = [firsts], [*self.texts, base]
         if len(self.runs) > self.max_runs:
             self.compact()
