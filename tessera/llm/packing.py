@@ -142,9 +142,15 @@ def slots(bins: Bins) -> dict[int, np.ndarray]:
 
 
 class WordIds:
-    """Token ids of whole texts by a tokenizer that never joins what white space parts, so each distinct word is encoded once."""
+    """Token ids of whole texts by a tokenizer that never joins what white space parts, nor ASCII letters to other ASCII signs.
 
-    MEMO = 1_000_000
+    Texts are cut there, after A-Z are lowered as the tokenizer lowers them, and each distinct part is encoded once for as long as a worker lives: ``keys`` are the
+    sorted hashes of the parts known, whose ids lie at ``at`` in ``flat``. Words with an apostrophe stay whole, as contractions do not end at one.
+    At most MEMO parts are known at a time.
+    """
+
+    MEMO = 2_500_000
+    known: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
         import os
@@ -154,35 +160,84 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[int, bytes] = {}
+        self.forget()
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in cls.known:
+            cls.known[path] = cls(path)
+        return cls.known[path]
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _learn(self, keys: np.ndarray, words: Words, rows: np.ndarray) -> None:
+        sizes, parts = [], []
+        for begin in range(0, len(rows), 20_000):
+            for told in self.tokenizer.encode_batch([words.text(i).decode() for i in rows[begin : begin + 20_000].tolist()], add_special_tokens=False):
+                ids = told.ids
+                sizes.append(len(ids))
+                parts += ids
+            if self.used + len(parts) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(parts)), np.uint32)])
+            self.flat[self.used : self.used + len(parts)] = parts
+            self.used += len(parts)
+            parts = []
+        size = np.array(sizes, np.int64)
+        at = self.used - int(size.sum()) + np.cumsum(size) - size
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
 
     def __call__(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the uint32 ids of each text, each followed by the id ``last``."""
-        words = Words(texts)
-        _, at, inverse = np.unique(h := words.hashes(), return_index=True, return_inverse=True)
-        keys = h[at].tolist()
-        if len(self.memo) > self.MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = [i for i, k in enumerate(keys) if k not in memo]
-        for begin in range(0, len(new), 20_000):
-            some = new[begin : begin + 20_000]
-            for i, told in zip(some, self.tokenizer.encode_batch([words.text(at[i]).decode() for i in some], add_special_tokens=False)):
-                memo[keys[i]] = np.array(told.ids, np.uint32).tobytes()
-        entries = [memo[k] for k in keys]
-        size = np.array([len(x) // 4 for x in entries], np.int64)
-        flat = np.frombuffer(b"".join(entries), np.uint32)
-        begin = np.cumsum(size) - size
+        words = Words(texts, lower=True)
+        split_signs(words)
+        keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > self.MEMO:
+            self.forget()
+        where = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[where] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            self._learn(keys[new], words, first[new])
+        where = np.searchsorted(self.keys, keys)
+        size, begin = self.size[where], self.at[where]
         each = size[inverse]
         total = np.concatenate([[0], np.cumsum(each)])
         source = np.repeat(begin[inverse] - total[:-1], each) + np.arange(total[-1])
         of = total[words.of]
-        return np.insert(flat[source], of[1:], np.uint32(last)), of + np.arange(len(of))
+        return np.insert(self.flat[source], of[1:], np.uint32(last)), of + np.arange(len(of))
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[0x21:0x7F] = True
+_SIGN[ord("A") : ord("Z") + 1] = _SIGN[ord("a") : ord("z") + 1] = False
+
+
+def split_signs(words: Words) -> None:
+    """Cuts words without an apostrophe between an ASCII letter and another printable ASCII sign, either way round."""
+    raw = words.bytes
+    letter, sign = _LETTER[raw], _SIGN[raw]
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = (letter[1:] & sign[:-1]) | (sign[1:] & letter[:-1])
+    quote = np.concatenate([[0], np.cumsum(raw == ord("'"))])
+    for i in np.flatnonzero(quote[words.end] > quote[words.start]).tolist():
+        cut[words.start[i] : words.end[i]] = False
+    cut[words.offsets[words.offsets < len(raw)]] = False  # rows end there anyway
+    places = np.flatnonzero(cut)
+    words.start = np.sort(np.concatenate([words.start, places]))
+    words.end = np.sort(np.concatenate([words.end, places]))
+    words.of = np.searchsorted(words.start, words.offsets)
 
 
 def _pieces(tokenizer: str, capacity: int, last: int, output: str):
     def run(batches):
-        encode = WordIds(tokenizer)
+        encode = WordIds.of(tokenizer)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:

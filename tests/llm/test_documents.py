@@ -247,15 +247,26 @@ def test_pack(spark):
     assert pack(frame(spark, []), path).collect() == []
 
 
-def test_word_ids_forget(monkeypatch):
+def test_word_ids(monkeypatch):
+    """Parts cut at signs, and parts forgotten in between, give the ids of whole texts."""
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import pyarrow as pa
+    from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing.WordIds, "MEMO", 2)
-    encode = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
-    one, _ = encode(pa.array(["some words here", None]), 0)
-    encode(pa.array(["and others"]), 0)
-    assert encode(pa.array(["some words here", None]), 0)[0].tolist() == one.tolist()
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    rng = random.Random(0)
+    letters = "".join(chr(c) for c in range(1, 256)) + "\u0301\u2026\u3000\u2019\u0130\u03a3\u212a" + "ab.,'!sT " * 20
+    texts = ["it's don't I'LL 'tis o'clock''s a'", "a.b,c1d2 é.x …. a…b", "x\u0301.y .\u0301a", "...a...b", "a", ".b", None, ""]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    encode = packing.WordIds(path)
+    monkeypatch.setattr(packing.WordIds, "MEMO", 3000)
+    for _ in range(2):
+        for at in range(0, len(texts), 400):
+            ids, of = encode(pa.array(texts[at : at + 400]), 0)
+            want = whole.encode_batch([t or "" for t in texts[at : at + 400]], add_special_tokens=False)
+            assert [ids[a:b].tolist() for a, b in zip(of, of[1:])] == [[*w.ids, 0] for w in want]
 
 
 def test_pipeline(spark, tmp_path):
