@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
 ``merge`` applies merges through a rank queue: one bucket per merge rank holds the positions of the linked list of
-parts at which that merge can be made; a hierarchical bitmap over the ranks finds the least one by find-first-set; an
-entry whose parts have changed since is stale and skipped. Each merge makes at most two new entries, so a pre-token of
+parts at which that merge can be made; a bitmap of two levels over the ranks finds the least one by find-first-set, in the upper level
+the first word with a bucket and in that word the first bucket; an entry whose parts have changed since is stale and skipped. Each merge makes at most two new entries, so a pre-token of
 n bytes takes O(n) queue steps, also where it is very long.
 """
 
@@ -10,66 +10,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens of at most so many characters are looked up in, and added to, a worker's memo of at most MEMO entries.
-MEMO_CHARS, MEMO = 64, 600_000
-WORD = 64
-
-
-class RankQueue:
-    """Buckets by rank with a bitmap of 64-bit words on each level: a bit tells that the word (or bucket) below is not empty."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels = []
-        size = ranks
-        while True:
-            size = -(-size // WORD)
-            self.levels.append([0] * size)
-            if size <= 1:
-                break
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word, bit = divmod(at, WORD)
-            before = level[word]
-            level[word] = before | (1 << bit)
-            if before:
-                break
-            at = word
-
-    def first(self) -> int:
-        """The least rank with a bucket, or -1."""
-        at = 0
-        for level in reversed(self.levels):
-            bits = level[at]
-            if not bits:
-                return -1
-            at = at * WORD + (bits & -bits).bit_length() - 1
-        return at
-
-    def take(self, rank: int) -> list[int]:
-        """Empties a bucket."""
-        bucket = self.buckets.pop(rank)
-        at = rank
-        for level in self.levels:
-            word, bit = divmod(at, WORD)
-            level[word] &= ~(1 << bit)
-            if level[word]:
-                break
-            at = word
-        return bucket
+MEMO_CHARS, MEMO = 64, 400_000
+#: Ranks in a word of the lower bitmap, as a power of two.
+BITS = 8
 
 
 class ByteBPE:
@@ -83,7 +32,9 @@ class ByteBPE:
         self.bytes = {v: k for k, v in ranks.items()}
         # \\s of the pattern is the Unicode property; the regex module's \\s also has \\x1c-\\x1f
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
-        self.queue = RankQueue(self.size)
+        self.words = [0] * ((self.size >> BITS) + 1)  # the lower bitmap, all 0 between two merges
+        self.pairs = [ranks.get(bytes(divmod(x, 256)), -1) for x in range(1 << 16)]
+        self.sizes = [len(self.bytes.get(x, b"")) for x in range(self.size)]
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -93,45 +44,61 @@ class ByteBPE:
 
     def merge(self, token: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(token)) is not None:
+        find = self.ranks.get
+        if (whole := find(token)) is not None:
             return [whole]
         n = len(token)
         end = list(range(1, n + 1))  # of the part that starts at a position; 0: no part starts here
         before = list(range(-1, n))  # start of the part before
-        queue = self.queue
-        for i in range(n - 1):
-            if (rank := ranks.get(token[i : i + 2])) is not None:
-                queue.push(rank, i)
-        while (rank := queue.first()) >= 0:
-            size = len(self.bytes[rank])
-            least = self.size
-            entries = sorted(queue.take(rank))
+        words, mask, pairs, sizes = self.words, (1 << BITS) - 1, self.pairs, self.sizes
+        buckets: dict[int, list[int]] = {}
+        upper = 0
+        fresh = [(pairs[x << 8 | y], i) for i, (x, y) in enumerate(zip(token, token[1:])) if pairs[x << 8 | y] >= 0]
+        while True:
+            for rank, i in fresh:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> BITS] |= 1 << (rank & mask)
+                    upper |= 1 << (rank >> BITS)
+            if not upper:
+                break
+            word = (upper & -upper).bit_length() - 1
+            bits = words[word]
+            low = bits & -bits
+            rank = word << BITS | low.bit_length() - 1
+            entries = buckets.pop(rank)
+            words[word] = bits ^ low
+            if bits == low:
+                upper ^= 1 << word
+            if len(entries) > 1:
+                entries.sort()
+            size, fresh = sizes[rank], []
             for k, i in enumerate(entries):
-                if least < rank:  # a merge made a pair of lower rank, which comes first
-                    for rest in entries[k:]:
-                        queue.push(rank, rest)
-                    break
                 middle = end[i]
                 if not middle or middle >= n:
                     continue
                 stop = end[middle]
-                if stop - i != size or ranks.get(token[i:stop]) != rank:
+                if stop - i != size or find(token[i:stop]) != rank:
                     continue  # stale
                 end[middle] = 0
                 end[i] = stop
+                least = rank
                 if stop < n:
                     before[stop] = i
-                    if (new := ranks.get(token[i : end[stop]])) is not None:
-                        queue.push(new, i)
+                    if (new := find(token[i : end[stop]])) is not None:
+                        fresh.append((new, i))
                         least = min(least, new)
-                prev = before[i]
-                if prev >= 0 and (new := ranks.get(token[prev:stop])) is not None:
-                    queue.push(new, prev)
+                if (prev := before[i]) >= 0 and (new := find(token[prev:stop])) is not None:
+                    fresh.append((new, prev))
                     least = min(least, new)
+                if least < rank:  # a pair of lower rank has come up and goes first
+                    fresh += [(rank, rest) for rest in entries[k + 1 :]]
+                    break
         out, i = [], 0
         while i < n:
-            out.append(ranks[token[i : end[i]]])
+            out.append(self.ranks[token[i : end[i]]])
             i = end[i]
         return out
 
@@ -161,39 +128,56 @@ def encode_documents(
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(_ids(vocabulary, pattern), f"{id_col} {kind}, n_tokens long, ids array<int>, decoded binary")
 
 
-def _memoised(bpe: ByteBPE, entry: Callable[[list[int], bytes], tuple]) -> Callable[[list[str]], list[tuple]]:
-    """Maps pre-tokens to entries; what few characters repeat is merged once."""
-    memo: dict[str, tuple] = {}
+class Memo:
+    """What a worker keeps of pre-tokens that it has merged, for later texts and tasks: an entry for the ids and the decoded bytes of each."""
 
-    def look(tokens: list[str]) -> list[tuple]:
-        found = list(map(memo.get, tokens))
-        for i, x in enumerate(found):
-            if x is None:
-                token = tokens[i]
-                if (x := memo.get(token)) is None:
-                    ids = bpe.merge(token.encode())
-                    x = entry(ids, bpe.decode(ids))
-                    if len(token) <= MEMO_CHARS:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[token] = x
-                found[i] = x
-        return found
+    known: dict[tuple[str, str, bool], Memo] = {}
 
-    return look
+    def __init__(self, vocabulary: str, pattern: str, digest: bool):
+        self.bpe = ByteBPE.from_file(vocabulary, pattern)
+        self.digest = digest
+        self.ids: dict[str, str | list[int]] = {}
+        self.raw: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, vocabulary: str, pattern: str, digest: bool) -> Memo:
+        key = (vocabulary, pattern, digest)
+        if key not in cls.known:
+            cls.known[key] = cls(vocabulary, pattern, digest)
+        return cls.known[key]
+
+    def __call__(self, text: str) -> tuple[list, bytes]:
+        """The entries of a text's pre-tokens in order, and all decoded bytes. A digest's entry is each id as text after a comma."""
+        tokens = self.bpe.split(text)
+        if len(self.ids) > MEMO:
+            self.ids.clear()
+            self.raw.clear()
+        long = []
+        for token in set(tokens).difference(self.ids):
+            ids = self.bpe.merge(token.encode())
+            self.ids[token] = "".join([f",{x}" for x in ids]) if self.digest else ids
+            self.raw[token] = self.bpe.decode(ids)
+            if len(token) > MEMO_CHARS:
+                long.append(token)
+        out = list(map(self.ids.__getitem__, tokens)), b"".join(map(self.raw.__getitem__, tokens))
+        for token in long:
+            del self.ids[token], self.raw[token]
+        return out
 
 
 def _digests(vocabulary: str, pattern: str):
     def run(batches):
-        bpe = ByteBPE.from_file(vocabulary, pattern)
-        look = _memoised(bpe, lambda ids, raw: (len(ids), "".join(f",{x}" for x in ids), raw))
+        memo = Memo.of(vocabulary, pattern, True)
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
             counts, names, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = look(bpe.split(text or ""))
-                counts.append(sum([x[0] for x in found]))
-                names.append(hashlib.sha256("".join([x[1] for x in found])[1:].encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(1).slice(at, 256).to_pylist():
+                    entries, raw = memo(text or "")
+                    ids = "".join(entries)
+                    counts.append(ids.count(","))
+                    names.append(sha(ids[1:].encode()))
+                    decoded.append(sha(raw))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array(decoded, pa.string())], names=[batch.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -201,16 +185,15 @@ def _digests(vocabulary: str, pattern: str):
 
 def _ids(vocabulary: str, pattern: str):
     def run(batches):
-        bpe = ByteBPE.from_file(vocabulary, pattern)
-        look = _memoised(bpe, lambda ids, raw: (ids, raw))
+        memo = Memo.of(vocabulary, pattern, False)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids, decoded = [], []
                 for text in part.column(1).to_pylist():
-                    found = look(bpe.split(text or ""))
-                    ids.append([x for f, _ in found for x in f])
-                    decoded.append(b"".join([raw for _, raw in found]))
+                    entries, raw = memo(text or "")
+                    ids.append([x for e in entries for x in e])
+                    decoded.append(raw)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=[batch.schema.names[0], "n_tokens", "ids", "decoded"])
 
     return run

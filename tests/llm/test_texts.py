@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import ngram_lm, quality
 from tessera.llm._text import Words, grams, pieces, within
-from tessera.llm.byte_bpe import ByteBPE, RankQueue, encode_documents
+from tessera.llm.byte_bpe import ByteBPE, encode_documents
 from tessera.llm.chat_format import END, SEP, START, escape, format_chat, read_turns, unescape
 from tessera.llm.html_text import Page, main_text
 
@@ -43,11 +43,6 @@ def test_words_match_the_pattern():
     assert len(Words(column.slice(5, 7))) == sum(map(len, got[5:12]))
 
 
-def tiny_ranks():
-    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abc", b"cd", b"abcd", b"aa", b"aaa", b"bcd", b" a", b" ab"]
-    return {t: i for i, t in enumerate(tokens)}
-
-
 def slow_merge(ranks, token):
     parts = [token[i : i + 1] for i in range(len(token))]
     while len(parts) > 1:
@@ -76,25 +71,6 @@ def test_merges_in_rank_order():
             assert bpe.merge(token) == ([ranks[token]] if token in ranks else slow_merge(ranks, token)), (trial, token)
 
 
-def test_rank_queue():
-    rng = random.Random(2)
-    queue, held = RankQueue(50_000), defaultdict(list)
-    for _ in range(3000):
-        if rng.random() < 0.6 or not held:
-            rank = rng.choice([rng.randrange(50_000), rng.randrange(70), 49_999])
-            queue.push(rank, len(held))
-            held[rank].append(0)
-        else:
-            assert queue.first() == min(held)
-            queue.take(min(held))
-            del held[min(held)]
-    while held:
-        assert queue.first() == min(held)
-        queue.take(min(held))
-        del held[min(held)]
-    assert queue.first() == -1
-
-
 def test_bpe_as_tiktoken(spark):
     public_tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
