@@ -108,4 +108,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_polytope_search": op10_polytope_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _components(links: str, nodes: str) -> str:
+    """SQL: the smallest node that each node reaches over the symmetric ``links`` (a, b)."""
+    return f"r AS (WITH RECURSIVE t(a, b) AS (SELECT id, id FROM {nodes} UNION SELECT t.a, l.b FROM t JOIN {links} l ON l.a = t.b) SELECT a AS id, min(b) AS component_id FROM t GROUP BY a)"
+
+
+_ESCAPED = r"regexp_replace(regexp_replace(replace({0}, '\', '\\'), '([<\[])([|/sI<])', '\1\\\2', 'g'), '([<\[])([|/sI<])', '\1\\\2', 'g')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_lattice_dedup": """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT p.id AS a, q.id AS b FROM u p JOIN u q ON p.label = q.label AND p.id <> q.id WHERE list_cosine_similarity(p.e, q.e) >= 0.98),
+"""
+    + _components("l", "v")
+    + """, n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT v.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, r.component_id, v.id = r.component_id AS kept FROM v LEFT JOIN n USING (id) JOIN r USING (id)""",
+    "op5_shingle_join": r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT id, g FROM (SELECT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)),
+s AS (SELECT id, count(*) AS n FROM g GROUP BY id), c AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM g p JOIN g q ON p.g = q.g AND p.id < q.id GROUP BY 1, 2),
+h AS (SELECT a, b FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE k / (x.n + y.n - k)::DOUBLE >= 0.8), l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+"""
+    + _components("l", "w")
+    + """, n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT w.id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_links, r.component_id, w.id = r.component_id AS kept FROM w LEFT JOIN n USING (id) JOIN r USING (id)""",
+    "op6_substring_dedup": r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT id, unnest(range(1, len(w) - 48)) AS s FROM w WHERE len(w) >= 50), g AS (SELECT s.id, s.s, array_to_string(w.w[s.s : s.s + 49], ' ') AS g FROM s JOIN w USING (id)),
+m AS (SELECT id, s, min(id) OVER (PARTITION BY g) AS first FROM g), x AS (SELECT DISTINCT id, unnest(range(s, s + 50)) AS i FROM m WHERE first < id),
+p AS (SELECT id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM w), k AS (SELECT p.id, p.i, p.word, x.i IS NULL AS kept FROM p LEFT JOIN x ON x.id = p.id AND x.i = p.i),
+t AS (SELECT id, count(*) FILTER (WHERE NOT kept) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE kept) AS text FROM k GROUP BY id)
+SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(t.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256 FROM w LEFT JOIN t USING (id)""",
+    "op9_chat_format": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, lag(role) OVER w IS DISTINCT FROM role AS opens FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+e AS (SELECT *, length({_ESCAPED.format("text")}) AS t, length({_ESCAPED.format("role")}) AS r FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+length(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), ''))::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+sum(t + CASE WHEN opens THEN r + length('<|im_start|><|im_body|><|im_end|>') + 1 ELSE length('<|im_sep|>') END)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
+}
