@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,15 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     if inner.isDefined():
         return inner.get().rstrip("/")
     if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own["dir"] = f"file://{folder}"
     return _own["dir"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this process has written to the shared folder and not deleted yet; results that still read it then fail."""
+    for path in list(_written):
+        delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    _written.discard(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -40,13 +54,11 @@ class Kept:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._tessera_path = path
         return out
 
@@ -56,7 +68,7 @@ class Kept:
                 delete(self.spark, path)
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 0) -> Iterator[tuple[tuple, pa.Table]]:
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """(key, rows) for each run of equal keys in sorted batches. Runs that end inside a batch are sliced, not copied."""
     import numpy as np
 

@@ -308,3 +308,13 @@ def test_registered_queries(spark):
     assert got == brute_links(rows)
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op6_substring_dedup"](spark, d).collect())
     assert got == [(i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute_removed(rows)]
+
+
+def test_shared_folder_is_cleared(spark):
+    from tessera.llm import _store
+
+    table = _store.Kept(spark).put(spark.range(3), "x")
+    assert table.count() == 3 and table._tessera_path.startswith(_store.shared_folder(spark))
+    _store.clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(table._tessera_path).count()
