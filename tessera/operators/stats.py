@@ -16,8 +16,8 @@ def first_by_key(df: DataFrame, keys: list[Column], order: Column) -> DataFrame:
 
 def composition(df: DataFrame, column: str) -> DataFrame:
     """Counts and percentages by value; null is a value."""
-    n = df.groupBy(column).agg(F.count("*").alias("n"))
-    return n.withColumn("pct", F.lit(100.0) * F.col("n") / F.sum("n").over(W.partitionBy()))
+    total = df.count()
+    return df.groupBy(column).agg(F.count("*").alias("n")).withColumn("pct", F.lit(100.0) * F.col("n") / F.lit(total))
 
 
 def auto_bins(n: int, low: float, high: float, iqr: float, integers: bool = False) -> int:
@@ -46,11 +46,18 @@ def histogram(df: DataFrame, value: str, by: list[str] | None = None, low: float
     return rows.groupBy(*(by or []), bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks from 1 with ties sharing their mean: counts by value are summed in order, so only distinct values are ordered."""
+def average_rank(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
+    """Ranks from 1 with ties sharing their mean (O68). Counts by value are summed in order within ``parts`` ranges of about equal
+    size, which are shifted by the ranges before; no task orders more than one range."""
+    cuts = sorted(set(df.withColumn("_v", F.col(value).cast("double")).approxQuantile("_v", [k / parts for k in range(1, parts)], 0.001)))
+    low = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(value).alias("_v"), (before + (F.col("_n") + 1) / 2.0).alias(name))
+    counts = counts.withColumn("_b", F.size(F.filter(low, lambda c: c <= F.col(value).cast("double"))))
+    ranges = counts.groupBy("_b").agg(F.sum("_n").alias("_all"))
+    before = lambda w: F.coalesce(F.sum(w[0]).over(w[1].rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shift = ranges.select("_b", before(("_all", W.orderBy("_b"))).alias("_shift"))
+    own = counts.withColumn("_in", before(("_n", W.partitionBy("_b").orderBy(value))))
+    ranks = own.join(shift, "_b").select(F.col(value).alias("_v"), (F.col("_shift") + F.col("_in") + (F.col("_n") + 1) / 2.0).alias(name))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
