@@ -2,23 +2,29 @@
 
 ``merge`` applies merges through a rank queue: one bucket per merge rank holds the positions of the linked list of
 parts at which that merge can be made; a bitmap of two levels over the ranks finds the least one by find-first-set, in the upper level
-the first word with a bucket and in that word the first bucket; an entry whose parts have changed since is stale and skipped. Each merge makes at most two new entries, so a pre-token of
-n bytes takes O(n) queue steps, also where it is very long.
+the first word with a bucket and in that word the first bucket; an entry whose parts have changed since is stale and skipped. Each merge makes at most
+two new entries, so n bytes take O(n) queue steps, also where a pre-token is very long. Many short pre-tokens share one
+list and one queue, with no pairs across their ends, so that a bucket is found once for all of them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens of at most so many characters are looked up in, and added to, a worker's memo of at most MEMO entries.
-MEMO_CHARS, MEMO = 64, 400_000
+MEMO_CHARS, MEMO = 64, 1_000_000
+#: Texts whose new pre-tokens are merged together, and pre-tokens in one queue.
+TEXTS, TOGETHER = 64, 2000
 #: Ranks in a word of the lower bitmap, as a power of two.
 BITS = 8
+SHIFT = 32
 
 
 class ByteBPE:
@@ -33,8 +39,15 @@ class ByteBPE:
         # \\s of the pattern is the Unicode property; the regex module's \\s also has \\x1c-\\x1f
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
         self.words = [0] * ((self.size >> BITS) + 1)  # the lower bitmap, all 0 between two merges
-        self.pairs = [ranks.get(bytes(divmod(x, 256)), -1) for x in range(1 << 16)]
         self.sizes = [len(self.bytes.get(x, b"")) for x in range(self.size)]
+        self.single = [ranks.get(bytes([c]), -1) for c in range(256)]
+        #: the rank of what two parts, side by side, make
+        self.joins: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    self.joins[left << SHIFT | right] = rank
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -42,71 +55,88 @@ class ByteBPE:
             pairs = (line.split() for line in lines if line.strip())
             return cls({base64.b64decode(a): int(b) for a, b in pairs}, pattern)
 
-    def merge(self, token: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        find = self.ranks.get
-        if (whole := find(token)) is not None:
-            return [whole]
-        n = len(token)
-        end = list(range(1, n + 1))  # of the part that starts at a position; 0: no part starts here
-        before = list(range(-1, n))  # start of the part before
-        words, mask, pairs, sizes = self.words, (1 << BITS) - 1, self.pairs, self.sizes
+    def merge(self, tokens: list[bytes]) -> list[list[int]]:
+        """The ids of each pre-token; one that is in the vocabulary is its own id."""
+        data = b"".join(tokens)
+        n = len(data)
+        part = [self.single[c] for c in data]
+        part.append(-1)
+        end = list(range(1, n + 2))  # of the part that starts at a position
+        before = list(range(-1, n + 1))  # start of the part before; -1 at the first part of a pre-token, -2 where no part starts
+        at = 0
+        for token in tokens:
+            before[at] = -1
+            at += len(token)
+        before[n] = -1
+        words, sizes, find, mask = self.words, self.sizes, self.joins.get, (1 << BITS) - 1
         buckets: dict[int, list[int]] = {}
         upper = 0
-        fresh = [(pairs[x << 8 | y], i) for i, (x, y) in enumerate(zip(token, token[1:])) if pairs[x << 8 | y] >= 0]
-        while True:
-            for rank, i in fresh:
-                if rank in buckets:
-                    buckets[rank].append(i)
+        for i in range(n - 1):
+            if before[i + 1] >= 0 and (new := find(part[i] << SHIFT | part[i + 1])) is not None:
+                if new in buckets:
+                    buckets[new].append(i)
                 else:
-                    buckets[rank] = [i]
-                    words[rank >> BITS] |= 1 << (rank & mask)
-                    upper |= 1 << (rank >> BITS)
-            if not upper:
-                break
+                    buckets[new] = [i]
+                    words[new >> BITS] |= 1 << (new & mask)
+                    upper |= 1 << (new >> BITS)
+        while upper:
             word = (upper & -upper).bit_length() - 1
             bits = words[word]
             low = bits & -bits
-            rank = word << BITS | low.bit_length() - 1
+            rank = least = word << BITS | low.bit_length() - 1
             entries = buckets.pop(rank)
             words[word] = bits ^ low
             if bits == low:
                 upper ^= 1 << word
-            if len(entries) > 1:
-                entries.sort()
-            size, fresh = sizes[rank], []
-            for k, i in enumerate(entries):
+            entries.sort()
+            size = sizes[rank]
+            for i in entries:
                 middle = end[i]
-                if not middle or middle >= n:
-                    continue
-                stop = end[middle]
-                if stop - i != size or find(token[i:stop]) != rank:
+                if before[middle] != i or (stop := end[middle]) - i != size:
                     continue  # stale
-                end[middle] = 0
                 end[i] = stop
-                least = rank
-                if stop < n:
+                part[i] = rank
+                before[middle] = -2
+                if before[stop] >= 0:
                     before[stop] = i
-                    if (new := find(token[i : end[stop]])) is not None:
-                        fresh.append((new, i))
+                    if (new := find(rank << SHIFT | part[stop])) is not None:
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            buckets[new] = [i]
+                            words[new >> BITS] |= 1 << (new & mask)
+                            upper |= 1 << (new >> BITS)
+                            least = min(least, new)
+                if (prev := before[i]) >= 0 and (new := find(part[prev] << SHIFT | rank)) is not None:
+                    if new in buckets:
+                        buckets[new].append(prev)
+                    else:
+                        buckets[new] = [prev]
+                        words[new >> BITS] |= 1 << (new & mask)
+                        upper |= 1 << (new >> BITS)
                         least = min(least, new)
-                if (prev := before[i]) >= 0 and (new := find(token[prev:stop])) is not None:
-                    fresh.append((new, prev))
-                    least = min(least, new)
                 if least < rank:  # a pair of lower rank has come up and goes first
-                    fresh += [(rank, rest) for rest in entries[k + 1 :]]
+                    if rest := entries[bisect_right(entries, i) :]:
+                        buckets[rank] = rest
+                        words[word] |= low
+                        upper |= 1 << word
                     break
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[token[i : end[i]]])
-            i = end[i]
+        out, at = [], 0
+        for token in tokens:
+            ids, i, at = [], at, at + len(token)
+            if (whole := self.ranks.get(token)) is not None:
+                ids, i = [whole], at
+            while i < at:
+                ids.append(part[i])
+                i = end[i]
+            out.append(ids)
         return out
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
     def encode(self, text: str) -> list[int]:
-        return [x for piece in self.split(text) for x in self.merge(piece.encode())]
+        return [x for ids in self.merge([piece.encode() for piece in self.split(text)]) for x in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -146,23 +176,27 @@ class Memo:
             cls.known[key] = cls(vocabulary, pattern, digest)
         return cls.known[key]
 
-    def __call__(self, text: str) -> tuple[list, bytes]:
-        """The entries of a text's pre-tokens in order, and all decoded bytes. A digest's entry is each id as text after a comma."""
-        tokens = self.bpe.split(text)
+    def learn(self, tokens: set[str]) -> None:
         if len(self.ids) > MEMO:
             self.ids.clear()
             self.raw.clear()
-        long = []
-        for token in set(tokens).difference(self.ids):
-            ids = self.bpe.merge(token.encode())
-            self.ids[token] = "".join([f",{x}" for x in ids]) if self.digest else ids
-            self.raw[token] = self.bpe.decode(ids)
+        new = list(tokens.difference(self.ids))
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            for token, ids in zip(some, self.bpe.merge([x.encode() for x in some])):
+                self.ids[token] = "".join([f",{x}" for x in ids]) if self.digest else ids
+                self.raw[token] = self.bpe.decode(ids)
+
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[list, bytes]]:
+        """For each text the entries of its pre-tokens in order and all decoded bytes. A digest's entry is each id as text after a comma."""
+        split = [self.bpe.split(x or "") for x in texts]
+        every = set().union(*split)
+        self.learn(every)
+        for tokens in split:
+            yield list(map(self.ids.__getitem__, tokens)), b"".join(map(self.raw.__getitem__, tokens))
+        for token in every:
             if len(token) > MEMO_CHARS:
-                long.append(token)
-        out = list(map(self.ids.__getitem__, tokens)), b"".join(map(self.raw.__getitem__, tokens))
-        for token in long:
-            del self.ids[token], self.raw[token]
-        return out
+                del self.ids[token], self.raw[token]
 
 
 def _digests(vocabulary: str, pattern: str):
@@ -171,9 +205,8 @@ def _digests(vocabulary: str, pattern: str):
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
             counts, names, decoded = [], [], []
-            for at in range(0, batch.num_rows, 256):
-                for text in batch.column(1).slice(at, 256).to_pylist():
-                    entries, raw = memo(text or "")
+            for at in range(0, batch.num_rows, TEXTS):
+                for entries, raw in memo(batch.column(1).slice(at, TEXTS).to_pylist()):
                     ids = "".join(entries)
                     counts.append(ids.count(","))
                     names.append(sha(ids[1:].encode()))
@@ -187,11 +220,10 @@ def _ids(vocabulary: str, pattern: str):
     def run(batches):
         memo = Memo.of(vocabulary, pattern, False)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 ids, decoded = [], []
-                for text in part.column(1).to_pylist():
-                    entries, raw = memo(text or "")
+                for entries, raw in memo(part.column(1).to_pylist()):
                     ids.append([x for e in entries for x in e])
                     decoded.append(raw)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=[batch.schema.names[0], "n_tokens", "ids", "decoded"])
