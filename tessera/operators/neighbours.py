@@ -69,32 +69,60 @@ def self_distance(items: DataFrame, text: str = "text", block: int = BLOCK) -> D
     return pairs.groupBy(F.col("query_id").alias("id")).agg(F.when(same, one(2)).otherwise(one(1)).alias("distance"))
 
 
-def greedy_order(rows: Iterator[tuple], least: float, base: np.ndarray | None, size: int | None, quotas: dict[str, int] | None, tags: bool) -> list[int]:
-    """The positions accepted in one pass over rows (vector, label, tags) in order of preference.
-
-    A row is accepted if it is further than ``least`` from every vector accepted before (and from ``base``), or brings a new tag, while
-    its label's quota lasts; a row refused for its quota does not block later ones. ``least`` 0 asks for no distance.
+class Greedy:
+    """One pass in order of preference (O63). A row is accepted while its label's quota lasts if it is further than ``least`` from every vector accepted
+    before, or brings a new tag; a row refused for its quota does not block later ones. ``least`` 0 asks for no distance.
     """
-    kept = [] if base is None else list(base)
-    seen: set[str] = set()
-    left = dict(quotas or {})
-    out: list[int] = []
-    for at, (vector, label, own) in enumerate(rows):
-        if size is not None and len(out) >= size:
-            break
-        if label in left and left[label] <= 0:
-            continue
+
+    def __init__(self, least: float, size: int | None = None, quotas: dict[str, float] | None = None, tags: bool = False, seen: set[str] | None = None, base: np.ndarray | None = None):
+        self.least, self.size, self.tags = least, size, tags
+        self.left, self.seen = dict(quotas or {}), set(seen or ())
+        self.kept = np.zeros((0, 0)) if base is None else np.asarray(base, np.float64)
+        self.used, self.accepted = len(self.kept), 0
+
+    def full(self) -> bool:
+        return self.size is not None and self.accepted >= self.size
+
+    def take(self, vector, label: str | None = None, own: list[str] | None = None, near: bool = False) -> bool:
+        """Whether the next row is accepted; ``near`` tells that something outside of this pass is near it."""
+        if self.full() or (label in self.left and self.left[label] <= 0):
+            return False
         unit = np.asarray(vector, np.float64)
         unit = unit / max(np.linalg.norm(unit), 1e-300)
-        far = least <= 0 or not kept or float(1 - np.max(np.stack(kept) @ unit)) > least
-        if not (far or (tags and set(own or ()) - seen)):
-            continue
-        out.append(at)
-        kept.append(unit)
-        seen |= set(own or ())
-        if label in left:
-            left[label] -= 1
-    return out
+        new = set() if own is None or not self.tags else set(own) - self.seen
+        far = self.least <= 0 or not (near or (self.used and float(1 - (self.kept[: self.used] @ unit).max()) <= self.least))
+        if not (far or new):
+            return False
+        if self.used == len(self.kept):
+            more = np.zeros((max(64, 2 * self.used), len(unit)))
+            more[: self.used] = self.kept[: self.used] if self.used else 0
+            self.kept = more
+        self.kept[self.used] = unit
+        self.used += 1
+        self.accepted += 1
+        self.seen |= new
+        if label in self.left:
+            self.left[label] -= 1
+        return True
+
+
+def greedy_pass(items: DataFrame, least: float, size: int | None = None, quotas: dict[str, float] | None = None, tags: bool = False, seen: set[str] | None = None) -> DataFrame:
+    """The rows that the pass accepts, from (id, rank, vector) and where there are such columns label, tags and near.
+
+    Quotas and tags make acceptance depend on everything accepted before, so this is one task that streams the rows in order of rank and keeps
+    the accepted vectors; without them ``greedy_select`` gives the same rows in parallel.
+    """
+    names = items.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = Greedy(least, size, quotas, tags, seen)
+        for rows in batches:
+            own = [rows[c] if c in names else [None] * len(rows) for c in ("label", "tags", "near")]
+            yield rows[[state.take(v, label, told, bool(near)) for v, label, told, near in zip(rows["vector"], *own)]]
+            if state.full():
+                return
+
+    return items.coalesce(1).sortWithinPartitions("rank", "id").mapInPandas(run, items.schema)
 
 
 def greedy_select(items: DataFrame, least: float, pairs: DataFrame | None = None, rounds: int = 100) -> DataFrame:

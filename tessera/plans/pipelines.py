@@ -82,8 +82,8 @@ def diversity_report(rows: DataFrame, tags: str = "tags") -> DataFrame:
 def build_mixture(mix: Mixture, load: Callable[[dict], DataFrame], embed: Callable[[DataFrame], DataFrame], identify: Column | None = None, share: float = 0.985, seed: str = "") -> DataFrame:
     """Scored parts to one split mixture (P7). ``load`` gives a part's rows: data_id (long), messages, origin, language and metrics.
 
-    The first part gives its best rows; each later one what is far enough from all accepted before, in order of preference. With
-    quotas or tags the pass is sequential by nature, as a row refused for its quota does not block later ones; without them it runs in parallel rounds.
+    The first part gives its best rows within its quotas; each later one what is far enough from all accepted before, or brings a new tag (ins_tags), in
+    order of preference. With quotas or tags that pass is sequential by nature; without them it runs in parallel rounds.
     """
     frames = [(p, load(p)) for p in mix.parts]
     scored = [f for p, f in frames if p.get("sample_scored", True)]
@@ -102,16 +102,23 @@ def build_mixture(mix: Mixture, load: Callable[[dict], DataFrame], embed: Callab
             rows = rows.where(F.col(p["filter_key"]) == p["subset_name"])
         if p.get("language_filter"):
             rows = gates.language_filter(rows, p["language_filter"], identify=identify)
-        size = p.get("sample_size")
-        if p.get("setfit_limits") and size:
-            rows = ranking.category_quota(rows, "setfit_label", "overall_preference", "data_id", p["setfit_limits"], size)
-        if number and p.get("min_distance", 0) > 0:
+        size, least = p.get("sample_size"), p.get("min_distance", 0)
+        quotas = {k: q * size for k, q in p["setfit_limits"].items()} if p.get("setfit_limits") and size else {}
+        if number and (least > 0 or quotas):
             ranked = ranking.global_rank(rows, F.floor(-F.coalesce("overall_preference", F.lit(-1e9)) * 1000), [F.desc_nulls_last("overall_preference"), F.asc("data_id")])
-            items = embed(ranked.withColumn("id", F.col("data_id")).withColumn("text", chat.user_text(F.col("messages")))).withColumnRenamed("embedding", "vector")
-            old = embed(kept.withColumn("id", F.col("data_id")).withColumn("text", chat.user_text(F.col("messages")))).withColumnRenamed("embedding", "vector")
-            near = neighbours.nearest(items, old, 1).where(F.col("distance") <= p["min_distance"])
-            items = items.join(near.select(F.col("query_id").alias("id")), "id", "left_anti")
-            rows = neighbours.greedy_select(items, p["min_distance"]).drop("vector", "id", "text", "rank")
+            vectors = lambda df: embed(df.withColumn("id", F.col("data_id")).withColumn("text", chat.user_text(F.col("messages")))).withColumnRenamed("embedding", "vector")
+            items = vectors(ranked)
+            near = neighbours.nearest(items, vectors(kept), 1).where(F.col("distance") <= least).select(F.col("query_id").alias("id"))
+            tagged = "ins_tags" in rows.columns
+            if quotas or tagged:
+                items = items.join(near.withColumn("near", F.lit(True)), "id", "left").withColumn("label", F.col("setfit_label"))
+                items = items.withColumn("tags", T.tag_names(F.col("ins_tags"))) if tagged else items
+                seen = {r[0] for r in kept.select(F.explode(T.tag_names(F.col("ins_tags")))).distinct().collect()} if "ins_tags" in kept.columns else set()  # a tag vocabulary
+                rows = neighbours.greedy_pass(items, least, size, quotas, tagged, seen).select(*rows.columns)
+            else:
+                rows = neighbours.greedy_select(items.join(near, "id", "left_anti"), least).select(*rows.columns)
+        elif quotas:
+            rows = ranking.category_quota(rows, "setfit_label", "overall_preference", "data_id", p["setfit_limits"], size)
         rows = ranking.top(rows, "overall_preference", "data_id", size) if size else rows
         kept = rows if kept is None else kept.unionByName(rows, allowMissingColumns=True)
     if kept is None:

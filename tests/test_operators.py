@@ -132,21 +132,30 @@ def test_self_distance(spark):
     assert got[0] == pytest.approx(0) and got[1] == pytest.approx(0) and got[2] == pytest.approx(0.2) and got[3] == pytest.approx(0.2)
 
 
+def accepted(rows, *args, **more):
+    state = neighbours.Greedy(*args, **more)
+    return [k for k, r in enumerate(rows) if state.take(*r)]
+
+
 def test_greedy_select_is_the_sequential_pass(spark):
     rows = [(i, (i * 37) % 101, v) for i, v in vectors(100, seed=3)]
     df = spark.createDataFrame(rows, "id long, rank long, vector array<double>")
     ordered = sorted(rows, key=lambda r: r[1])
     for least in (0.05, 0.3):
-        kept = neighbours.greedy_order(((v, None, None) for _, _, v in ordered), least, None, None, None, False)
-        assert ids(neighbours.greedy_select(df, least)) == sorted(ordered[k][0] for k in kept)
+        kept = sorted(ordered[k][0] for k in accepted([(v,) for _, _, v in ordered], least))
+        assert ids(neighbours.greedy_select(df, least)) == kept
+        assert ids(neighbours.greedy_pass(df.repartition(5), least)) == kept
 
 
-def test_greedy_order_with_quotas_and_tags():
+def test_greedy_pass_with_quotas_and_tags(spark):
     rows = [([1, 0], "a", ["x"]), ([1, 0.01], "a", ["x"]), ([1, 0.01], "b", ["y"]), ([0, 1], "a", []), ([0, -1], "a", []), ([-1, 0], "b", [])]
-    assert neighbours.greedy_order(iter(rows), 0.3, None, None, {"a": 2}, True) == [0, 2, 3, 5]
-    assert neighbours.greedy_order(iter(rows), 0.3, None, 2, None, False) == [0, 3]
-    assert neighbours.greedy_order(iter(rows), 0.3, np.array([[1.0, 0.0]]), None, None, False) == [3, 4, 5]
-    assert neighbours.greedy_order(iter(rows), 0, None, None, None, False) == [0, 1, 2, 3, 4, 5]
+    assert accepted(rows, 0.3, quotas={"a": 2}, tags=True) == [0, 2, 3, 5]
+    assert accepted(rows, 0.3, size=2) == [0, 3]
+    assert accepted(rows, 0.3, base=np.array([[1.0, 0.0]])) == [3, 4, 5]
+    assert accepted(rows, 0.3, tags=True, seen={"x", "y"}) == [0, 3, 4, 5]
+    assert accepted(rows, 0) == [0, 1, 2, 3, 4, 5]
+    df = spark.createDataFrame([(i, i, [float(c) for c in v], label, tags, i == 3) for i, (v, label, tags) in enumerate(rows)], "id long, rank long, vector array<double>, label string, tags array<string>, near boolean")
+    assert ids(neighbours.greedy_pass(df.repartition(3), 0.3, quotas={"a": 2}, tags=True)) == [0, 2, 4, 5]
 
 
 def test_collection_and_pairs(spark):

@@ -202,6 +202,11 @@ def test_mixture(spark):
     assert len({r.messages[0].content for r in out if r.origin == "o100"}) == sum(r.origin == "o100" for r in out)
     plain = pipelines.build_mixture(load_mixture({"m": {"data": [{"name": "a", "sample_scored": False, "filter_key": "setfit_label", "subset_name": "x", "setfit_limits": {"x": 0.5}, "sample_size": 4}]}}), lambda p: parts["a"], lambda df: df)
     assert plain.count() == 2
+    limited = load_mixture({"m": {"data": [{"name": "a", "sample_size": 4}, {"name": "b", "sample_size": 10, "min_distance": 0.3, "setfit_limits": {"x": 0.1}}]}})
+    parts["b"] = part(100, 20, ["river stone", "green apple", "fast trains", "old music", "warm bread", "night sky", "paper boat", "quiet room"])
+    tagged = {k: f.withColumn("ins_tags", F.array(F.struct(F.lit("t" if k == "a" else "u").alias("tag"), F.lit("").alias("explanation")))) for k, f in parts.items()}
+    rows = [r for r in pipelines.build_mixture(limited, lambda p: tagged[p["name"]], lambda df: hashed_embedding(df, "text")).collect() if r.origin == "o100"]
+    assert sum(r.setfit_label == "x" for r in rows) == 1 and len(rows) >= 2
 
 
 def test_translation_pipeline(spark):
