@@ -80,8 +80,10 @@ def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 500 + k) for k in range(1, 40)] + [(700, 700), (None, 3), (801, 800), (800, 801)]
     rng.shuffle(edges)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(201)}, **{500 + k: 500 for k in range(40)}, 800: 800, 801: 800}
+    want = {**{i: 0 for i in range(201)}, **{500 + k: 500 for k in range(40)}, 800: 800, 801: 800}
+    for small in (0, 60, 1000):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+        assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
