@@ -7,7 +7,7 @@ sample. A document is the mean of its words' vectors. A two-layer network in num
 label 1, divided by a temperature fitted on rows that the network has not seen.
 
 Training takes at most ``sample`` labelled rows, chosen by a hash of their ids, whole texts; only their form counts reach the driver
-(sample x FORMS numbers and PARTS matrices of FORMS x FORMS). Scoring reads every whole text.
+(at most sample x FORMS numbers and PARTS matrices of FORMS x FORMS, without zeros). Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._text import Words, mix64, pieces
 
-FORMS, WIDTH, HIDDEN, NEIGHBOURS, PARTS = 1024, 96, 24, 2, 8
+FORMS, WIDTH, HIDDEN, NETS, NEIGHBOURS, PARTS = 1024, 96, 24, 5, 2, 8
 
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[ord("A") : ord("Z") + 1] = 1
@@ -54,6 +54,19 @@ def form_counts(words: Words, form: np.ndarray) -> np.ndarray:
     return np.bincount(words.rows() * FORMS + form, minlength=rows * FORMS).reshape(rows, FORMS).astype(np.float32)
 
 
+def _sparse(counts: np.ndarray) -> bytes:
+    """The places and values that are not 0, four bytes each."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u4").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def _dense(told: bytes, size: int) -> np.ndarray:
+    half = len(told) // 2
+    out = np.zeros(size, np.float32)
+    out[np.frombuffer(told[:half], "<u4")] = np.frombuffer(told[half:], "<f4")
+    return out
+
+
 def _training_rows(batches):
     """A row of counts for each labelled document, and per task one matrix of which forms stand near which."""
     near = np.zeros(FORMS * FORMS, np.float32)
@@ -67,10 +80,10 @@ def _training_rows(batches):
                 ok = row[step:] == row[:-step]
                 near += np.bincount(form[:-step][ok] * FORMS + form[step:][ok], minlength=FORMS * FORMS)
             seen = True
-            told = [x.tobytes() for x in form_counts(words, form)]
+            told = [_sparse(x) for x in form_counts(words, form)]
             yield pa.RecordBatch.from_arrays([pa.array(label[first : first + len(part)], pa.int32()), pa.array(told, pa.binary())], names=["label", "told"])
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([near.tobytes()], pa.binary())], names=["label", "told"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([_sparse(near)], pa.binary())], names=["label", "told"])
 
 
 @dataclass
@@ -146,24 +159,26 @@ def fit_quality(
     """Learns from at most ``sample`` labelled rows. Without any the score is 0.5, with one label only that label's."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(sample)  # its size is bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("label", "text")
-    told = rows.repartition(PARTS).mapInArrow(_training_rows, "label int, told binary").collect()
-    counts = [np.frombuffer(r["told"], np.float32) for r in told if r["label"] is not None]
-    y = np.array([r["label"] for r in told if r["label"] is not None], np.float64)
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("label", "text")
+    told = texts.repartition(PARTS).mapInArrow(_training_rows, "label int, told binary").collect()
+    rows = sorted((r["label"], bytes(r["told"])) for r in told if r["label"] is not None)  # the same order, wherever they came from
+    y = np.array([label for label, _ in rows], np.float64)
     near = np.zeros((FORMS, FORMS), np.float32)
     for r in told:
         if r["label"] is None:
-            near += np.frombuffer(r["told"], np.float32).reshape(FORMS, FORMS)
+            near += _dense(bytes(r["told"]), FORMS * FORMS).reshape(FORMS, FORMS)
+    del told
     none = QualityModel(word_vectors(near, seed), (np.zeros((WIDTH, HIDDEN), np.float32), np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), 0.0), np.zeros(WIDTH), np.ones(WIDTH), 1.0)
     if len(set(y.tolist())) < 2:
         if len(y):
             none.layers = (*none.layers[:3], 4.0 if y[0] else -4.0)
         return none
-    order = np.lexsort([[c.tobytes() for c in counts], y])  # the same rows in the same order, wherever they came from
-    x, y = none.pooled(np.stack(counts))[order], y[order]
+    x = np.concatenate([none.pooled(np.stack([_dense(c, FORMS) for _, c in rows[at : at + 256]])) for at in range(0, len(rows), 256)])
     aside = np.arange(len(y)) % 5 == 0
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-4
-    layers = _network((x[~aside] - mean) / scale, y[~aside], seed)
+    nets = [_network((x[~aside] - mean) / scale, y[~aside], seed + k) for k in range(NETS)]
+    # the mean of their logits is one network with all their hidden units
+    layers = (np.hstack([n[0] for n in nets]), np.concatenate([n[1] for n in nets]), np.concatenate([n[2] for n in nets]) / NETS, float(np.mean([n[3] for n in nets])))
     model = QualityModel(none.vectors, layers, mean.astype(np.float32), scale.astype(np.float32), 1.0)
     model.temperature = _temperature(model.logits(x[aside]), y[aside])
     return model
