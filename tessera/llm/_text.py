@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once by one numpy pass; a longer document is a pass of its own, whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

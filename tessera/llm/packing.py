@@ -149,7 +149,7 @@ class WordIds:
     At most MEMO parts are known at a time.
     """
 
-    MEMO = 2_500_000
+    MEMO = 1_500_000
     known: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
@@ -170,8 +170,8 @@ class WordIds:
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -204,7 +204,7 @@ class WordIds:
         if len(new):
             self._learn(keys[new], words, first[new])
         where = np.searchsorted(self.keys, keys)
-        size, begin = self.size[where], self.at[where]
+        size, begin = self.size[where].astype(np.int64), self.at[where].astype(np.int64)
         each = size[inverse]
         total = np.concatenate([[0], np.cumsum(each)])
         source = np.repeat(begin[inverse] - total[:-1], each) + np.arange(total[-1])
