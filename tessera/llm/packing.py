@@ -307,7 +307,7 @@ def pack(
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     plan = slots(local_search(best_fit(counts, capacity), capacity, steps))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = cut.join(by_task.select("length", "task", before.alias("before")), ["length", "task"])
+    ranked = cut.join(by_task.select("length", "task", before.alias("before")).hint("merge"), ["length", "task"])  # grows with the tasks
     placed = ranked.select("id", "piece", "start", "length", "ids", (F.col("before") + F.col("nth")).alias("rank"))
     out = placed.mapInArrow(_place(plan), f"id {kind}, piece int, start long, length long, ids {told}, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
