@@ -149,7 +149,7 @@ class FingerprintIndex:
         path = new_path(self.spark, "run")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = anchors.repartitionByRange(parts, "fp", "id").sortWithinPartitions("fp", "id")
-        rows.write.option("compression", "zstd").parquet(path)
+        rows.write.parquet(path)
         self.runs.append(path)
         return path
 
