@@ -64,16 +64,24 @@ def small_batches(spark: SparkSession):
         spark.conf.set(BATCH_CONF, before)
 
 
+def most_files(spark: SparkSession) -> int:
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 class Kept:
-    """Tables written to the shared folder: they cut lineage and survive lost executors. ``drop`` deletes one early."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors. ``drop`` deletes one early.
+
+    A table has at most two files for each core, since a local or mounted folder takes a process for each file's permissions. ``whole``
+    keeps the partitions as they are, for rows that tell the number of their task.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, whole: bool = False) -> DataFrame:
         path = new_path(self.spark, name)
         with small_batches(self.spark):
-            df.write.parquet(path)
+            (df if whole else df.coalesce(most_files(self.spark))).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Kept
+from tessera.llm._store import Kept, most_files
 from tessera.llm._text import Words, pieces
 
 Bins = Counter  # pattern (lengths, largest first) -> number of such bins
@@ -300,9 +300,9 @@ def pack(
     kept = Kept(spark)
     kind = dict(docs.dtypes)[id_col]
     told = "long" if output == "crc32" else "binary"
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).coalesce(most_files(spark))
     # Written once: ranks count rows as they were written, whatever happens to executors later.
-    cut = kept.put(base.mapInArrow(_pieces(tokenizer, capacity, last, output), f"id {kind}, piece int, start long, length long, ids {told}, task int, nth long"), "pieces")
+    cut = kept.put(base.mapInArrow(_pieces(tokenizer, capacity, last, output), f"id {kind}, piece int, start long, length long, ids {told}, task int, nth long"), "pieces", whole=True)
     by_task = kept.put(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     plan = slots(local_search(best_fit(counts, capacity), capacity, steps))
