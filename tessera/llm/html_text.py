@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Kept
+from tessera.llm._store import Kept, most_files
 
 # Element names and words in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,4 +264,4 @@ def main_text(
     kept.drop(found, template)
     kinds = dict(pages.dtypes)
     out = rows.join(told, ["k1", "k2"], "left").select(id_col, url_col, "html", "gone")
-    return out.mapInArrow(_extract, f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string")
+    return out.mapInArrow(_extract, f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string").coalesce(most_files(spark))
