@@ -65,14 +65,15 @@ def small_batches(spark: SparkSession):
 
 
 def most_files(spark: SparkSession) -> int:
-    return 2 * spark.sparkContext.defaultParallelism
+    """Two for each core, or an eighth of the shuffle partitions if those are more."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
 
 
 class Kept:
     """Tables written to the shared folder: they cut lineage and survive lost executors. ``drop`` deletes one early.
 
-    A table has at most two files for each core, since a local or mounted folder takes a process for each file's permissions. ``whole``
-    keeps the partitions as they are, for rows that tell the number of their task.
+    After a shuffle a table has no more files than ``most_files``, since a local or mounted folder takes a process for each file's permissions.
+    ``whole`` keeps the partitions as they are: those of a scan, which follow the input, and of rows that tell the number of their task.
     """
 
     def __init__(self, spark: SparkSession):

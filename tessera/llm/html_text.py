@@ -253,7 +253,7 @@ def main_text(
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col), F.col(url_col), host.alias("host"), F.col(html_col).alias("html"))
     rows = rows.withColumn("k1", F.xxhash64("host", "html")).withColumn("k2", F.xxhash64(F.lit(0x5EED), "html"))
-    found = kept.put(rows.select("k1", "k2", "host", "html").mapInArrow(_subtrees, "k1 long, k2 long, host string, subtree long, inner boolean"), "subtrees")
+    found = kept.put(rows.select("k1", "k2", "host", "html").mapInArrow(_subtrees, "k1 long, k2 long, host string, subtree long, inner boolean"), "subtrees", whole=True)
     total = rows.groupBy("host").agg(F.count("*").alias("of"))
     counts = found.groupBy("host", "subtree", "inner").agg(F.count("*").alias("n"))
     often = lambda least, share: (F.col("n") >= least) & (F.col("n") >= share * F.col("of"))

@@ -183,7 +183,7 @@ def shingle_links(
     kept = Kept(spark)
     depth = forest_depth(trees, longest, threshold, recall)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    keys = kept.put(base.mapInArrow(_signer(n, trees, depth, seed), "id long, k1 long, k2 long, words long, nodes array<long>"), "keys")
+    keys = kept.put(base.mapInArrow(_signer(n, trees, depth, seed), "id long, k1 long, k2 long, words long, nodes array<long>"), "keys", whole=True)
     firsts = keys.where("words > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("words").alias("words"), F.first("nodes").alias("nodes"))
     reps = kept.put(firsts, "reps")
     nodes = reps.select("rep", F.posexplode("nodes").alias("tree", "node"))

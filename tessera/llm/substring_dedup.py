@@ -178,7 +178,7 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
         shape = "id long, k1 long, k2 long, variant int, words long, fps array<long>"
-        scan = self.kept.put(base.mapInArrow(_anchors(self.window), shape).where(F.col("words") >= self.window), "scan")
+        scan = self.kept.put(base.mapInArrow(_anchors(self.window), shape).where(F.col("words") >= self.window), "scan", whole=True)
         firsts = scan.select("k1", "k2", "id")
         for old in self.keys:
             firsts = firsts.unionByName(old)
