@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import shutil
 import tempfile
 import uuid
@@ -52,16 +51,11 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Meanwhile Arrow batches hold at most BATCH_BYTES of text, as each lies in the JVM and in Python at once for every task of an executor."""
-    before = spark.conf.get(BATCH_CONF)
-    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > BATCH_BYTES:
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session hold at most BATCH_BYTES, as each lies in the JVM and in Python at once for every task of an
+    executor. A smaller setting stays. It outlives the call, because results are computed later."""
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF)) > BATCH_BYTES:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_CONF, before)
 
 
 def most_files(spark: SparkSession) -> int:
@@ -81,8 +75,8 @@ class Kept:
 
     def put(self, df: DataFrame, name: str, whole: bool = False) -> DataFrame:
         path = new_path(self.spark, name)
-        with small_batches(self.spark):
-            (df if whole else df.coalesce(most_files(self.spark))).write.parquet(path)
+        small_batches(self.spark)
+        (df if whole else df.coalesce(most_files(self.spark))).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out

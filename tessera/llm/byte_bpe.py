@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._store import small_batches
+
 #: Pre-tokens of at most so many characters are looked up in, and added to, a worker's memo of at most MEMO entries.
 MEMO_CHARS, MEMO = 64, 1_000_000
 #: Texts whose new pre-tokens are merged together, and pre-tokens in one queue.
@@ -152,6 +154,7 @@ def encode_documents(
     Defined cases: null and empty texts have no tokens; rows with null or repeated ids are rows like any others; texts are never cut;
     an empty table gives an empty result; extra columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     if output == "digest":
         return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(_digests(vocabulary, pattern), f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

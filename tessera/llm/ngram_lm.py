@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Kept, delete, new_path, runs
+from tessera.llm._store import Kept, delete, new_path, runs, small_batches
 from tessera.llm._text import Words, mix64, pieces
 
 END = np.uint64(0xE9D)
@@ -358,6 +358,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     if order < 2:
         raise ValueError("an order of 2 or more")
     spark = docs.sparkSession
+    small_batches(spark)
     kept = Kept(spark)
     texts = docs.select(F.col(text_col).alias("text"))
     bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()

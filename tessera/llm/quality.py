@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._store import small_batches
 from tessera.llm._text import Words, mix64, pieces
 
 FORMS, WIDTH, HIDDEN, NETS, NEIGHBOURS, PARTS = 1024, 96, 24, 5, 2, 8
@@ -157,6 +158,7 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8000, seed: int = 5,
 ) -> QualityModel:
     """Learns from at most ``sample`` labelled rows. Without any the score is 0.5, with one label only that label's."""
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(sample)  # its size is bounded, so it may be broadcast
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("label", "text")
@@ -205,6 +207,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     Only the text is an input of the score. Defined cases: null and empty texts have no words and get the network's value for the
     zero vector; repeated rows get the same score; an empty table gives an empty result; other columns pass unchanged.
     """
+    small_batches(docs.sparkSession)
     rows = docs.drop(score_col).withColumn("_text", F.col(text_col))
     shape = rows.drop("_text").schema.add(score_col, "double")
     return rows.mapInArrow(_scorer(model, score_col), shape)
