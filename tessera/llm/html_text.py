@@ -3,7 +3,8 @@
 Each page is parsed to element subtrees, which are hashed bottom up. Spark counts on how many pages of a host a subtree
 occurs, and subtrees that recur across many of them are deleted: outside an article or main element from
 ``outer_pages`` pages and ``outer_share`` of the host's pages on, within one from ``inner_pages`` and ``inner_share`` on, so
-that copies of an article are not taken for a template. What a page marks itself as a menu, header, footer, sidebar,
+that copies of an article are not taken for a template. A subtree is deleted only on the side, outside or within, where it
+recurs, and what stands in elements that go anyway is not counted. What a page marks itself as a menu, header, footer, sidebar,
 notice, advert, form, script, style or reader comments goes too. If there are article elements, the main text is
 theirs, else that of main elements, else that of the body.
 """
@@ -59,9 +60,10 @@ class _Element:
 
 class Page:
     """``subtrees``: signed 64-bit hashes of the block elements, within an article or main element or not;
-    ``text``: the main text, with the subtrees in ``template`` deleted."""
+    ``text``: the main text, with the subtrees in ``template``, pairs as in ``subtrees``, deleted. What stands in a skipped
+    element is no subtree."""
 
-    def __init__(self, source: str, template: frozenset[int] | set[int] = frozenset(), hashing: bool = True):
+    def __init__(self, source: str, template: frozenset[tuple[int, bool]] | set[tuple[int, bool]] = frozenset(), hashing: bool = True):
         self.subtrees: set[tuple[int, bool]] = set()
         self.template = template
         self.hashing = hashing
@@ -117,17 +119,19 @@ class Page:
         if block:
             self._flush()
         self.stack.pop()
+        shown = not self.skipping
         self.skipping -= element.skips
         if not self.hashing:
             return
         told = _digest(element.name + "\x00" + "\x00".join(element.parts))
         if element.parts:
             self.stack[-1].parts.append(f"{told:016x}")
-        if block and element.parts and element.name not in ("html", "body", "article", "main"):
+        if block and shown and element.parts and element.name not in ("html", "body", "article", "main"):
             signed = told - (1 << 64) if told >> 63 else told
             self.subtrees.add((signed, element.region > 0))
-            if signed in self.template:
-                del self.blocks[element.at :]
+            if (signed, element.region > 0) in self.template:
+                # what it holds of an article goes by the thresholds of its own subtrees
+                self.blocks[element.at :] = [] if element.region else [b for b in self.blocks[element.at :] if b[0]]
 
     def _end(self, name: str, stops: frozenset[str]) -> None:
         """Closes the nearest open element of that name, unless one of ``stops`` stands before it."""
@@ -232,7 +236,8 @@ def _extract(batches):
             part = batch.slice(begin, 500)
             texts = []
             for source, gone in zip(part.column("html").to_pylist(), part.column("gone").to_pylist()):
-                texts.append(Page(source or "", frozenset(gone or ()), hashing=bool(gone)).text)
+                template = frozenset((x["subtree"], x["inner"]) for x in gone or ())
+                texts.append(Page(source or "", template, hashing=bool(gone)).text)
             keep = [(c, part.column(i)) for i, c in enumerate(part.schema.names) if c not in ("html", "gone")]
             yield pa.RecordBatch.from_arrays([*(x for _, x in keep), pa.array(texts, pa.string())], names=[*(c for c, _ in keep), "text"])
 
@@ -258,8 +263,8 @@ def main_text(
     counts = found.groupBy("host", "subtree", "inner").agg(F.count("*").alias("n"))
     often = lambda least, share: (F.col("n") >= least) & (F.col("n") >= share * F.col("of"))
     template = counts.where(F.col("n") >= min(outer_pages, inner_pages)).join(total, "host").where(F.when(F.col("inner"), often(inner_pages, inner_share)).otherwise(often(outer_pages, outer_share)))
-    template = kept.put(template.select("host", "subtree").distinct(), "template")
-    gone = found.join(template, ["host", "subtree"]).groupBy("k1", "k2").agg(F.collect_set("subtree").alias("gone"))
+    template = kept.put(template.select("host", "subtree", "inner"), "template")
+    gone = found.join(template, ["host", "subtree", "inner"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("subtree", "inner")).alias("gone"))
     told = kept.put(gone, "gone")
     kept.drop(found, template)
     kinds = dict(pages.dtypes)

@@ -149,6 +149,25 @@ def test_site_templates(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_templates_outside_leave_articles(spark):
+    """Blocks that recur in footers, asides or plain divs of a host, or wrappers of copied articles, take nothing out of its articles."""
+    pages = []
+    for k in range(12):
+        same = "<p>Released under MIT</p><h2>Title</h2>" if k < 4 else ""
+        extra = "<div><p>Released under MIT</p></div><footer><p>Released under MIT</p></footer><aside><h2>Title</h2></aside>"
+        pages.append((k, f"https://a.example/{k}", f"<body><article><p>Own {k}</p>{same}</article>{extra}</body>"))
+        copied = "copied" if k < 6 else f"other {k}"
+        pages.append((100 + k, f"https://b.example/{k}", f"<body><div><article><p>It is {copied}</p></article></div></body>"))
+        body = "<p>Thanks</p>" if k == 0 else "<footer><p>Thanks</p></footer>"
+        pages.append((200 + k, f"https://c.example/{k}", f"<body><p>Mine {k}</p>{body}</body>"))
+    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == {
+        **{k: f"Own {k}" + ("\nReleased under MIT\nTitle" if k < 4 else "") for k in range(12)},
+        **{100 + k: "It is " + ("copied" if k < 6 else f"other {k}") for k in range(12)},
+        **{200 + k: f"Mine {k}" + ("\nThanks" if k == 0 else "") for k in range(12)},
+    }
+
+
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
 
