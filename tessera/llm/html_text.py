@@ -2,9 +2,10 @@
 
 Each page is parsed to element subtrees, which are hashed bottom up. Spark counts on how many pages of a host a subtree
 occurs, and subtrees that recur across many of them are deleted: outside an article or main element from
-``outer_pages`` pages and ``outer_share`` of the host's pages on, within one from ``inner_pages`` and ``inner_share`` on, so
-that copies of an article are not taken for a template. A subtree is deleted only on the side, outside or within, where it
-recurs, and what stands in elements that go anyway is not counted. What a page marks itself as a menu, header, footer, sidebar,
+``outer_pages`` pages on, if these are ``outer_share`` of the host's pages or ``outer_many``, within one from ``inner_pages``
+and ``inner_share`` on, so that copies of an article are not taken for a template. Pages of a host with the same main text
+count as one page, and a subtree that holds all of a page's main text is no template on that page. A subtree is deleted
+only on the side, outside or within, where it recurs, and what stands in elements that go anyway is not counted. What a page marks itself as a menu, header, footer, sidebar,
 notice, advert, form, script, style or reader comments goes too. If there are article elements, the main text is
 theirs, else that of main elements, else that of the body.
 """
@@ -60,14 +61,14 @@ class _Element:
 
 class Page:
     """``subtrees``: signed 64-bit hashes of the block elements, within an article or main element or not;
-    ``text``: the main text, with the subtrees in ``template``, pairs as in ``subtrees``, deleted. What stands in a skipped
-    element is no subtree."""
+    ``text``: the main text, with the subtrees in ``template``, pairs as in ``subtrees``, deleted; ``content``: a hash of the
+    main text with nothing deleted. What stands in a skipped element is no subtree, nor is one that holds all of the main text."""
 
     def __init__(self, source: str, template: frozenset[tuple[int, bool]] | set[tuple[int, bool]] = frozenset(), hashing: bool = True):
         self.subtrees: set[tuple[int, bool]] = set()
-        self.template = template
         self.hashing = hashing
         self.blocks: list[tuple[int, str]] = []
+        self.spans: list[tuple[int, bool, int, int]] = []
         self.line: list[str] = []
         self.skipping = 0
         self.stack = [_Element("", False, 0, 0)]
@@ -75,11 +76,18 @@ class Page:
         while len(self.stack) > 1:
             self._close()
         self._flush()
-        for region in (2, 1, 0):
-            found = [x for r, x in self.blocks if r >= region]
-            if found or any(r >= region for r in self.seen):
-                break
-        self.text = "\n".join(found)
+        region = max(self.seen)
+        main = [i for i, (r, _) in enumerate(self.blocks) if r >= region]
+        self.content = _digest("\n".join(self.blocks[i][1] for i in main))
+        gone: set[int] = set()
+        for told, inner, begin, end in self.spans:
+            if main and begin <= main[0] and end > main[-1]:
+                continue  # all of the main text
+            self.subtrees.add((told, inner))
+            if (told, inner) in template:
+                # what it holds of an article goes by the thresholds of its own subtrees
+                gone.update(i for i in range(begin, end) if inner or not self.blocks[i][0])
+        self.text = "\n".join(self.blocks[i][1] for i in main if i not in gone)
 
     def _flush(self) -> None:
         if self.line:
@@ -128,10 +136,7 @@ class Page:
             self.stack[-1].parts.append(f"{told:016x}")
         if block and shown and element.parts and element.name not in ("html", "body", "article", "main"):
             signed = told - (1 << 64) if told >> 63 else told
-            self.subtrees.add((signed, element.region > 0))
-            if (signed, element.region > 0) in self.template:
-                # what it holds of an article goes by the thresholds of its own subtrees
-                self.blocks[element.at :] = [] if element.region else [b for b in self.blocks[element.at :] if b[0]]
+            self.spans.append((signed, element.region > 0, element.at, len(self.blocks)))
 
     def _end(self, name: str, stops: frozenset[str]) -> None:
         """Closes the nearest open element of that name, unless one of ``stops`` stands before it."""
@@ -219,14 +224,16 @@ def _subtrees(batches):
         keys, hosts = batch.column("k1").to_pylist(), batch.column("host").to_pylist()
         seconds = batch.column("k2").to_pylist()
         for begin in range(0, batch.num_rows, 500):
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for k1, k2, host, source in zip(keys[begin : begin + 500], seconds[begin : begin + 500], hosts[begin : begin + 500], batch.column("html").slice(begin, 500).to_pylist()):
-                for told, inner in Page(source or "").subtrees:
-                    for c, v in zip(cols, (k1, k2, host, told, inner)):
+                page = Page(source or "")
+                content = page.content - (1 << 64) if page.content >> 63 else page.content
+                for told, inner in (*page.subtrees, (None, None)):  # the last stands for the page itself
+                    for c, v in zip(cols, (k1, k2, host, content, told, inner)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())],
-                names=["k1", "k2", "host", "subtree", "inner"],
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.bool_())],
+                names=["k1", "k2", "host", "content", "subtree", "inner"],
             )
 
 
@@ -244,7 +251,7 @@ def _extract(batches):
 
 def main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    outer_pages: int = 3, outer_share: float = 0.1, inner_pages: int = 20, inner_share: float = 0.6,
+    outer_pages: int = 3, outer_share: float = 0.1, inner_pages: int = 20, inner_share: float = 0.6, outer_many: int = 100,
 ) -> DataFrame:
     """(page_id, url, text) for every row: character references decoded, white space in a block one space, blocks in
     page order joined by one newline.
@@ -258,15 +265,18 @@ def main_text(
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col), F.col(url_col), host.alias("host"), F.col(html_col).alias("html"))
     rows = rows.withColumn("k1", F.xxhash64("host", "html")).withColumn("k2", F.xxhash64(F.lit(0x5EED), "html"))
-    found = kept.put(rows.select("k1", "k2", "host", "html").mapInArrow(_subtrees, "k1 long, k2 long, host string, subtree long, inner boolean"), "subtrees", whole=True)
-    total = rows.groupBy("host").agg(F.count("*").alias("of"))
-    counts = found.groupBy("host", "subtree", "inner").agg(F.count("*").alias("n"))
-    often = lambda least, share: (F.col("n") >= least) & (F.col("n") >= share * F.col("of"))
-    template = counts.where(F.col("n") >= min(outer_pages, inner_pages)).join(total, "host").where(F.when(F.col("inner"), often(inner_pages, inner_share)).otherwise(often(outer_pages, outer_share)))
-    template = kept.put(template.select("host", "subtree", "inner"), "template")
-    gone = found.join(template, ["host", "subtree", "inner"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("subtree", "inner")).alias("gone"))
+    found = kept.put(rows.select("k1", "k2", "host", "html").mapInArrow(_subtrees, "k1 long, k2 long, host string, content long, subtree long, inner boolean"), "subtrees", whole=True)
+    total = found.where("subtree is null").groupBy("host").agg(F.countDistinct("content").alias("of"))
+    often = lambda least, share, many: (F.col("n") >= least) & ((F.col("n") >= share * F.col("of")) | (F.col("n") >= many))
+    enough = F.when(F.col("inner"), often(inner_pages, inner_share, float("inf"))).otherwise(often(outer_pages, outer_share, outer_many))
+    # rows are no fewer than distinct contents: what too few rows have need not be counted again
+    keys = ["host", "subtree", "inner"]
+    some = found.where("subtree is not null").groupBy(*keys).agg(F.count("*").alias("n")).join(total, "host").where(enough).select(*keys)
+    met = kept.put(found.join(some, keys).select("k1", "k2", "content", *keys), "met")
+    template = kept.put(met.groupBy(*keys).agg(F.countDistinct("content").alias("n")).join(total, "host").where(enough).select(*keys), "template")
+    gone = met.join(template, keys).groupBy("k1", "k2").agg(F.collect_set(F.struct("subtree", "inner")).alias("gone"))
     told = kept.put(gone, "gone")
-    kept.drop(found, template)
+    kept.drop(found, met, template)
     kinds = dict(pages.dtypes)
     out = rows.join(told, ["k1", "k2"], "left").select(id_col, url_col, "html", "gone")
     return out.mapInArrow(_extract, f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string").coalesce(most_files(spark))

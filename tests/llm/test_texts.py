@@ -168,6 +168,27 @@ def test_templates_outside_leave_articles(spark):
     }
 
 
+def test_templates_of_copies_and_of_large_hosts(spark):
+    """Copies without article elements keep their text, alike but for their head too, and so does a page of one block; a notice on
+    100 pages goes, however large the host."""
+    pages = []
+    for k in range(15):
+        body = "<div><h1>Copied</h1><p>whole</p></div>" if k < 6 else f"<div><h1>Other {k}</h1><p>text {k}</p></div>"
+        pages.append((k, f"https://a.example/{k}", f"<head><title>{k % 3}</title></head><body><div>{body}</div></body>"))
+        notice = "<div>Closed</div>" if k < 5 else f"<p>Open {k}</p><div>Closed</div>"
+        pages.append((100 + k, f"https://b.example/{k}", f"<body>{notice}</body>"))
+    for k in range(1200):
+        notice = "<div>On request</div>" if k < 108 else ""
+        rare = "<div>Rare</div>" if k < 99 else ""
+        pages.append((1000 + k, f"https://c.example/{k}", f"<body><p>Text {k}</p>{notice}{rare}</body>"))
+    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == {
+        **{k: "Copied\nwhole" if k < 6 else f"Other {k}\ntext {k}" for k in range(15)},
+        **{100 + k: "Closed" if k < 5 else f"Open {k}" for k in range(15)},
+        **{1000 + k: f"Text {k}" + ("\nRare" if k < 99 else "") for k in range(1200)},
+    }
+
+
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
 
