@@ -138,6 +138,33 @@ def test_search_recall(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["one long", "log-normal"])
+def test_search_recall_on_skewed_norms(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.exp(0.5 * rng.standard_normal((1500, 1))) if kind == "log-normal" else np.where(np.arange(1500) == 7, 1000.0, 1.0)[:, None]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))]
+    got = {}
+    for r in search(frame(spark, rows), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, 20)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    hits = sum(len(got[q] & {i for i, _ in found}) for q, found in want.items())
+    assert hits >= 0.95 * 20 * len(want)
+
+
+def test_search_of_few_rows_is_whole(spark):
+    """A query that meets under k + 1 rows is searched among all."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(c)) for c in rng.standard_normal(64)], 0) for i in range(21)]
+    rows += [(100 + i, [float(np.float32(c)) for c in rng.standard_normal(3)], 0) for i in range(5)]
+    got = {}
+    for r in search(frame(spark, rows), F.col("vec_id") % 20 == 0, block=16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in brute(rows, 20).items()}
+
+
 def test_search_of_nothing(spark):
     assert search(frame(spark, []), F.col("vec_id") % 20 == 0).collect() == []
     assert search(frame(spark, [(0, [1.0], 0)]), F.col("vec_id") % 20 == 0).collect() == []
