@@ -108,6 +108,17 @@ def test_quality_learns_and_passes_columns(spark):
     assert quality.score_quality(frame(spark, []), model).collect() == []
 
 
+def test_quality_tells_words_of_one_form_apart(spark):
+    """Texts of equal word shapes whose labels lie in the words alone."""
+    rng = random.Random(8)
+    kinds = (["spam", "cash", "sell", "wins"], ["good", "calm", "read", "tree"])
+    rows = [(i, " ".join(rng.choice(kinds[i % 2] + ["with", "from", "that"]) for _ in range(40))) for i in range(300)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300) if i % 5], "doc_id long, quality int")
+    out = {r.doc_id: r.score for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()}
+    assert all((out[i] >= 0.5) == bool(i % 2) for i in range(0, 300, 5))
+
+
 def test_quality_without_labels(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int")
