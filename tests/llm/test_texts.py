@@ -237,7 +237,7 @@ def slow_model(texts, order):
     return p, vocabulary
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("order", [2, 3, 4, 5])
 def test_kneser_ney(spark, order):
     rng = random.Random(order)
     text = lambda: " ".join(rng.choice(["A", "b", "C", "dé", "É"]) * rng.choice([1, 1, 2]) for _ in range(rng.randrange(12)))
