@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,19 +13,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+SMALL_BYTES = 32 << 20
 
 _own: dict[str, str] = {}
 _written: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; only where it is unset (local runs) a folder of this process."""
+    """``spark.checkpoint.dir`` as the cluster names it; only where it is unset and Spark runs in one process a folder of this process."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known.rstrip("/")
     inner = spark.sparkContext._jsc.sc().getCheckpointDir()
     if inner.isDefined():
         return inner.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _own:
         folder = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -58,16 +62,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
-def most_files(spark: SparkSession) -> int:
-    """Two for each core, or an eighth of the shuffle partitions if those are more."""
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in few partitions if the largest table that its plan reads has at most SMALL_BYTES, which a handful of tasks can hold: two for each
+    core, or an eighth of the shuffle partitions if those are more. A larger one stays as adaptive execution deals it, by bytes."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if any(int(leaves.apply(i).stats().sizeInBytes()) > SMALL_BYTES for i in range(leaves.size())):
+        return df
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 class Kept:
     """Tables written to the shared folder: they cut lineage and survive lost executors. ``drop`` deletes one early.
 
-    After a shuffle a table has no more files than ``most_files``, since a local or mounted folder takes a process for each file's permissions.
-    ``whole`` keeps the partitions as they are: those of a scan, which follow the input, and of rows that tell the number of their task.
+    Small tables are merged to ``few_files``. ``whole`` keeps the partitions as they are also of small ones: those of a scan, which
+    follow the input, and of rows that tell the number of their task.
     """
 
     def __init__(self, spark: SparkSession):
@@ -76,7 +85,7 @@ class Kept:
     def put(self, df: DataFrame, name: str, whole: bool = False) -> DataFrame:
         path = new_path(self.spark, name)
         small_batches(self.spark)
-        (df if whole else df.coalesce(most_files(self.spark))).write.parquet(path)
+        (df if whole else few_files(df)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out

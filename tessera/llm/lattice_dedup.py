@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._components import components
-from tessera.llm._store import Kept, most_files, runs
+from tessera.llm._store import Kept, few_files, runs
 from tessera.llm._text import mix64
 from tessera.llm._vectors import directions, join_groups, keyed, matrices, usable
 
@@ -235,8 +235,9 @@ def lattice_links(
     kept.drop(cells, met, found, joined, member)
     rows = base.withColumn("label", F.when(F.col("part"), F.col("label")))
     out = rows.join(told, ["label", "k1", "k2"], "left")
-    return out.select(
+    told = out.select(
         F.col("id").alias(id_col),
         F.when(F.col("part"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("part"), F.col("rep")).otherwise(F.col("id")).cast("long").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))).coalesce(most_files(spark))
+    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    return few_files(told)

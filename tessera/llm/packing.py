@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Kept, most_files
+from tessera.llm._store import Kept, few_files
 from tessera.llm._text import Words, pieces
 
 Bins = Counter  # pattern (lengths, largest first) -> number of such bins
@@ -310,4 +310,4 @@ def pack(
     ranked = cut.join(by_task.select("length", "task", before.alias("before")).hint("merge"), ["length", "task"])  # grows with the tasks
     placed = ranked.select("id", "piece", "start", "length", "ids", (F.col("before") + F.col("nth")).alias("rank"))
     out = placed.mapInArrow(_place(plan), f"id {kind}, piece int, start long, length long, ids {told}, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id_col).coalesce(most_files(spark))
+    return few_files(out.withColumnRenamed("id", id_col))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Kept, most_files, runs
+from tessera.llm._store import Kept, few_files, runs
 from tessera.llm._vectors import directions, keyed, matrices, usable
 
 REACH = 4
@@ -210,4 +210,4 @@ def search(
     kept.drop(short)
     spread = askers.join(top, "qid").join(members, "vid").where("id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return spread.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score").coalesce(most_files(spark))
+    return few_files(spread.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._components import components
-from tessera.llm._store import Kept, most_files, runs
+from tessera.llm._store import Kept, few_files, runs
 from tessera.llm._text import Words, grams, mix64, pieces, within
 from tessera.llm._vectors import join_groups
 
@@ -216,4 +216,4 @@ def shingle_links(
         F.max(F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), F.min(F.coalesce("component", "id")).cast("long").alias("component_id")
     )
     out = row.unionAll(docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long")))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")).coalesce(most_files(spark))
+    return few_files(out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")))

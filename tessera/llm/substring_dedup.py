@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Kept, delete, most_files, new_path
+from tessera.llm._store import Kept, delete, few_files, new_path
 from tessera.llm._text import Words, grams, mix64, pieces, within
 from tessera.llm.shingle_join import word_keys
 
@@ -149,7 +149,7 @@ class FingerprintIndex:
         path = new_path(self.spark, "run")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = anchors.repartitionByRange(parts, "fp", "id").sortWithinPartitions("fp", "id")
-        rows.coalesce(most_files(self.spark)).write.parquet(path)  # neighbouring ranges
+        few_files(rows).write.parquet(path)  # neighbouring ranges
         self.runs.append(path)
         return path
 
@@ -298,4 +298,4 @@ def dedup_substrings(
     joined = rows.join(by_id, rows._id == by_id.id, "left").select(*own, "text", "spans")
     shape = "".join(f"{c} {dict(docs.dtypes)[name]}, " for c, name in zip(own, passed)) + "n_words long, n_removed long, kept_text string"
     out = joined.mapInArrow(_keep(window, verbatim), shape)
-    return out.select(*(F.col(c).alias(name) for c, name in zip(own, passed)), "n_words", "n_removed", "kept_text").coalesce(most_files(spark))
+    return few_files(out.select(*(F.col(c).alias(name) for c, name in zip(own, passed)), "n_words", "n_removed", "kept_text"))
