@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Kept, most_files
+from tessera.llm._store import Kept, few_files
 
 # Element names and words in class, id and role attributes.
+UNSEEN = frozenset("head button select option datalist svg math canvas object audio video template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-SKIPPED = frozenset("head nav aside form button select option datalist dialog svg math canvas object audio video template menu figure".split()) | RAW
+SKIPPED = frozenset("head nav aside form button select option datalist dialog svg math canvas object audio video template menu".split()) | RAW
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split()
 )
@@ -38,8 +39,14 @@ MARKED = re.compile(
     r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|menu|menus|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|"
     r"header|masthead|footer|comment|comments|disqus|replies|share|sharing|social|related|recommended|widget|widgets|toolbar|skip)(?:$|[\s_-])"
 )
+WITHIN = re.compile(
+    r"(?:^|\s)(?:(?:ads?|adbox|advert|adverts|advertisement|advertising|sponsor|sponsored|promo)(?:[-_][\w-]*)?|"
+    r"comments?(?:[-_][\w-]*)?|disqus|replies|share|sharing|social|newsletter|subscribe)(?=\s|$)"
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
+SALTS = 16
+
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
@@ -64,9 +71,9 @@ class Page:
     ``text``: the main text, with the subtrees in ``template``, pairs as in ``subtrees``, deleted; ``content``: a hash of the
     main text with nothing deleted. What stands in a skipped element is no subtree, nor is one that holds all of the main text."""
 
-    def __init__(self, source: str, template: frozenset[tuple[int, bool]] | set[tuple[int, bool]] = frozenset(), hashing: bool = True):
+    def __init__(self, source: str, template: frozenset[tuple[int, bool]] | set[tuple[int, bool]] = frozenset(), hashing: bool = True, marks: bool = True):
         self.subtrees: set[tuple[int, bool]] = set()
-        self.hashing = hashing
+        self.hashing, self.marks = hashing, marks
         self.blocks: list[tuple[int, str]] = []
         self.spans: list[tuple[int, bool, int, int]] = []
         self.line: list[str] = []
@@ -87,6 +94,8 @@ class Page:
             if (told, inner) in template:
                 # what it holds of an article goes by the thresholds of its own subtrees
                 gone.update(i for i in range(begin, end) if inner or not self.blocks[i][0])
+        if gone.issuperset(main):
+            gone = set()  # a page of templates alone keeps its text
         self.text = "\n".join(self.blocks[i][1] for i in main if i not in gone)
 
     def _flush(self) -> None:
@@ -103,23 +112,36 @@ class Page:
             for other in SIBLINGS[name]:
                 self._end(other, SCOPES)
         region = stack[-1].region
+        if not self.marks:
+            skips = name in UNSEEN or name in RAW
+        elif name == "body" or name == "html":
+            skips = False
+        else:
+            region, skips = self._marked(name, attributes, region)
+        if name not in INLINE:
+            self._flush()
+        self.seen.add(region)
+        stack.append(_Element(name, skips, region, len(self.blocks)))
+        self.skipping += skips
+
+    @staticmethod
+    def _marked(name: str, attributes: str, region: int) -> tuple[int, bool]:
+        """The region of an element in ``region``, and whether it goes. Within an article or main element class and id tell only adverts,
+        comments and what asks the reader to share or subscribe, and only by a whole word."""
+        within = region > 0
         region = 2 if name == "article" else max(region, 1) if name == "main" else region
         skips = name in SKIPPED or (name == "footer") or (name == "header" and region == 0)
-        if attributes and name not in ("html", "body", "article", "main") or name == "article" and attributes:
+        if attributes and name != "main":
             for kind, a, b, c in ATTRIBUTE.findall(attributes):
                 kind, value = kind.lower(), (a or b or c).lower()
                 if kind == "role":
                     region = max(region, 1) if value == "main" else region
                     skips |= value in ROLES
                 elif kind in ("class", "id"):
-                    skips |= MARKED.search(value) is not None
+                    skips |= (WITHIN if within else MARKED).search(value) is not None
                 else:
                     skips |= kind == "hidden" or value == "true"
-        if name not in INLINE:
-            self._flush()
-        self.seen.add(region)
-        stack.append(_Element(name, skips, region, len(self.blocks)))
-        self.skipping += skips
+        return region, skips
 
     def _close(self) -> None:
         element = self.stack[-1]
@@ -219,64 +241,82 @@ class Page:
             self.line.append(" ")
 
 
-def _subtrees(batches):
-    for batch in batches:
-        keys, hosts = batch.column("k1").to_pylist(), batch.column("host").to_pylist()
-        seconds = batch.column("k2").to_pylist()
-        for begin in range(0, batch.num_rows, 500):
-            cols: list[list] = [[], [], [], [], [], []]
-            for k1, k2, host, source in zip(keys[begin : begin + 500], seconds[begin : begin + 500], hosts[begin : begin + 500], batch.column("html").slice(begin, 500).to_pylist()):
-                page = Page(source or "")
-                content = page.content - (1 << 64) if page.content >> 63 else page.content
-                for told, inner in (*page.subtrees, (None, None)):  # the last stands for the page itself
-                    for c, v in zip(cols, (k1, k2, host, content, told, inner)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.bool_())],
-                names=["k1", "k2", "host", "content", "subtree", "inner"],
-            )
-
-
-def _extract(batches):
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 500):
-            part = batch.slice(begin, 500)
-            texts = []
-            for source, gone in zip(part.column("html").to_pylist(), part.column("gone").to_pylist()):
-                template = frozenset((x["subtree"], x["inner"]) for x in gone or ())
-                texts.append(Page(source or "", template, hashing=bool(gone)).text)
-            keep = [(c, part.column(i)) for i, c in enumerate(part.schema.names) if c not in ("html", "gone")]
-            yield pa.RecordBatch.from_arrays([*(x for _, x in keep), pa.array(texts, pa.string())], names=[*(c for c, _ in keep), "text"])
+def _subtrees(marks: bool):
+    def run(batches):
+        for batch in batches:
+            yield from _subtrees_of(batch, marks)
+
+    return run
+
+
+def _subtrees_of(batch: pa.RecordBatch, marks: bool):
+    keys, hosts = batch.column("k1").to_pylist(), batch.column("host").to_pylist()
+    seconds = batch.column("k2").to_pylist()
+    for begin in range(0, batch.num_rows, 500):
+        cols: list[list] = [[], [], [], [], [], []]
+        for k1, k2, host, source in zip(keys[begin : begin + 500], seconds[begin : begin + 500], hosts[begin : begin + 500], batch.column("html").slice(begin, 500).to_pylist()):
+            page = Page(source or "", marks=marks)
+            content = page.content - (1 << 64) if page.content >> 63 else page.content
+            for told, inner in (*page.subtrees, (None, None)):  # the last stands for the page itself
+                for c, v in zip(cols, (k1, k2, host, content, told, inner)):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.bool_())],
+            names=["k1", "k2", "host", "content", "subtree", "inner"],
+        )
+
+
+def _extract(marks: bool):
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                texts = []
+                for source, gone in zip(part.column("html").to_pylist(), part.column("gone").to_pylist()):
+                    template = frozenset((x["subtree"], x["inner"]) for x in gone or ())
+                    texts.append(Page(source or "", template, hashing=bool(gone), marks=marks).text)
+                keep = [(c, part.column(i)) for i, c in enumerate(part.schema.names) if c not in ("html", "gone")]
+                yield pa.RecordBatch.from_arrays([*(x for _, x in keep), pa.array(texts, pa.string())], names=[*(c for c, _ in keep), "text"])
+
+    return run
 
 
 def main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
     outer_pages: int = 3, outer_share: float = 0.1, inner_pages: int = 20, inner_share: float = 0.6, outer_many: int = 100,
+    marks: bool = True,
 ) -> DataFrame:
     """(page_id, url, text) for every row: character references decoded, white space in a block one space, blocks in
     page order joined by one newline.
 
     Defined cases: null html is empty and gives an empty text; a page with a null url belongs to the host ""; repeated
     rows are pages of their own; unclosed elements end with their parent, and broken markup is read as far as it goes; an
-    empty table gives an empty result; extra columns are not read.
+    empty table gives an empty result; extra columns are not read. A very long page is parsed whole, by one task; nesting of any depth is
+    read without recursion.
+
+    Without ``marks`` only recurring subtrees and what browsers do not show are deleted, and the whole body counts as main text; that is the
+    method alone.
     """
     spark = pages.sparkSession
     kept = Kept(spark)
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col), F.col(url_col), host.alias("host"), F.col(html_col).alias("html"))
     rows = rows.withColumn("k1", F.xxhash64("host", "html")).withColumn("k2", F.xxhash64(F.lit(0x5EED), "html"))
-    found = kept.put(rows.select("k1", "k2", "host", "html").mapInArrow(_subtrees, "k1 long, k2 long, host string, content long, subtree long, inner boolean"), "subtrees", whole=True)
+    found = kept.put(rows.select("k1", "k2", "host", "html").mapInArrow(_subtrees(marks), "k1 long, k2 long, host string, content long, subtree long, inner boolean"), "subtrees", whole=True)
     total = found.where("subtree is null").groupBy("host").agg(F.countDistinct("content").alias("of"))
     often = lambda least, share, many: (F.col("n") >= least) & ((F.col("n") >= share * F.col("of")) | (F.col("n") >= many))
     enough = F.when(F.col("inner"), often(inner_pages, inner_share, float("inf"))).otherwise(often(outer_pages, outer_share, outer_many))
     # rows are no fewer than distinct contents: what too few rows have need not be counted again
     keys = ["host", "subtree", "inner"]
     some = found.where("subtree is not null").groupBy(*keys).agg(F.count("*").alias("n")).join(total, "host").where(enough).select(*keys)
-    met = kept.put(found.join(some, keys).select("k1", "k2", "content", *keys), "met")
+    # a subtree that stands on very many pages of a host meets its one row of the smaller side in SALTS tasks
+    spread = lambda t: t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = found.withColumn("salt", F.pmod("k2", F.lit(SALTS)).cast("int"))
+    met = kept.put(salted.join(spread(some), [*keys, "salt"]).select("k1", "k2", "content", *keys, "salt"), "met")
     template = kept.put(met.groupBy(*keys).agg(F.countDistinct("content").alias("n")).join(total, "host").where(enough).select(*keys), "template")
-    gone = met.join(template, keys).groupBy("k1", "k2").agg(F.collect_set(F.struct("subtree", "inner")).alias("gone"))
+    gone = met.join(spread(template), [*keys, "salt"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("subtree", "inner")).alias("gone"))
     told = kept.put(gone, "gone")
     kept.drop(found, met, template)
     kinds = dict(pages.dtypes)
     out = rows.join(told, ["k1", "k2"], "left").select(id_col, url_col, "html", "gone")
-    return out.mapInArrow(_extract, f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string").coalesce(most_files(spark))
+    return few_files(out.mapInArrow(_extract(marks), f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string"))

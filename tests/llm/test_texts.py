@@ -316,3 +316,55 @@ def test_temperature_and_network():
     z = rng.standard_normal(4000) * 2
     y = (rng.random(4000) < 1 / (1 + np.exp(-z / 3))).astype(float)
     assert 2.5 < quality._temperature(z, y) < 3.6
+
+
+def brute_main_text(pages, **limits):
+    """Templates by a plain count of each host's subtrees over its different contents."""
+    outer_pages, outer_share, outer_many, inner_pages, inner_share = 3, 0.1, 100, 20, 0.6
+    by_host = defaultdict(list)
+    for i, url, html in pages:
+        host = re.match(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", url or "")
+        by_host[host[1].lower() if host else ""].append((i, Page(html or "", **limits), html or ""))
+    out = []
+    for rows in by_host.values():
+        seen, contents = defaultdict(set), {p.content for _, p, _ in rows}
+        for _, p, _ in rows:
+            for t in p.subtrees:
+                seen[t].add(p.content)
+        template = set()
+        for (told, inner), c in seen.items():
+            n, share = len(c), len(c) / len(contents)
+            if n >= inner_pages and share >= inner_share if inner else n >= outer_pages and (share >= outer_share or n >= outer_many):
+                template.add((told, inner))
+        out += [(i, Page(html, template, **limits).text) for i, _, html in rows]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_templates_match_a_plain_count(spark, marks):
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    rng = random.Random(12)
+    blocks = [f"<div><p>Block {k}</p><span>of the site</span></div>" for k in range(6)]
+    for k in range(150):
+        inner = "".join(rng.sample(["<p>Same line</p>", f"<p>Line {k % 20}</p>", f"<p>Own {k}</p>", "<h2>Part</h2>"], 3))
+        shell = "<article>{}</article>" if k % 2 else "<div>{}</div>"
+        rows.append((10_000 + k, f"https://h{k % 3}.example/{k}", "<body>" + "".join(rng.sample(blocks, 2)) + shell.format(inner) + rng.choice(blocks) + "</body>"))
+    frame_ = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert Counter((r.page_id, r.text) for r in main_text(frame_, marks=marks).collect()) == brute_main_text(rows, marks=marks)
+
+
+def test_templates_change_pages(spark):
+    """Recurrence alone: the pages of these tables have menus of their own each, so few blocks of theirs are of a template."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    alone = {r.page_id: r.text for r in main_text(pages, marks=False).collect()}
+    none = {r.page_id: r.text for r in main_text(pages, marks=False, outer_pages=1 << 40).collect()}
+    assert 10 <= sum(alone[i] != none[i] for i in none) and all(len(alone[i]) <= len(none[i]) for i in none)
+
+
+def test_names_within_articles(spark):
+    page = """<body><article><h1 class="post-header">Title</h1><div class="related-work">Work</div><p class="skip">Kept</p><figure><pre>code</pre><figcaption>Caption</figcaption></figure>
+<div class="ad-slot">Buy</div><div id="comments">Nice</div><form>Mail</form><p class="ad">Ad</p></article><div class="related-posts">More</div></body>"""
+    assert Page(page).text == "Title\nWork\nKept\ncode\nCaption"
+    copies = [(k, "https://a.example/x", "<body><h1>Head</h1><p>Text</p></body>") for k in range(3)] + [(10 + k, "https://b.example/x", "<body><article><p>One</p><p>Two</p></article></body>") for k in range(25)]
+    out = Counter(r.text for r in main_text(spark.createDataFrame(copies, "page_id long, url string, html string")).collect())
+    assert out == Counter({"Head\nText": 3, "One\nTwo": 25})
