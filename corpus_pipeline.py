@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Kept, most_files
+from tessera.llm._store import Kept, few_files
 from tessera.llm.packing import pack
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.queries import fifth
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = shingle_links(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti").coalesce(most_files(spark))  # rows with a null id stay
+    return few_files(docs.join(gone, docs.doc_id == gone._gone, "left_anti"))  # rows with a null id stay
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
