@@ -16,8 +16,8 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+_PLACE = np.uint64(0x9E6C63D0676A9A99)
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -71,21 +71,23 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.bytes)
-        if len(_powers.get("up", ())) < n + 1:
-            size = max(n + 1, CHUNK_BYTES + 1)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                _powers[name] = np.cumprod(steps, dtype=np.uint64)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _powers["up"][:n], out=total[1:])
-        value = (total[self.end] - total[self.start]) * _powers["down"][self.start]
-        if n > CHUNK_BYTES:
-            _powers.clear()
-        return mix64(value ^ ((self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; hashes of different seeds are independent. Each eight bytes are mixed with their place, then added up."""
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        eights = np.ndarray(len(self.bytes), "<u8", np.concatenate([self.bytes, np.zeros(8, np.uint8)]), strides=(1,))
+        salt = mix64(np.array([seed], np.uint64))
+        size = self.end - self.start
+        count = (size + 7) >> 3
+        if count.max() == 1:
+            total = mix64((eights[self.start] & _TAIL[size]) + salt)
+        else:
+            first = np.cumsum(count) - count
+            nth = np.arange(int(first[-1] + count[-1])) - np.repeat(first, count)
+            at = np.repeat(self.start, count) + 8 * nth
+            left = np.minimum(np.repeat(self.end, count) - at, 8)
+            total = np.add.reduceat(mix64(((eights[at] & _TAIL[left]) + salt) ^ (nth.astype(np.uint64) * _PLACE)), first)
+        return mix64(total ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
     def rows(self) -> np.ndarray:
         """The row of each word."""

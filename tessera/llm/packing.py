@@ -10,19 +10,24 @@ its task plus the counts of the tasks before.
 from __future__ import annotations
 
 import heapq
+import logging
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm._store import Kept, few_files
-from tessera.llm._text import Words, pieces
+from tessera.llm._text import Words, pieces, utf8
+
+log = logging.getLogger(__name__)
 
 Bins = Counter  # pattern (lengths, largest first) -> number of such bins
 
@@ -82,22 +87,24 @@ def _exchange(a: tuple, b: tuple, room: int, gain: int) -> tuple[tuple, tuple] |
     return found
 
 
-def local_search(bins: Bins, capacity: int, steps: int = 20_000) -> Bins:
-    """Moves and exchanges between underfull classes. Each step increases the sum of squared fills, so the search ends;
-    ``steps`` bounds its time, and stopping it early leaves a packing that is whole, only less tight."""
+def local_search(bins: Bins, capacity: int, steps: int | None = None) -> Bins:
+    """Moves and exchanges between underfull classes. Each exchange increases the sum of squared fills, so the search ends by itself, when none
+    is left or the pieces fill no fewer bins. ``steps`` looks at pairs of classes bound its time; a search that is stopped says so, and leaves
+    a packing that is whole, only less tight."""
+    left = float("inf") if steps is None else steps
     bins = Counter(bins)
     least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
     total = sum(bins.values())
     heap = [(sum(p), p) for p in bins if sum(p) < capacity]
     heapq.heapify(heap)
-    while heap and total > least and steps > 0:
+    while heap and total > least and left > 0:
         fill, a = heapq.heappop(heap)
         if not bins.get(a):
             continue
         under = sorted(((sum(p), p) for p, n in bins.items() if sum(p) < capacity and (p != a or n > 1)), reverse=True)
         for other, b in under:
-            steps -= 1
-            if other < fill or steps <= 0:
+            left -= 1
+            if other < fill or left <= 0:
                 break
             if not (found := _exchange(a, b, capacity - other, 0)):
                 continue
@@ -123,6 +130,8 @@ def local_search(bins: Bins, capacity: int, steps: int = 20_000) -> Bins:
             if bins.get(a):
                 heapq.heappush(heap, (fill, a))
             break
+    if left <= 0:
+        log.warning("local search: stopped after %s looks at pairs of classes, %s bins for a bound of %s", steps, total, least)
     return bins
 
 
@@ -142,11 +151,12 @@ def slots(bins: Bins) -> dict[int, np.ndarray]:
 
 
 class WordIds:
-    """Token ids of whole texts by a tokenizer that never joins what white space parts, nor ASCII letters to other ASCII signs.
+    """Token ids of whole texts by a tokenizer that never joins what white space parts, nor ASCII letters to other ASCII signs; others are refused.
 
-    Texts are cut there, after A-Z are lowered as the tokenizer lowers them, and each distinct part is encoded once for as long as a worker lives: ``keys`` are the
-    sorted hashes of the parts known, whose ids lie at ``at`` in ``flat``. Words with an apostrophe stay whole, as contractions do not end at one.
-    At most MEMO parts are known at a time.
+    Texts are cut there, with A-Z lowered if the tokenizer lowers them, and each distinct part is encoded once for as long as a worker lives: ``keys`` are the
+    sorted hashes of the parts known, whose ids lie at ``at`` in ``flat``. Words with an apostrophe stay whole, as contractions do not end at one, and so do
+    words with a special token of the tokenizer, whose case counts. Parts of one hash are told apart by a second, independent one (``check``): if they
+    differ, the texts are encoded whole. At most MEMO parts are known at a time.
     """
 
     MEMO = 1_500_000
@@ -159,9 +169,25 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.encode() for t in added]
+        normal = self.tokenizer.normalizer
+        self.lower = normal is not None and normal.normalize_str(ascii_uppercase) == ascii_lowercase
+        if self.lower:
+            self.special = [t.lower() for t in self.special]
+        if any(t.lstrip or t.rstrip or t.single_word or t.content.split() != [t.content] for t in added) or not self._parts():
+            raise ValueError(f"{path}: tokens reach over white space or from letters to signs")
         self.forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _parts(self) -> bool:
+        """Whether the tokenizer cuts texts where this class does."""
+        spaces = all(self._ids(f"ab{c}ab") == 2 * self._ids("ab") for c in " \t\n\r\v\f")
+        signs = (chr(c) for c in range(0x21, 0x7F) if _SIGN[c] and c != ord("'"))
+        return spaces and all(self._ids(f"a{c}a") == self._ids("a") + self._ids(c) + self._ids("a") for c in signs)
+
     @classmethod
     def of(cls, path: str) -> WordIds:
         if path not in cls.known:
@@ -169,16 +195,16 @@ class WordIds:
         return cls.known[path]
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.keys, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int32)
         self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def _learn(self, keys: np.ndarray, words: Words, rows: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, check: np.ndarray, texts: list[str]) -> None:
         sizes, parts = [], []
-        for begin in range(0, len(rows), 20_000):
-            for told in self.tokenizer.encode_batch([words.text(i).decode() for i in rows[begin : begin + 20_000].tolist()], add_special_tokens=False):
+        for begin in range(0, len(texts), 20_000):
+            for told in self.tokenizer.encode_batch(texts[begin : begin + 20_000], add_special_tokens=False):
                 ids = told.ids
                 sizes.append(len(ids))
                 parts += ids
@@ -190,20 +216,30 @@ class WordIds:
         size = np.array(sizes, np.int64)
         at = self.used - int(size.sum()) + np.cumsum(size) - size
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
+        self.keys, self.check = np.insert(self.keys, where, keys), np.insert(self.check, where, check)
+        self.at, self.size = np.insert(self.at, where, at), np.insert(self.size, where, size)
 
     def __call__(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the uint32 ids of each text, each followed by the id ``last``."""
-        words = Words(texts, lower=True)
-        split_signs(words)
-        keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        words = Words(texts, lower=self.lower)
+        odd = split_signs(words, self.special)
+        hashes, check = words.hashes(), words.hashes(1)
+        raw = utf8(texts)[0] if len(odd) else words.bytes
+        for i in odd.tolist():
+            told = raw[words.start[i] : words.end[i]].tobytes()
+            hashes[i], check[i] = xxhash.xxh64_intdigest(told, 2), xxhash.xxh64_intdigest(told, 3)
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > self.MEMO:
             self.forget()
         where = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[where] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            self._learn(keys[new], words, first[new])
+            whole = set(odd.tolist())
+            parts = [(raw[words.start[i] : words.end[i]].tobytes() if i in whole else words.text(i)).decode() for i in first[new].tolist()]
+            self._learn(keys[new], check[first[new]], parts)
         where = np.searchsorted(self.keys, keys)
+        if (self.check[where][inverse] != check).any():
+            return self.plain(texts, last)
         size, begin = self.size[where].astype(np.int64), self.at[where].astype(np.int64)
         each = size[inverse]
         total = np.concatenate([[0], np.cumsum(each)])
@@ -212,6 +248,12 @@ class WordIds:
         return np.insert(self.flat[source], of[1:], np.uint32(last)), of + np.arange(len(of))
 
 
+    def plain(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """What a call gives, text by text."""
+        told = [[*x.ids, last] for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.array([i for x in told for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in told])])
+
+
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
 _SIGN = np.zeros(256, bool)
@@ -219,8 +261,9 @@ _SIGN[0x21:0x7F] = True
 _SIGN[ord("A") : ord("Z") + 1] = _SIGN[ord("a") : ord("z") + 1] = False
 
 
-def split_signs(words: Words) -> None:
-    """Cuts words without an apostrophe between an ASCII letter and another printable ASCII sign, either way round."""
+def split_signs(words: Words, special: list[bytes]) -> np.ndarray:
+    """Cuts words without an apostrophe or any of ``special`` between an ASCII letter and another printable ASCII sign, either way round. Gives the
+    words with any of ``special``."""
     raw = words.bytes
     letter, sign = _LETTER[raw], _SIGN[raw]
     cut = np.zeros(len(raw), bool)
@@ -228,11 +271,23 @@ def split_signs(words: Words) -> None:
     quote = np.concatenate([[0], np.cumsum(raw == ord("'"))])
     for i in np.flatnonzero(quote[words.end] > quote[words.start]).tolist():
         cut[words.start[i] : words.end[i]] = False
+    found: list[int] = []
+    flat = raw.tobytes()
+    for token in special:
+        at = flat.find(token)
+        while at >= 0:
+            found.append(at)
+            at = flat.find(token, at + 1)
+    where = np.searchsorted(words.start, np.array(found, np.int64), "right") - 1
+    odd = words.start[where[np.array(found, np.int64) < words.end[where]]] if found else np.zeros(0, np.int64)
+    for i in np.unique(where).tolist():
+        cut[words.start[i] : words.end[i]] = False
     cut[words.offsets[words.offsets < len(raw)]] = False  # rows end there anyway
     places = np.flatnonzero(cut)
     words.start = np.sort(np.concatenate([words.start, places]))
     words.end = np.sort(np.concatenate([words.end, places]))
     words.of = np.searchsorted(words.start, words.offsets)
+    return np.searchsorted(words.start, np.unique(odd))
 
 
 def _pieces(tokenizer: str, capacity: int, last: int, output: str):
@@ -287,14 +342,15 @@ def _place(plan: dict[int, np.ndarray]):
 
 def pack(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, last: int = 0, id_col: str = "doc_id", text_col: str = "text",
-    output: str = "ids", steps: int = 20_000,
+    output: str = "ids", steps: int | None = None,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids (binary, little-endian uint32; ``output="crc32"``: their
     checksum, a long), sequence_id, offset. A document is its ids and then ``last``; only documents over ``capacity`` are cut.
 
-    ``tokenizer`` is a file at the same path on every worker, whose tokens must not reach over white space. Defined
-    cases: null and empty texts are one piece, the id ``last``; rows with null or repeated ids are documents of their own; an
-    empty table gives an empty result; extra columns are not read.
+    ``tokenizer`` is a file at the same path on every worker; a text's ids are those of its plain call, special tokens that stand in the text included. One
+    whose tokens reach over white space, or from letters to signs, is refused. Defined cases: null and empty texts are one piece, the id ``last``;
+    a very long text is encoded whole and cut into pieces; rows with null or repeated ids are documents of their own; an empty table gives an
+    empty result; extra columns are not read.
     """
     spark = docs.sparkSession
     kept = Kept(spark)

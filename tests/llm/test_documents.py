@@ -235,9 +235,8 @@ def test_pack(spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(6)
-    odd = ["ΑΣ ΣΑΣ　Σ", "é ́x", "<|endoftext|> it's 1234 ½ ＡＢ", "a b c", "x" * 5000, "日本語 テスト", "İstanbul \x1c\x1d ok", "don't\r\nI'LL"]
+    odd = ["hello <|endoftext|> world", "a<|startoftext|>b <|ENDOFTEXT|> C<|endoftext|>'s", "<|endoftext|><|endoftext|> <|endoftext", "ΑΣ ΣΑΣ　Σ", "é ́x", "<|endoftext|> it's 1234 ½ ＡＢ", "a b c", "x" * 5000, "日本語 テスト", "İstanbul \x1c\x1d ok", "don't\r\nI'LL"]
     rows = corpus(4) + [(1000 + k, t) for k, t in enumerate(odd)] + [(None, "null id"), (7, "again"), (2000, " ".join(words(rng, 3000)))]
     out = pack(frame(spark, rows).repartition(4), path, capacity=256).collect()
     bins = check_packing(rows, out, tokenizer, 256)
@@ -257,10 +256,9 @@ def test_word_ids(monkeypatch):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     rng = random.Random(0)
     letters = "".join(chr(c) for c in range(1, 256)) + "\u0301\u2026\u3000\u2019\u0130\u03a3\u212a" + "ab.,'!sT " * 20
-    texts = ["it's don't I'LL 'tis o'clock''s a'", "a.b,c1d2 é.x …. a…b", "x\u0301.y .\u0301a", "...a...b", "a", ".b", None, ""]
+    texts = ["it's don't I'LL 'tis o'clock''s a'", "a.b,c1d2 é.x …. a…b", "x\u0301.y .\u0301a", "...a...b", "a", ".b", None, "", "x <|endoftext|>y", "<|EndOfText|> A.<|startoftext|>.b'<|endoftext|>", "<|endoftext|>"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(1500)]
     encode = packing.WordIds(path)
     monkeypatch.setattr(packing.WordIds, "MEMO", 3000)
@@ -271,6 +269,41 @@ def test_word_ids(monkeypatch):
             assert [ids[a:b].tolist() for a, b in zip(of, of[1:])] == [[*w.ids, 0] for w in want]
 
 
+def test_hash_hits_are_checked(monkeypatch):
+    """Parts of one hash are encoded apart."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    encode = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pa.array(["one two", "three, four", None])
+    want = [x.tolist() for x in encode(texts, 0)]
+    own = packing.Words.hashes
+    monkeypatch.setattr(packing.Words, "hashes", lambda self, seed=0: own(self, seed) if seed else own(self) * np.uint64(0))
+    encode.forget()
+    assert [x.tolist() for x in encode(texts, 0)] == want == [x.tolist() for x in encode.plain(texts, 0)]
+
+
+def test_cased_and_joining_tokenizers(tmp_path):
+    pytest.importorskip("tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    cased = Tokenizer(models.WordLevel({"?": 0, "Ab": 1, "ab": 2, "a": 3, "b": 4, **{chr(c): c for c in range(33, 48)}}, unk_token="?"))
+    cased.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    cased.save(str(tmp_path / "joins.json"))
+    with pytest.raises(ValueError):  # letters and digits are one token
+        packing.WordIds(str(tmp_path / "joins.json"))
+    cased.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.BertPreTokenizer(), pre_tokenizers.Digits()])
+    cased.save(str(tmp_path / "cased.json"))
+    ids, of = packing.WordIds(str(tmp_path / "cased.json"))(pa.array(["Ab ab!AB", "a-b"]), 99)
+    assert [ids[a:b].tolist() for a, b in zip(of, of[1:])] == [[*cased.encode(t).ids, 99] for t in ("Ab ab!AB", "a-b")]
+
+
+def test_search_says_when_it_is_stopped(caplog):
+    local_search(Counter({(5, 3): 1, (4, 4): 1, (2, 2): 1}), 10, steps=1)
+    assert "stopped after 1" in caplog.text
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(8)
