@@ -55,6 +55,23 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def replace(spark: SparkSession, draft: str, path: str) -> None:
+    """Renames a folder over another. What stood there is kept until the new one is in its place."""
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old = f"{path}-{uuid.uuid4().hex}"
+    store = kind(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = store.exists(kind(path))
+    if there and not store.rename(kind(path), kind(old)) or not store.rename(kind(draft), kind(path)):
+        raise OSError(f"{path} could not be replaced")
+    if there:
+        store.delete(kind(old), True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on Arrow batches of the session hold at most BATCH_BYTES, as each lies in the JVM and in Python at once for every task of an
     executor. A smaller setting stays. It outlives the call, because results are computed later."""

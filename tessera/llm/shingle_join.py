@@ -48,12 +48,13 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
     return out, of
 
 
-def word_keys(hashes: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit keys of the word sequence of each row."""
-    place = (np.arange(len(hashes)) - np.repeat(of[:-1], np.diff(of))).astype(np.uint64)
+def word_keys(words: Words, hashes: np.ndarray, seeds: int = 2) -> list[np.ndarray]:
+    """64-bit keys of the word sequence of each row, independent of each other down to the hashes of its words; ``hashes`` are those of seed 0."""
+    of = words.of
+    place = mix64((np.arange(len(hashes)) - np.repeat(of[:-1], np.diff(of))).astype(np.uint64))
     keys = []
-    for seed in (0x1234567, 0x89ABCDE):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ mix64(place + np.uint64(seed))))])
+    for seed in range(seeds):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64((words.hashes(seed) if seed else hashes) ^ place))])
         keys.append((total[of[1:]] - total[of[:-1]]).view(np.int64))
     return keys
 
@@ -69,7 +70,7 @@ def _signer(n: int, trees: int, depth: int, seed: int):
             for first, part in pieces(batch.column("text"), 1 << 20):
                 words = Words(part)
                 hashes = words.hashes()
-                k1, k2 = word_keys(hashes, words.of)
+                k1, k2 = word_keys(words, hashes)
                 h, of = shingles(hashes, words.of, n)
                 full = np.flatnonzero(np.diff(of) > 0)
                 node = np.zeros((len(part), trees), np.uint64)
@@ -145,7 +146,7 @@ def _verifier(n: int, threshold: float):
                 for _, part in pieces(text):
                     words = Words(part)
                     hashes = words.hashes()
-                    right_text.append(word_keys(hashes, words.of)[0])
+                    right_text.append(word_keys(words, hashes, 1)[0])
                     parts.append(shingles(hashes, words.of, n))
             if not (ok := np.concatenate(right_text) == key).all() or len(np.unique(ids)) < len(ids):
                 ok &= np.isin(np.arange(len(ids)), np.unique(np.where(ok, ids, -1), return_index=True)[1])  # rows that share an id

@@ -168,8 +168,32 @@ def test_index_grows_and_compacts(spark):
             size = len(split[s.id]) if s.whole else 50
             gone[s.id][k : k + size] = [True] * size
     assert sorted((i, sum(g)) for i, g in gone.items()) == [(i, r) for i, _, r, _ in brute_removed(rows)]
+    assert index.compactions > 0
     index.close()
-    assert index.runs == []
+    assert index.runs == {}
+
+
+def test_index_is_opened_again(spark, tmp_path):
+    """Two sessions, each with half of the corpus, remove what one pass over all of it removes."""
+    rows = corpus(3)
+    folder = f"file://{tmp_path}/index"
+    half = len(rows) // 2
+    spans = FingerprintIndex(spark, folder=folder).add(frame(spark, rows[:half])).collect()
+    later = FingerprintIndex(spark, folder=folder, max_runs=1)
+    assert len(later.runs) == 1 and len(later.texts) == 1
+    spans += later.add(frame(spark, rows[half:])).collect()
+    assert len(later.runs) == 1 and later.compactions == 1
+    later.close()
+    assert len(FingerprintIndex(spark, folder=folder).runs) == 1
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, window=40, folder=folder)
+    split = {i: WORD.findall(t or "") for i, t in rows}
+    gone = {i: [False] * len(w) for i, w in split.items()}
+    for s in spans:
+        for k in [0] if s.whole else s.starts:
+            size = len(split[s.id]) if s.whole else 50
+            gone[s.id][k : k + size] = [True] * size
+    assert sorted((i, sum(g)) for i, g in gone.items()) == [(i, r) for i, _, r, _ in brute_removed(rows)]
 
 
 def test_best_fit_and_search():
