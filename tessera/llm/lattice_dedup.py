@@ -2,13 +2,14 @@
 
 Unit vectors are turned by a random rotation and cut into tables of 16 coordinates, each two E8 blocks; a block,
 scaled, is decoded to its nearest E8 lattice point, and a table's two points are its cell. If two unit vectors lie
-within r, then in at least one of the T tables they lie within r / sqrt(T). Each vector is stored in its home cell of
-every table and probes every cell that may hold a point so near: E8's cell walls around a point are the bisectors to the 240
-shortest vectors, and a cell further off is behind the bisector to one of the 2160 next ones, so the distance to those
-bisectors tells which cells to probe. The search therefore misses no pair. Cosines are verified in double precision.
-
-A pair is counted in the first table in which it is that near, so no pairs are kept to remove repetitions. Cells with
-many vectors are cut into blocks (homes x probes); a task compares one block with another and returns sums and a
+within r, then in at least one of the T tables they lie within r / sqrt(T), and the point half way between them lies within half of that of
+both. So each vector is put in its home cell of every table and in every neighbouring cell that may hold a point as near as that half: E8's cell
+walls around a point are the bisectors to the 240 shortest vectors, and a cell further off is behind the bisector to one of the 2160 next ones, so the
+distance to those bisectors tells which cells to probe. Two vectors within r then share the cell of their middle, and the search misses no
+pair. Cosines are verified in double precision.
+
+A pair is counted in the first table in which it is that near, in the cell of its middle, so no pairs are kept to remove repetitions. Cells with
+many vectors are cut into blocks; a task compares one block with another and returns sums and a
 spanning forest, never pairs. Copies of a vector are compared once and counted by weight.
 """
 
@@ -26,7 +27,7 @@ from tessera.llm._store import Kept, few_files, runs
 from tessera.llm._text import mix64
 from tessera.llm._vectors import directions, join_groups, keyed, matrices, usable
 
-BLOCK, PER_TABLE = 8, 2
+BLOCK, PER_TABLE, REACH = 8, 2, 0.15
 
 
 def e8_shells() -> np.ndarray:
@@ -77,34 +78,46 @@ def cell_key(points: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _hasher(threshold: float, scale: float, seed: int):
+def _full_key(points: np.ndarray, label: np.ndarray, dim: int, table: int) -> np.ndarray:
+    """The key of a cell among the vectors of one label and length."""
+    return mix64(cell_key(points).view(np.uint64) ^ mix64(label.view(np.uint64) + np.uint64(dim << 16 | table))).view(np.int64)
+
+
+def _scale(threshold: float, tables: int, reach: float) -> float:
+    """What makes half of the distance that two vectors at the threshold have in some table ``reach`` in the lattice."""
+    return 2 * reach / max(math.sqrt((2 - 2 * threshold) / tables), 1e-6)
+
+
+def _hasher(threshold: float, reach: float, seed: int):
+    """(cell, tab, id): the cells of each vector."""
+
     def run(batches):
         shells = e8_shells()
         length = np.linalg.norm(shells, axis=1)
         unit, half = (shells / length[:, None]).T, length / 2
         turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, labels = batch.column("id").to_numpy(), batch.column("l1").to_numpy()
             for rows, x in matrices(batch.column("vector")):
                 for at in range(0, len(rows), 512):
                     some, part = rows[at : at + 512], directions(x[at : at + 512])
                     d = part.shape[1]
-                    y = part @ turns.setdefault(d, rotation(d, seed)) * scale
-                    tables = y.shape[1] // (BLOCK * PER_TABLE)
-                    reach = math.sqrt((2 - 2 * threshold) / tables) * scale * (1 + 1e-6) + 1e-9
+                    turn = turns.setdefault(d, rotation(d, seed))
+                    tables = turn.shape[1] // (BLOCK * PER_TABLE)
+                    y = part @ turn * _scale(threshold, tables, reach)
+                    most = reach * (1 + 1e-6) + 1e-9
                     for t in range(tables):
-                        home, near = [], []
+                        near = []
                         for b in range(PER_TABLE):
                             z = y[:, (t * PER_TABLE + b) * BLOCK :][:, :BLOCK]
                             c = e8_decode(z)
                             wall = half - (z - c) @ unit
-                            i, v = np.nonzero(wall <= reach)
+                            i, v = np.nonzero(wall <= most)
                             # the home cell, then the neighbours
                             owner = np.concatenate([np.arange(len(z)), i])
                             point = np.concatenate([c, c[i] + shells[v]])
                             far = np.concatenate([np.zeros(len(z)), np.maximum(wall[i, v], 0)])
                             order = np.argsort(owner, kind="stable")
-                            home.append(c)
                             near.append((owner[order], point[order], far[order]))
                         (o1, p1, f1), (o2, p2, f2) = near
                         n2 = np.bincount(o2, minlength=len(part))
@@ -112,26 +125,16 @@ def _hasher(threshold: float, scale: float, seed: int):
                         left = np.repeat(np.arange(len(o1)), n2[o1])
                         step = np.arange(len(left)) - np.repeat(np.cumsum(n2[o1]) - n2[o1], n2[o1])
                         right = begin2[o1[left]] + step
-                        ok = f1[left] ** 2 + f2[right] ** 2 <= reach**2
+                        ok = f1[left] ** 2 + f2[right] ** 2 <= most**2
                         left, right = left[ok], right[ok]
-                        probe = cell_key(np.hstack([p1[left], p2[right]]))
-                        homes = cell_key(np.hstack(home))
-                        owner = np.concatenate([np.arange(len(part)), o1[left]])
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(ids[some[owner]]),
-                                pa.array(np.full(len(owner), d, np.int32)),
-                                pa.array(np.full(len(owner), t, np.int32)),
-                                pa.array(np.concatenate([homes, probe])),
-                                pa.array(np.concatenate([np.zeros(len(homes), np.int32), np.ones(len(probe), np.int32)])),
-                            ],
-                            names=["id", "dim", "tab", "cell", "probe"],
-                        )
+                        owner = some[o1[left]]
+                        cell = _full_key(np.hstack([p1[left], p2[right]]), labels[owner], d, t)
+                        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(owner), t, np.int32)), pa.array(ids[owner])], names=["cell", "tab", "id"])
 
     return run
 
 
-def _verifier(threshold: float, seed: int):
+def _verifier(threshold: float, reach: float, seed: int):
     def run(batches):
         turns: dict[int, np.ndarray] = {}
         out: list[tuple] = []
@@ -141,42 +144,46 @@ def _verifier(threshold: float, seed: int):
             cols = [np.concatenate(c) for c in zip(*out)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "links", "root"])
 
-        keys = ["label", "dim", "tab", "cell", "hc", "pc"]
-        for (_, d, tab, *_), rows in runs(batches, keys):
+        for (cell, tab, ba, bb), rows in runs(batches, ["cell", "tab", "ba", "bb"]):
             rows = rows.combine_chunks()
-            probe = rows.column("probe").to_numpy() == 1
-            if probe.all() or not probe.any():
+            ids, weight, own, l1, l2 = (rows.column(c).to_numpy() for c in ("id", "copies", "own", "l1", "l2"))
+            left, right = np.flatnonzero(own == ba), np.flatnonzero(own == bb)
+            if not len(left) or not len(right):
                 continue
-            ids, weight = rows.column("id").to_numpy(), rows.column("copies").to_numpy()
             lists = rows.column("vector").combine_chunks()
-            x = np.asarray(lists.flatten(), np.float64).reshape(len(rows), d)
-            u = directions(x)
-            h, q = np.flatnonzero(~probe), np.flatnonzero(probe)
-            hits = (u[q] @ u[h].T) >= threshold
-            hits &= ids[q][:, None] != ids[h][None, :]
+            d = len(lists[0])
+            u = directions(np.asarray(lists.flatten(), np.float64).reshape(len(rows), d))
+            hits = (u[left] @ u[right].T) >= threshold
+            if ba == bb:
+                hits &= left[:, None] < right[None, :]
             i, j = np.nonzero(hits)
+            i, j = left[i], right[j]
+            same = (l1[i] == l1[j]) & (l2[i] == l2[j])
+            i, j = i[same], j[same]
             if not len(i):
                 continue
-            # counted in the first table in which the pair is near enough
+            # counted in the first table in which the pair is near enough, where its middle lies
             turn = turns.setdefault(d, rotation(d, seed))
             y = u @ turn
             width = BLOCK * PER_TABLE
             tables = turn.shape[1] // width
+            scale = _scale(threshold, tables, reach)
             most = (2 - 2 * threshold) / tables * (1 + 1e-9) + 1e-15
-            first = np.zeros(len(i), bool)
+            counts = np.zeros(len(i), bool)
             for at in range(0, len(i), 65536):
-                a, b = q[i[at : at + 65536]], h[j[at : at + 65536]]
+                a, b = i[at : at + 65536], j[at : at + 65536]
                 gap = ((y[a] - y[b]) ** 2).reshape(len(a), tables, width).sum(axis=2) <= most
-                first[at : at + 65536] = gap.argmax(axis=1) == tab
-                first[at : at + 65536] &= gap.any(axis=1)
-            i, j = i[first], j[first]
+                middle = ((y[a] + y[b]) / 2 * scale)[:, tab * width :][:, :width]
+                home = np.hstack([e8_decode(middle[:, k * BLOCK :][:, :BLOCK]) for k in range(PER_TABLE)])
+                counts[at : at + 65536] = gap.any(axis=1) & (gap.argmax(axis=1) == tab) & (_full_key(home, l1[a], d, int(tab)) == cell)
+            i, j = i[counts], j[counts]
             if not len(i):
                 continue
-            links = np.bincount(i, weights=weight[h[j]], minlength=len(q)).astype(np.int64)
-            names, local = np.unique(ids, return_inverse=True)
-            root = join_groups(len(names), local[q[i]], local[h[j]])
+            links = np.zeros(len(ids), np.int64)
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
             found = np.flatnonzero(links)
-            out.append((ids[q[found]], links[found], names[root[local[q[found]]]]))
+            out.append((ids[found], links[found], ids[join_groups(len(ids), i, j)[found]]))
             held += len(found)
             if held > 50_000:
                 yield flush()
@@ -189,39 +196,33 @@ def _verifier(threshold: float, seed: int):
 
 def lattice_links(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    threshold: float = 0.98, scale: float = 2.5, block: int = 2048, seed: int = 20240229,
+    threshold: float = 0.98, reach: float = REACH, block: int = 2048, seed: int = 20240229,
 ) -> DataFrame:
     """All rows with ``n_links``, ``component_id`` and ``kept``; rows are compared if their labels are equal and not null.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label
     or id, link with nothing; vectors of different lengths are not compared; rows that share an id are vectors of
-    their own; extra columns are not read. ``block`` bounds the vectors that a task compares with others at once. A larger ``scale`` makes cells finer: on
-    isotropic vectors of 64 dimensions 2.0 gives 55 probes a vector, 2.5 gives 254 and 3.0 gives 629, and the pairs compared fall as 26 : 7 : 1.5; the result is
-    the same.
+    their own; lengths and components of any size are scaled first; extra columns are not read. ``block`` bounds the vectors that a task compares with
+    others at once. A larger ``reach``, up to 0.22, makes cells finer, so that there are more of them for each vector and fewer vectors in each; the result is the same.
     """
+    if reach >= math.sqrt(6) / 2 - 1:
+        raise ValueError("the lattice is too fine: cells beyond the next ones would have to be probed")
     spark = vectors.sparkSession
     kept = Kept(spark)
     base = keyed(vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")), "vector")
     base = base.withColumn("part", usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull())
     used = base.where("part")
     groups = used.groupBy("label", "k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    reps = kept.put(groups.withColumn("id", F.xxhash64("label", "k1", "k2")), "vectors")  # ids of rows may repeat
-    cells = kept.put(
-        reps.select("id", "vector").mapInArrow(_hasher(threshold, scale, seed), "id long, dim int, tab int, cell long, probe int")
-        .join(reps.select("id", "label"), "id"),
-        "cells",
-    )
-    sizes = cells.groupBy("label", "dim", "tab", "cell").agg(F.sum(1 - F.col("probe")).alias("homes"), F.sum("probe").alias("probes"))
-    met = kept.put(sizes.where("homes > 0 and probes > 1"), "sizes")  # a home probes its own cell, so one probe is its own
-    cut = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    placed = cells.join(met, ["label", "dim", "tab", "cell"]).withColumn("nh", cut("homes")).withColumn("np", cut("probes"))
-    blocks = placed.where("probe = 0").withColumn("hc", own("nh")).withColumn("pc", every("np")).unionByName(
-        placed.where("probe = 1").withColumn("pc", own("np")).withColumn("hc", every("nh")))
-    keys = ["label", "dim", "tab", "cell", "hc", "pc"]
-    units = blocks.select(*keys, "probe", "id").join(reps.select("id", "copies", "vector"), "id").repartition(*keys).sortWithinPartitions(*keys)
-    found = kept.put(units.mapInArrow(_verifier(threshold, seed), "id long, links long, root long"), "links")
+    named = groups.withColumn("id", F.xxhash64("label", "k1", "k2")).withColumn("l1", F.xxhash64("label")).withColumn("l2", F.xxhash64(F.lit(0x1ABE1), "label"))
+    reps = kept.put(named, "vectors")  # ids of rows may repeat
+    cells = kept.put(reps.select("id", "l1", "vector").mapInArrow(_hasher(threshold, reach, seed), "cell long, tab int, id long"), "cells", whole=True)
+    met = kept.put(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    placed = cells.join(met, "cell").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keys = ["cell", "tab", "ba", "bb"]
+    units = placed.select("cell", "tab", F.least("own", "other").alias("ba"), F.greatest("own", "other").alias("bb"), "own", "id")
+    units = units.join(reps.select("id", "copies", "l1", "l2", "vector"), "id").repartition(*keys).sortWithinPartitions(*keys)
+    found = kept.put(units.mapInArrow(_verifier(threshold, reach, seed), "id long, links long, root long"), "links")
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     member = kept.put(
