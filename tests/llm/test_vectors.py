@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.lattice_dedup import e8_decode, e8_shells, lattice_links
+from tessera.llm import polytope_search
 from tessera.llm.polytope_search import hadamard, search
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, cell string, probe int, vector string"
@@ -108,13 +109,14 @@ def brute(rows, k):
     return out
 
 
-def test_search_is_exact_with_all_probes(spark):
+@pytest.mark.parametrize("depth", [0, 1, 2])
+def test_search_is_exact_with_all_probes(spark, depth):
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(c)) for c in rng.standard_normal(12) * rng.uniform(0.2, 3)], 0) for i in range(150)]
     rows += [(200 + i, rows[3][1], 0) for i in range(30)]  # ties
     rows += [(300, None, 0), (320, [0.0] * 12, 0), (340, [None] * 12, 0), (360, [1.0, 2.0], 0), (361, [0.5, 1.0], 0), (None, rows[0][1], 0)]
     got = {}
-    for r in search(frame(spark, rows).repartition(3), F.col("vec_id") % 20 == 0, k=20, tables=2, probes=1000, block=32).collect():
+    for r in search(frame(spark, rows).repartition(3), F.col("vec_id") % 20 == 0, k=20, tables=2, slack=-100.0, block=32, depth=depth).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     want = brute(rows, 20)
     assert set(got) == {q for q, x in want.items() if x}
@@ -125,13 +127,14 @@ def test_search_is_exact_with_all_probes(spark):
         assert [s for _, _, s in found] == pytest.approx([s for _, s in want[q]], rel=1e-12)
 
 
-def test_search_recall(spark):
+@pytest.mark.parametrize("depth", [0, 1, 2])
+def test_search_recall(spark, depth):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     got = {}
-    for r in search(frame(spark, rows), F.col("vec_id") % 20 == 0).collect():
+    for r in search(frame(spark, rows), F.col("vec_id") % 20 == 0, depth=depth).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     want = brute(rows, 20)
     hits = sum(len(got[q] & {i for i, _ in found}) for q, found in want.items())
@@ -154,6 +157,30 @@ def test_search_recall_on_skewed_norms(spark, kind):
     assert hits >= 0.95 * 20 * len(want)
 
 
+def test_ties_go_to_the_smaller_ids(spark):
+    """Very many different vectors of one inner product, in both ways of search."""
+    rows = [(0, [1.0, 0.0, 0.0], 0)] + [(i, [0.5, float(np.float32(math.cos(i))), float(np.float32(math.sin(i)))], 0) for i in range(1, 600)]
+    for slack in (-100.0, 100.0):
+        out = search(frame(spark, rows).repartition(4), F.col("vec_id") == 0, slack=slack, block=64).collect()
+        assert sorted((r.rank, r.vec_id, r.score) for r in out) == [(k, k, 0.5) for k in range(1, 21)]
+
+
+def test_the_share_compared_falls_with_the_rows():
+    """Recall and share of the rows compared, on directions without any order."""
+    rng = np.random.default_rng(11)
+    shares = []
+    for n in (500, 2000, 8000):
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        p = polytope_search.plan(64, {0: n}, 20, 4, 0.3, 4096, None)
+        met = polytope_search.passes(x[:100], x, p, list(range(6)), 4, 7)
+        product = x[:100] @ x.T
+        top = np.argsort(-product, axis=1)[:, 1:21]
+        assert np.take_along_axis(met, top, axis=1).mean() >= 0.92
+        shares.append(met.mean())
+    assert shares[0] < 0.45 and shares[1] < 0.25 and shares[2] < 0.16
+
+
 def test_search_of_few_rows_is_whole(spark):
     """A query that meets under k + 1 rows is searched among all."""
     rng = np.random.default_rng(6)
