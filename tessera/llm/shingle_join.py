@@ -1,9 +1,11 @@
 """N-gram Jaccard self-join by a MinHash LSH forest (operator 5).
 
 A document is its set of word 5-grams (fewer words: one gram of them all). Documents of equal words are joined once and
-counted by weight. Each tree of the forest labels a document with a sequence of minhashes; two documents meet in a
-tree if their labels share a prefix. ``forest_depth`` starts at whole labels and shortens the matched prefix until a pair
-at the threshold meets in some tree with the target recall. A node of a trie at that depth is a group of equal prefixes.
+counted by weight. Each tree of the forest labels a document with a sequence of minhashes; all labels of a tree are sorted, over the
+whole cluster, and a sorted run of labels is a prefix trie: two documents share a node as deep as the common prefix of the labels between them. A
+document's prefix starts at its whole label and is shortened, node by node, until a pair with it at the lowest similarity that it can have meets in
+some tree with the target recall: a set of a few grams can only be similar to another if they are nearly equal, so it stays at a deeper node than a large
+one. Nodes that hold one document alone end there.
 
 Documents that meet somewhere are gathered in candidate groups (connected components on ids alone). A group is cut at
 random into chunks of bounded size, and only the chunk pairs that share a trie node are compared, with only the
@@ -33,6 +35,17 @@ def forest_depth(trees: int, longest: int, threshold: float, recall: float) -> i
     return depth
 
 
+def forest_depths(trees: int, longest: int, threshold: float, recall: float, sizes: int = 64) -> np.ndarray:
+    """For sets of 0, 1, 2, ... grams the prefix to which they are shortened, by the lowest similarity of at least the threshold that such a set can
+    have with any other; larger sets go as the last."""
+    found = []
+    for m in range(sizes):
+        whole = [k / (m + n - k) for n in range(1, 2 * m + 1) for k in range(1, min(m, n) + 1)] if m else []
+        lowest = min((x for x in whole if x >= threshold), default=1.0)
+        found.append(forest_depth(trees, longest, min(lowest, 1 - 1e-12), recall))
+    return np.array([*found, forest_depth(trees, longest, threshold, recall)])
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the n-gram hashes of each row of words, repeated ones included; short rows have one gram of all words."""
     valid, of = within(rows, n)
@@ -59,13 +72,26 @@ def word_keys(words: Words, hashes: np.ndarray, seeds: int = 2) -> list[np.ndarr
     return keys
 
 
-def _signer(n: int, trees: int, depth: int, seed: int):
-    """For each document the key of its words, their number, and for each tree the node that its label has at ``depth``."""
+def gram_counts(h: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
+    """How many different grams each row has, up to ``most``."""
+    count = np.diff(of)
+    few = np.flatnonzero(count < most)
+    rows = np.repeat(np.arange(len(count)), count)
+    some = np.isin(rows, few)
+    order = np.lexsort((h[some], rows[some]))
+    one, row = h[some][order], rows[some][order]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (row[1:] != row[:-1])
+    return np.where(count < most, np.bincount(row[new], minlength=len(count)), most)
+
+
+def _signer(n: int, trees: int, longest: int, depths: np.ndarray, seed: int):
+    """For each document the keys of its words, their number, the prefix to which it is shortened, and its labels, one after the other."""
 
     def run(batches):
         rng = np.random.default_rng(seed)
-        odd = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        plus = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
+        odd = rng.integers(1, 1 << 63, trees * longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        plus = rng.integers(0, 1 << 63, trees * longest, dtype=np.uint64)
         for batch in batches:
             for first, part in pieces(batch.column("text"), 1 << 20):
                 words = Words(part)
@@ -73,24 +99,62 @@ def _signer(n: int, trees: int, depth: int, seed: int):
                 k1, k2 = word_keys(words, hashes)
                 h, of = shingles(hashes, words.of, n)
                 full = np.flatnonzero(np.diff(of) > 0)
-                node = np.zeros((len(part), trees), np.uint64)
+                labels = np.zeros((len(part), trees * longest), ">u4")
                 if len(full):
                     starts = of[full]
-                    for tree in range(trees):
-                        key = np.full(len(full), tree, np.uint64)
-                        for k in range(tree * depth, (tree + 1) * depth):
-                            least = np.minimum.reduceat((h * odd[k] + plus[k]) >> np.uint64(32), starts)
-                            key = mix64(key * np.uint64(31) + least)
-                        node[full, tree] = key
-                lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * trees, pa.array(node.ravel().view(np.int64)))
+                    for k in range(trees * longest):
+                        labels[full, k] = np.minimum.reduceat((h * odd[k] + plus[k]) >> np.uint64(32), starts)
+                need = depths[gram_counts(h, of, len(depths) - 1)]
+                raw = labels.tobytes()
+                size = 4 * trees * longest
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, len(part)), pa.array(k1), pa.array(k2), pa.array(np.diff(words.of).astype(np.int64)), lists],
-                    names=["id", "k1", "k2", "words", "nodes"],
+                    [
+                        batch.column("id").slice(first, len(part)), pa.array(k1), pa.array(k2), pa.array(np.diff(words.of).astype(np.int64)), pa.array(need.astype(np.int32)),
+                        pa.array([raw[size * i : size * (i + 1)] for i in range(len(part))], pa.binary()),
+                    ],
+                    names=["id", "k1", "k2", "words", "need", "labels"],
                 )
 
     return run
 
 
+def _climb(longest: int, depths: frozenset[int], seed: int):
+    """The nodes (tree, node, rep, ends) in which a document of a sorted run of labels meets a neighbour; at the one to which it is shortened it
+    ``ends``. A node is the hash of its prefix; what touches
+    an end of the task's run may go on in the next, so it is given too."""
+
+    def run(batches):
+        held: tuple | None = None  # the last row of the batch before
+        batches = iter(batches)
+        batch = next(batches, None)
+        while batch is not None:
+            after = next(batches, None)
+            tree, rep, need = (batch.column(c).to_numpy() for c in ("tree", "rep", "need"))
+            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u4").reshape(-1, longest)
+            if batch.num_rows:
+                # the common prefix with the row before and the row after; unknown beyond the task
+                equal = np.cumprod((label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(axis=1)
+                edge = lambda t, x, row: longest if t is None else (int(np.cumprod(x == label[row]).sum()) if t == tree[row] else 0)
+                first = edge(None, None, 0) if held is None else edge(held[0], held[1], 0)
+                if after is None or not after.num_rows:
+                    last = longest
+                else:
+                    last = edge(after.column("tree")[0].as_py(), np.frombuffer(after.column("label")[0].as_py(), ">u4"), -1)
+                common = np.maximum(np.concatenate([[first], equal]), np.concatenate([equal, [last]]))
+                key = mix64(np.full(len(tree), seed, np.uint64) + tree.astype(np.uint64))
+                for depth in range(1, longest + 1):
+                    key = mix64(key * np.uint64(31) + label[:, depth - 1].astype(np.uint64))
+                    if depth not in depths:
+                        continue
+                    # shortened to ``need``, a document meets at this depth those that are shortened no further
+                    there = np.flatnonzero((common >= depth) & (need <= depth))
+                    yield pa.RecordBatch.from_arrays([pa.array(tree[there]), pa.array(key[there].view(np.int64)), pa.array(rep[there]), pa.array(need[there] == depth)], names=["tree", "node", "rep", "ends"])
+                held = (int(tree[-1]), label[-1].copy())
+            batch = after
+
+    return run
+
+
 def _links(h: np.ndarray, of: np.ndarray, threshold: float, left: np.ndarray, right: np.ndarray, same: bool):
     """Pairs (i, j) of rows at the threshold: i of ``left``, j of ``right``, i < j if both sides are the same."""
     count = len(of) - 1
@@ -171,7 +235,7 @@ def _verifier(n: int, threshold: float):
 
 def shingle_links(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8,
-    trees: int = 20, longest: int = 16, recall: float = 0.9995, chunk: int = 1024, chunk_words: int = 500_000, seed: int = 11,
+    trees: int = 20, longest: int = 8, recall: float = 0.9995, chunk: int = 1024, chunk_words: int = 500_000, seed: int = 11,
 ) -> DataFrame:
     """One row per document: ``n_links`` (documents whose sets of n-grams have a Jaccard similarity of at least
     ``threshold``), ``component_id`` (smallest id reachable by links, itself included) and ``kept`` (id = component_id).
@@ -182,14 +246,21 @@ def shingle_links(
     """
     spark = docs.sparkSession
     kept = Kept(spark)
-    depth = forest_depth(trees, longest, threshold, recall)
+    depths = forest_depths(trees, longest, threshold, recall)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    keys = kept.put(base.mapInArrow(_signer(n, trees, depth, seed), "id long, k1 long, k2 long, words long, nodes array<long>"), "keys", whole=True)
-    firsts = keys.where("words > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("words").alias("words"), F.first("nodes").alias("nodes"))
+    keys = kept.put(base.mapInArrow(_signer(n, trees, longest, depths, seed), "id long, k1 long, k2 long, words long, need int, labels binary"), "keys", whole=True)
+    firsts = keys.where("words > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("words").alias("words"), F.first("need").alias("need"), F.first("labels").alias("labels"))
     reps = kept.put(firsts, "reps")
-    nodes = reps.select("rep", F.posexplode("nodes").alias("tree", "node"))
-    tops = nodes.groupBy("tree", "node").agg(F.min("rep").alias("top"), F.count("*").alias("size")).where("size > 1")
-    met = kept.put(nodes.join(tops, ["tree", "node"]).select("tree", "node", "rep", "top").distinct(), "met")
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    label = F.substring(F.col("labels"), F.col("tree") * F.lit(4 * longest) + 1, F.lit(4 * longest)).alias("label")
+    # sorted over all tasks, in even ranges: rows of equal labels are parted by their ids
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = reps.select("rep", "need", "labels", tree).select("tree", label, "rep", "need").repartitionByRange(parts, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
+    nodes = kept.put(sorted_.mapInArrow(_climb(longest, frozenset(depths.tolist()), seed), "tree int, node long, rep long, ends boolean"), "nodes")
+    # a node counts if it holds two documents, one of which is shortened no further: the others meet at a lower one anyway
+    tops = nodes.groupBy("tree", "node").agg(F.min("rep").alias("top"), F.count("*").alias("size"), F.max("ends").alias("ends"))
+    tops = tops.where("size > 1 and ends").select("tree", "node", "top")
+    met = kept.put(nodes.drop("ends").join(tops, ["tree", "node"]).select("tree", "node", "rep", "top").distinct(), "met")
     groups = components(met.select(F.col("rep").alias("a"), F.col("top").alias("b")))
     known = reps.select("rep", "k1", "copies", "words")
     group = groups.join(known, groups.node == known.rep).select("component", "rep", "k1", "copies", "words")
@@ -204,11 +275,11 @@ def shingle_links(
     # always by a sort-merge join: the units grow with the corpus, so they are never broadcast
     shipped = units.hint("merge").join(base, units.rep == base.id).select("ca", "cb", "rep", "k1", "copies", "chunk", "text").repartition("ca", "cb").sortWithinPartitions("ca", "cb")
     found = kept.put(shipped.mapInArrow(_verifier(n, threshold), "rep long, links long, root long"), "links")
-    kept.drop(met, member, there, chunks, groups, units)
+    kept.drop(nodes, met, member, there, chunks, groups, units)
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     told = kept.put(
-        reps.drop("nodes", "words").join(sums, "rep", "left").join(joined, F.col("rep") == joined.node, "left")
+        reps.drop("labels", "need", "words").join(sums, "rep", "left").join(joined, F.col("rep") == joined.node, "left")
         .select("k1", "k2", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")),
         "told",
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm import packing
 from tessera.llm._components import components
 from tessera.llm.packing import best_fit, local_search, pack, slots
-from tessera.llm.shingle_join import forest_depth, shingle_links
+from tessera.llm.shingle_join import _climb, forest_depth, forest_depths, shingle_links
 from tessera.llm.substring_dedup import FingerprintIndex, dedup_substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, rep int, spans string, chunk string, _0 string"
@@ -92,6 +92,45 @@ def test_forest_depth():
     assert forest_depth(1, 16, 0.8, 0.99) == 1
 
 
+def test_forest_depths_by_size():
+    """Small sets that are similar at all are nearly equal, so their prefixes stay longer; none is shorter than recall asks for."""
+    depths = forest_depths(20, 8, 0.8, 0.9995)
+    assert depths[1:4].tolist() == [8, 8, 8] and depths[4] == 5 and depths[6] == 6 and depths.min() == depths[-1] == 5
+    for m in range(1, 12):
+        lowest = min(x for n in range(1, 30) for k in range(1, min(m, n) + 1) if (x := k / (m + n - k)) >= 0.8)
+        assert lowest == 1 or 1 - (1 - lowest ** depths[m]) ** 20 >= 0.9995
+
+
+def test_climb_over_batches():
+    """The nodes of a sorted run are the same however it is cut into batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    rows = sorted((int(rng.integers(2)), tuple(rng.integers(3, size=4).tolist()), i, int(rng.integers(2, 5))) for i in range(200))
+
+    def nodes(cut):
+        made = []
+        for at in range(0, len(rows), cut):
+            tree, label, rep, need = zip(*rows[at : at + cut])
+            raw = [np.array(x, ">u4").tobytes() for x in label]
+            made.append(pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(raw, pa.binary()), pa.array(rep, pa.int64()), pa.array(need, pa.int32())], names=["tree", "label", "rep", "need"]))
+        out = pa.Table.from_batches(list(_climb(4, frozenset([2, 3, 4]), 1)(iter(made)))).to_pylist()
+        members = {}
+        for r in out:
+            members.setdefault((r["tree"], r["node"]), set()).add(r["rep"])
+        return sorted(sorted(x) for x in members.values() if len(x) > 1)
+
+    want = []
+    for depth in (2, 3, 4):
+        groups = {}
+        for tree, label, rep, need in rows:
+            if need <= depth:
+                groups.setdefault((tree, label[:depth]), []).append(rep)
+        want += [sorted(g) for g in groups.values() if len(g) > 1]
+    for cut in (1, 7, 64, 200):
+        assert nodes(cut) == sorted(want)
+
+
 def test_shingle_links_match_brute_force(spark):
     rows = corpus()
     got = sorted((r.doc_id, r.n_links, r.component_id) for r in shingle_links(frame(spark, rows).repartition(3)).collect())
