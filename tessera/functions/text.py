@@ -49,9 +49,11 @@ def word_count(c: Column) -> Column:
     return F.size(words(c)).cast("long")
 
 
-def truncate_words(c: Column, budget: int) -> Column:
-    """The first ``budget`` words joined by spaces; empty where there is no budget (O113)."""
-    return F.array_join(F.slice(words(c), 1, max(budget, 0)), " ") if budget > 0 else F.lit("")
+def truncate_words(c: Column, budget: int | Column) -> Column:
+    """The first ``budget`` words joined by spaces (O113), a number or one for each row, such as what a prompt leaves; where nothing is left the text
+    stays as it is, and so does a null budget's."""
+    left = F.lit(budget) if isinstance(budget, int) else budget.cast("int")
+    return F.when(left > 0, F.array_join(F.slice(words(c), F.lit(1), F.greatest(left, F.lit(1))), " ")).otherwise(c)
 
 
 def encode_no_input(c: Column) -> Column:
@@ -162,9 +164,14 @@ def has_word(c: Column, list_of_words: list[str]) -> Column:
 
 
 def parse_tags(c: Column) -> Column:
-    """array<struct<tag, explanation>>; what is no whole JSON list gives an empty one (O115)."""
-    whole = F.from_json(c, "array<struct<tag:string,explanation:string>>")
-    return F.when(F.endswith(c, F.lit("]")), F.coalesce(whole, F.array().cast("array<struct<tag:string,explanation:string>>"))).otherwise(F.array().cast("array<struct<tag:string,explanation:string>>"))
+    """array<struct<tag, explanation>> of a JSON list (O115). Of an unfinished one, without its last bracket, what stands between commas is
+    taken without the last piece, if all of it is JSON objects; anything else gives an empty list."""
+    kind = "struct<tag:string,explanation:string>"
+    none = F.array().cast(f"array<{kind}>")
+    pieces = F.transform(F.split(F.substring(c, 2, 1 << 30), ","), lambda x: F.trim(x))
+    pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    rest = F.when(F.forall(pieces, lambda x: F.json_object_keys(x).isNotNull()), F.transform(pieces, lambda x: F.from_json(x, kind)))
+    return F.coalesce(F.when(F.endswith(c, F.lit("]")), F.from_json(c, f"array<{kind}>")).otherwise(rest), none)
 
 
 def tag_names(tags: Column) -> Column:

@@ -45,12 +45,12 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int = BLOC
             d = 1.0 - x[at : at + 512] @ y.T
             if skip_same_id:
                 d[a["id"].to_numpy()[at : at + 512][:, None] == ids[None, :]] = np.inf
-            most = min(len(ids), k + 8)
-            pick = np.argpartition(d, most - 1, axis=1)[:, :most]
-            for row, places in enumerate(pick):
-                order = places[np.lexsort((ids[places], d[row, places]))][:k]
-                order = order[np.isfinite(d[row, order])]
-                out.append((np.full(len(order), a["id"].iloc[at + row]), ids[order], d[row, order]))
+            most = min(len(ids), k)
+            least = np.partition(d, most - 1, axis=1)[:, most - 1]
+            i, j = np.nonzero((d <= least[:, None]) & np.isfinite(d))  # with all that tie
+            place = np.lexsort((ids[j], d[i, j], i))
+            place = place[np.arange(len(i)) - np.searchsorted(i, np.arange(len(d)))[i] < k]
+            out.append((a["id"].to_numpy()[at + i[place]], ids[j[place]], d[i[place], j[place]]))
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "id", "distance"), zip(*out))})
 
     found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, "query_id long, id long, distance double")
@@ -125,12 +125,25 @@ def greedy_pass(items: DataFrame, least: float, size: int | None = None, quotas:
     return items.coalesce(1).sortWithinPartitions("rank", "id").mapInPandas(run, items.schema)
 
 
-def greedy_select(items: DataFrame, least: float, pairs: DataFrame | None = None, rounds: int = 100) -> DataFrame:
+def _pass_of_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows in order with the ids of their near rows before them those that a pass accepts."""
+    accepted: set[int] = set()
+    for rows in batches:
+        keep = []
+        for own, before in zip(rows["id"], rows["before"]):
+            keep.append(accepted.isdisjoint(() if before is None else before))
+            if keep[-1]:
+                accepted.add(own)
+        yield rows[keep][["id"]]
+
+
+def greedy_select(items: DataFrame, least: float, pairs: DataFrame | None = None, small: int = 200_000) -> DataFrame:
     """The rows (id, rank, vector) that a pass in order of rank accepts, each further than ``least`` from all accepted before (O63 without
     tags and quotas).
 
     That is the lexicographically first maximal independent set of the graph of near pairs: in each round a row none of whose
-    smaller neighbours is undecided is accepted, and its neighbours are refused. ``pairs`` (a, b: ids of near rows, both ways) may come from any
+    smaller neighbours is undecided is accepted, and its neighbours are refused. Each round decides a row at least, and most of them where chains are short; once at
+    most ``small`` pairs of undecided rows are left, which is counted, one task goes through those rows in order. ``pairs`` (a, b: ids of near rows, both ways) may come from any
     similarity join; by default they are found exactly by blocks.
     """
     ensure_checkpoints(items.sparkSession)
@@ -140,13 +153,20 @@ def greedy_select(items: DataFrame, least: float, pairs: DataFrame | None = None
     up = pairs.join(ranks.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranks.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
     edges = up.where("ra < rb").select("a", "b").checkpoint()
     state = ranks.select("id", F.lit(0).alias("state")).checkpoint()  # 0 undecided, 1 accepted, 2 refused
-    for _ in range(rounds):
+    while True:
         smaller = edges.join(state.select(F.col("id").alias("a"), F.col("state").alias("sa")), "a").groupBy(F.col("b").alias("id")).agg(F.max(F.when(F.col("sa") == 1, 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("sa") == 0, 1).otherwise(0)).alias("open"))
         new = F.when(F.col("state") != 0, F.col("state")).when(F.col("hit") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
         state = state.join(smaller, "id", "left").select("id", new.alias("state")).checkpoint()
-        if state.where("state = 0").isEmpty():
-            return items.join(state.where("state = 1").select("id"), "id", "left_semi")
-    raise RuntimeError(f"greedy_select: rows are undecided after {rounds} rounds")
+        accepted = state.where("state = 1").select("id")
+        refused = edges.join(accepted.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
+        undecided = state.where("state = 0").select("id").join(refused, "id", "left_anti")
+        if undecided.isEmpty():
+            return items.join(accepted, "id", "left_semi")
+        left = edges.join(undecided.withColumnRenamed("id", "a"), "a").join(undecided.withColumnRenamed("id", "b"), "b")
+        if left.count() <= small:
+            before = left.groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("before"))
+            rows = ranks.join(undecided, "id", "left_semi").join(before, "id", "left").coalesce(1).sortWithinPartitions("rank", "id")
+            return items.join(accepted.unionByName(rows.mapInPandas(_pass_of_pairs, "id long")), "id", "left_semi")
 
 
 def near_pairs(items: DataFrame, least: float, block: int = BLOCK) -> DataFrame:

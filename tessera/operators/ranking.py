@@ -32,8 +32,12 @@ def shuffled(df: DataFrame, key: str, seed: str | int = "", name: str = "rank")
 
 
 def ordinal(df: DataFrame, key: str, width: int = 100_000, name: str = "ordinal") -> DataFrame:
-    """Position from 0 in the order of an integer key."""
-    return global_rank(df, F.floor(F.col(key) / F.lit(width)), [F.col(key)], name).withColumn(name, F.col(name) - 1)
+    """Position from 0 in the order of an integer key, by ranges of about ``width`` rows however the keys lie (1024 ranges at most)."""
+    parts = min(1024, df.count() // width + 1)
+    cuts = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
+    low = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<double>")
+    bucket = F.size(F.filter(low, lambda c: c <= F.col(key).cast("double")))
+    return global_rank(df, F.when(F.col(key).isNotNull(), bucket), [F.col(key)], name).withColumn(name, F.col(name) - 1)
 
 
 def sample_k(df: DataFrame, key: str, k: int, seed: str | int = "") -> DataFrame:
@@ -41,6 +45,15 @@ def sample_k(df: DataFrame, key: str, k: int, seed: str | int = "") -> DataFrame
     return df.orderBy(hash_key(F.col(key), seed), key).limit(k)
 
 
+def sample_each(df: DataFrame, asks: DataFrame, ask: str, key: str, k: int, seed: str | int = "") -> DataFrame:
+    """For each of a few requests (one row each in ``asks``) the k rows that ``sample_k`` gives with the seed "seed-request", with the request.
+    One scan: each task keeps its own k first rows of each request before anything is shuffled."""
+    numbers = [r[0] for r in asks.select(ask).collect()]  # the requests of one turn
+    rows = df.withColumn(ask, F.explode(F.array(*(F.lit(x).cast("long") for x in numbers))))
+    order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"{seed}-"), F.col(ask).cast("string")).cast("binary"))
+    return rows.withColumn("_place", F.row_number().over(W.partitionBy(ask).orderBy(order, key))).where(F.col("_place") <= k).drop("_place")
+
+
 def sample_share(df: DataFrame, key: str, share: float, seed: str | int = "") -> DataFrame:
     """floor(share * n) rows."""
     n = df.count()
@@ -97,9 +110,13 @@ def category_quota(df: DataFrame, label: str, by: str, key: str, quotas: dict[st
     import math
 
     place = F.row_number().over(W.partitionBy(label).orderBy(F.desc_nulls_last(by), F.asc(key)))
-    allowed = F.create_map(*(F.lit(x) for k, q in quotas.items() for x in (k, math.ceil(q * size))))
-    most = F.try_element_at(allowed, F.col(label).cast("string"))
-    return df.withColumn("_place", place).where(most.isNull() | (F.col("_place") <= most)).drop("_place")
+    if not quotas:
+        return df
+    numbers = {k: math.ceil(q * size) for k, q in quotas.items()}
+    most = F.try_element_at(F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair)), F.col(label).cast("string"))
+    # the largest number as a literal lets each task drop what it holds beyond it before anything is shuffled
+    bounded = df.where(most.isNotNull()).withColumn("_place", place).where(F.col("_place") <= max(0, *numbers.values())).where(F.col("_place") <= most)
+    return df.where(most.isNull()).unionByName(bounded.drop("_place"))
 
 
 def proportion_plan(counts: dict[str, int], shares: dict[str, float]) -> dict[str, int]:
@@ -128,4 +145,5 @@ def proportion_fit(df: DataFrame, label: str, by: str, key: str, shares: dict[st
     plan = proportion_plan(counts | {"": total - sum(counts.values())}, shares)
     most = F.try_element_at(F.create_map(*(F.lit(x) for k in shares for x in (k, plan[k]))), F.col(label))
     place = F.row_number().over(W.partitionBy(label).orderBy(F.desc_nulls_last(by), F.asc(key)))
-    return df.where(F.col(label).isin(list(shares))).withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    ranked = df.where(F.col(label).isin(list(shares))).withColumn("_place", place).where(F.col("_place") <= max(0, *plan.values()))
+    return ranked.where(F.col("_place") <= most).drop("_place")

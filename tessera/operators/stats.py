@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -37,27 +38,53 @@ def histogram(df: DataFrame, value: str, by: list[str] | None = None, low: float
     rows = df.where(v.isNotNull())
     rows = rows if low is None else rows.where(v >= low)
     rows = rows if high is None else rows.where(v <= high)
-    s = rows.agg(F.count("*").alias("n"), F.min(v).alias("a"), F.max(v).alias("b"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
+    s = rows.agg(F.count("*").alias("n"), F.min(v).alias("a"), F.max(v).alias("b")).first()
     if not s["n"]:
         return rows.select(*(by or []), F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("n")).limit(0)
     a, b = (s["a"] if low is None else low), (s["b"] if high is None else high)
-    k = bins or auto_bins(s["n"], a, b, s["q"][1] - s["q"][0])
+    if not bins:
+        q1, q3 = quantiles(rows, value, [0.25, 0.75])
+        bins = auto_bins(s["n"], a, b, q3 - q1)
+    k = bins
     bin_ = F.least(F.floor((v - F.lit(float(a))) * k / F.lit(float(b - a or 1))), F.lit(k - 1)).cast("long")
     return rows.groupBy(*(by or []), bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def average_rank(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
-    """Ranks from 1 with ties sharing their mean (O68). Counts by value are summed in order within ``parts`` ranges of about equal
-    size, which are shifted by the ranges before; no task orders more than one range."""
+def _counted(df: DataFrame, value: str, parts: int) -> DataFrame:
+    """(value, _n, _before) for each different value: how often it occurs and how many rows come before it. Counts are summed in order within
+    ``parts`` ranges of about equal size, which are shifted by the ranges before; no task orders more than one range."""
     cuts = sorted(set(df.withColumn("_v", F.col(value).cast("double")).approxQuantile("_v", [k / parts for k in range(1, parts)], 0.001)))
     low = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_b", F.size(F.filter(low, lambda c: c <= F.col(value).cast("double"))))
     ranges = counts.groupBy("_b").agg(F.sum("_n").alias("_all"))
-    before = lambda w: F.coalesce(F.sum(w[0]).over(w[1].rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shift = ranges.select("_b", before(("_all", W.orderBy("_b"))).alias("_shift"))
-    own = counts.withColumn("_in", before(("_n", W.partitionBy("_b").orderBy(value))))
-    ranks = own.join(shift, "_b").select(F.col(value).alias("_v"), (F.col("_shift") + F.col("_in") + (F.col("_n") + 1) / 2.0).alias(name))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shift = ranges.select("_b", before("_all", W.orderBy("_b")).alias("_shift"))
+    own = counts.withColumn("_in", before("_n", W.partitionBy("_b").orderBy(value)))
+    return own.join(shift, "_b").select(value, "_n", (F.col("_shift") + F.col("_in")).alias("_before"))
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], parts: int = 64) -> list[float | None]:
+    """Exact quantiles by linear interpolation, nulls left out: of the counted values only those at the places asked for reach the driver."""
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n = rows.count()
+    if not n:
+        return [None] * len(shares)
+    at = [p * (n - 1) for p in shares]
+    places = sorted({f(x) for x in at for f in (math.floor, math.ceil)})
+    holds = lambda x: (F.col("_before") <= x) & (F.lit(x) < F.col("_before") + F.col("_n"))
+    found = _counted(rows, "v", parts).where(functools.reduce(lambda a, b: a | b, map(holds, places))).collect()
+    by_place = {x: next(r["v"] for r in found if r["_before"] <= x < r["_before"] + r["_n"]) for x in places}
+    out = []
+    for x in at:
+        a, b = by_place[math.floor(x)], by_place[math.ceil(x)]
+        out.append(a if a == b else (math.ceil(x) - x) * a + (x - math.floor(x)) * b)
+    return out
+
+
+def average_rank(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
+    """Ranks from 1 with ties sharing their mean."""
+    ranks = _counted(df, value, parts).select(F.col(value).alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
@@ -87,7 +114,7 @@ def tag_diversity(df: DataFrame, tags: str) -> DataFrame:
 
 def p95(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """The 95th percentile of each column by linear interpolation, nulls left out."""
-    return df.agg(*(F.percentile(F.col(c).cast("double"), F.lit(0.95)).alias(c) for c in columns)).first().asDict()
+    return {c: quantiles(df, c, [0.95])[0] for c in columns}
 
 
 def overall_preference(norms: dict[str, float], reward: str = "reward", quality: str = "quality", complexity: str = "complexity", edu: Column | None = None) -> Column:

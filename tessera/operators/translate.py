@@ -86,6 +86,30 @@ TASKS: dict[str, Task] = {
 }
 
 
+TASKS["winogrande"] = Task("winogrande", lambda: T.pack_blank(F.col("sentence")), lambda p: {"sentence": F.replace(p[0], F.lit("<x>_</x>"), F.lit("_"))}, trailing=False)
+
+# The subjects of a public multiple-choice benchmark, and the two sets of another.
+SUBJECTS = """
+    abstract_algebra anatomy astronomy business_ethics clinical_knowledge college_biology college_chemistry college_computer_science college_mathematics
+    college_medicine college_physics computer_security conceptual_physics econometrics electrical_engineering elementary_mathematics formal_logic
+    global_facts high_school_biology high_school_chemistry high_school_computer_science high_school_european_history high_school_geography
+    high_school_government_and_politics high_school_macroeconomics high_school_mathematics high_school_microeconomics high_school_physics
+    high_school_psychology high_school_statistics high_school_us_history high_school_world_history human_aging human_sexuality international_law
+    jurisprudence logical_fallacies machine_learning management marketing medical_genetics miscellaneous moral_disputes moral_scenarios nutrition
+    philosophy prehistory professional_accounting professional_law professional_medicine professional_psychology public_relations security_studies
+    sociology us_foreign_policy virology world_religions
+""".split()
+ARC_SETS = {"arc_challenge": "ARC-Challenge", "arc_easy": "ARC-Easy"}
+
+
+def task_registry() -> dict[str, tuple[Task, str | None]]:
+    """The tasks by the names that they are asked for, each with the subset of its dataset (U7): one for each subject and set, and the others alone."""
+    known = {name: (TASKS["arc"], subset) for name, subset in ARC_SETS.items()}
+    known |= {name: (TASKS[name], None) for name in ("hellaswag", "truthfulqa_mc", "truthfulqa_gen", "gsm8k")}
+    known |= {f"hendrycks_{subject}": (TASKS["mmlu"], subject) for subject in SUBJECTS}
+    return known | {"instruction": (TASKS["triple"], None)}
+
+
 def pack_pairs(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Rows 2k and 2k + 1 of a preference set become one with both completions."""
     return df.groupBy(F.floor(F.col(ordinal) / 2).alias("pair")).agg(

@@ -25,11 +25,11 @@ def self_instruct_round(
     spark = seeds.sparkSession
     pool = seeds.select("id", "instruction", "input", "output").unionByName(machine.select("id", "instruction", "input", "output"))
     asks = spark.range(first_request, first_request + requests).withColumnRenamed("id", "request_idx")
-    chosen = None
-    for r in range(first_request, first_request + requests):  # requests of one turn are few
-        some = ranking.bootstrap(seeds, machine, "id", examples, f"{seed}-{r}") if not machine.isEmpty() else ranking.sample_k(pool, "id", examples, f"{seed}-{r}")
-        some = some.withColumn("request_idx", F.lit(r).cast("long"))
-        chosen = some if chosen is None else chosen.unionByName(some)
+    if machine.isEmpty():
+        chosen = ranking.sample_each(pool, asks, "request_idx", "id", examples, seed)
+    else:
+        chosen = ranking.sample_each(seeds, asks, "request_idx", "id", examples // 3, seed)
+        chosen = chosen.unionByName(ranking.sample_each(machine, asks, "request_idx", "id", examples // 3 * 2, seed), allowMissingColumns=True)
     shots = chosen.groupBy("request_idx").agg(F.array_sort(F.collect_list(F.struct("id", "instruction", "input", "output"))).alias("e"))
     asked = asks.join(shots, "request_idx").withColumn("prompt", prompts.fill(template, examples=prompts.few_shot(F.col("e"), language)))
     told = generate(asked.select("request_idx", "prompt"), "prompt", client, Sampling(stop_sequences=()))

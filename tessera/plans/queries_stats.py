@@ -118,8 +118,8 @@ PAIR = r"(SELECT list_filter(string_split_regex(lower(text), '\s+'), lambda w: w
 
 
 def _pairs(spark, d):
-    w = T.words(F.lower("text"))
-    return _docs(spark, d).select(F.get(w, F.lit(0)).alias("verb"), F.get(w, F.lit(1)).alias("noun")).dropna()
+    first = lambda k: F.lower(F.regexp_extract("text", r"^\s*(\S+)\s+(\S+)", k))  # noqa: E731  reads no further than two words
+    return _docs(spark, d).select(first(1).alias("verb"), first(2).alias("noun")).where("verb <> '' and noun <> ''")
 
 
 @query(f"""WITH p AS (SELECT * FROM {PAIR} WHERE verb IS NOT NULL AND noun IS NOT NULL), t AS (SELECT verb FROM p GROUP BY verb ORDER BY count(*) DESC, verb LIMIT 20),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import query, table
 from tessera.functions import chat, parsers, prompts
 from tessera.functions import text as T
-from tessera.models import identify_language
+from tessera.models import STOP_WORDS, identify_language
 from tessera.operators import gates, translate
 
 QUOTED = T.PUNCTUATION.replace("'", "''")
@@ -204,13 +204,20 @@ def row_ids(spark, d):
     return _documents(spark, d).select("doc_id", translate.row_id(F.col("doc_id"), data_id, id_, "math").alias("row_id"))
 
 
-@query(None)
+def _vote_sql(lang: str) -> str:
+    return f"len(list_filter(w, lambda x: list_contains({STOP_WORDS[lang]}, x))) AS {lang}"
+
+
+@query(f"""WITH w AS (SELECT doc_id, string_split(lower(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents), v AS (SELECT doc_id, {", ".join(map(_vote_sql, sorted(STOP_WORDS)))} FROM w)
+SELECT doc_id, CASE WHEN greatest(de, en, es, fr) = 0 THEN NULL WHEN fr = greatest(de, en, es, fr) THEN 'fr' WHEN es = greatest(de, en, es, fr) THEN 'es' WHEN en = greatest(de, en, es, fr) THEN 'en' ELSE 'de' END AS guess,
+round(CASE WHEN de + en + es + fr > 0 THEN greatest(de, en, es, fr) / (de + en + es + fr)::DOUBLE ELSE 0.0::DOUBLE END, 6) AS confidence FROM v""")
 def language_votes(spark, d):
     told = identify_language(F.col("text"))
     return _documents(spark, d).select("doc_id", told["lang"].alias("guess"), F.round(told["confidence"], 6).alias("confidence"))
 
 
-@query(None)
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(text, '[^\p{L}\s]', '', 'g')), '\s+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, w[1] AS verb, list_filter(w[2:], lambda x: length(x) > 3)[1] AS noun FROM w""")
 def verb_object(spark, d):
     told = parsers.root_verb_object(F.col("text"))
     return _documents(spark, d).select("doc_id", told["verb"].alias("verb"), told["noun"].alias("noun"))

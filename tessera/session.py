@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,4 +23,7 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Sets a checkpoint folder only where neither the session nor the cluster names one."""
     inner = spark.sparkContext._jsc.sc()
     if inner.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        known = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not known and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(known or tempfile.mkdtemp(prefix="tessera-"))

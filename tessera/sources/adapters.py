@@ -90,6 +90,41 @@ class Catalogue:
         return d.title, adapt(read(spark, d), d.shape).withColumn("dataset", F.lit(name))
 
 
+# Public instruction datasets, by name: title, file and shape. What a hub offers is expected as Parquet.
+PUBLIC = """
+no_robots | No Robots | no_robots.parquet | F0
+flan_v2_cot | Flan V2 CoT | flan_v2_cot.jsonl | B
+dolly_15k | Databricks Dolly 15k | dolly_15k.jsonl | B
+alpaca | Stanford Alpaca | alpaca_data.json | A
+alpaca_gpt4 | Stanford Alpaca (with GPT4) | alpaca-gpt4.parquet | A
+lima | LIMA | lima.parquet | H0
+bactrian-x_en | Bactrian-X-en | bactrian-x_en.parquet | A
+wizardlm_orca | WizardLM-Orca | wizardlm_orca.parquet | D
+sharegpt | ShareGPT | ShareGPT_V3_unfiltered_cleaned_split.json | H
+oasst2 | OASST2 | 2023-11-05_oasst2_all.trees.jsonl | I
+ultrachat | UltraChat | ultrachat_200k.parquet | F
+deita_10k | Deita 10K V0 | deita-10k-v0.parquet | H
+wizardlm_evol_instruct | WizardLM Evol Instruct V2 | WizardLM_evol_instruct_V2_196k.parquet | H
+longform | LongForm | LongForm.parquet | E
+gsm8k | GSM8K | gsm8k.jsonl | D
+open_math_instruct | MATH | open_math_instruct.jsonl | D
+cs_net_python_20k | CodeSearchNet 20k | cs_net_python_20k.jsonl | D
+code-search-net | CodeSearchNet 20k | cs_net_python_20k.jsonl | A
+UltraInteract_math_28k | UltraInteract 28k (Math only; no interactions) | UltraInteract_math_28k.jsonl | A
+magicoder_4k | OSS-Instruct (with DeepSeek V2 Coder Instruct) | magicoder_4k.jsonl | A
+nemotron-4-340B_self_instruct | Self-instruct (with Nemotron-4-340B) | nemotron-4-340B_self_instruct.jsonl | A
+"""
+
+
+def public_catalogue(folder: str) -> Catalogue:
+    """The public datasets, below a folder; other files are registered by their shape."""
+    known = Catalogue()
+    for line in PUBLIC.strip().splitlines():
+        name, title, file, shape = (x.strip() for x in line.split("|"))
+        known.register(Dataset(name, title, f"{folder}/{file}", shape, fmt=file.rsplit(".", 1)[1]))
+    return known
+
+
 def read(spark: SparkSession, d: Dataset) -> DataFrame:
     from tessera.sources.io import with_ordinal
 

@@ -48,7 +48,8 @@ def test_words_and_trims(spark):
     assert many(spark, texts, T.squeeze(F.col("x"))) == ["a b c ", "", None, "x", ""]
     assert many(spark, texts, T.word_count(F.col("x"))) == [4, 0, None, 1, 0] or many(spark, texts, T.word_count(F.col("x")))[:2] == [4, 0]
     assert many(spark, ["a b c", "a"], T.truncate_words(F.col("x"), 2)) == ["a b", "a"]
-    assert many(spark, ["a b c"], T.truncate_words(F.col("x"), 0)) == [""]
+    assert many(spark, ["a b c"], T.truncate_words(F.col("x"), 0)) == ["a b c"]  # a budget that the prompt uses up does not cut
+    assert many(spark, ["3 a b c", "1 a", "0 a b", "x a"], T.truncate_words(F.col("x"), F.split("x", " ")[0].try_cast("int"))) == ["3 a b", "1", "0 a b", "x a"]
     assert many(spark, ["ok</s>", "<pad>ok\n", "a##EOS##b", "x.*"], T.trim_stops(F.col("x"), ["</s>", "##EOS##", ".*"])) == ["ok", "ok", "a##EOS##b", "x"]
     assert many(spark, ["Q: Queen", "A: Art", "plain"], T.strip_qa_prefix(F.col("x"))) == ["ueen", "rt", "plain"]
     assert many(spark, [" a [title] b [x] c  d "], T.clean_titles(F.col("x"))) == ["a. b c d"]
@@ -68,7 +69,7 @@ def test_ids_and_names(spark):
 
 def test_tags_and_scores(spark):
     raw = ['[{"tag": "a", "explanation": "x"}, {"tag": "b"}]', '[{"tag": "a"}, {', "nonsense]", None, "[]", '[{"other": 1}]']
-    assert many(spark, raw, T.tag_names(T.parse_tags(F.col("x")))) == [["a", "b"], [], [], [], [], []]
+    assert many(spark, raw, T.tag_names(T.parse_tags(F.col("x")))) == [["a", "b"], ["a"], [], [], [], []]  # an unfinished list gives what is whole
     df = spark.createDataFrame([(0.0, 0.0), (None, 5.0), (None, None), (float("nan"), 0.0)], "a double, b double")
     got = [r[0] for r in df.select(T.expected_score([F.col("a"), F.col("b")])).collect()]
     assert got[0] == 1.5 and got[1] == pytest.approx(2, abs=1e-6) and got[2] == 1.5 and got[3] == 3.0
@@ -174,6 +175,7 @@ def test_translation_tasks_round_trip(spark):
         "truthfulqa_mc": ("question string, mc1_targets struct<choices:array<string>,labels:array<int>>, mc2_targets struct<choices:array<string>,labels:array<int>>", ("q", (["a"], [1]), (["b", "c"], [1, 0]))),
         "truthfulqa_gen": ("question string, best_answer string, correct_answers array<string>, incorrect_answers array<string>, type string, category string", ("q", "b", ["c1", "c2"], ["i1"], "t", "c")),
         "triple": ("instruction string, input string, output string", ("i", "", "o")),
+        "winogrande": ("sentence string", ("a _ b",)),
         "seed": ("instruction string, instances array<struct<input:string,output:string>>", ("i", [("a", "b")])),
         "messages": (f"messages {MESSAGE}", ([say("system", "s"), say("user", "u")],)),
         "preference": (f"prompt {MESSAGE}, completion array<{MESSAGE}>", ([say("system", "s"), say("user", "u")], [[say("assistant", "good")], [say("assistant", "bad")]])),
@@ -202,3 +204,8 @@ def test_structure_and_globs(spark):
     df = spark.createDataFrame([("src1",), ("src12",), ("xsrc1",), (None,)], "s string")
     assert sorted(r.s for r in gates.glob_filter(df, "s", "src1?*").collect()) == ["src12"]
     assert math.isclose(one(spark, "bigint", 100_000, T.char_cost(F.col("x")))[0], 2.0)
+
+
+def test_unfinished_tag_lists(spark):
+    raw = ['[{"tag": "a"}, {"tag": "b"}, {"ta', '[{"tag": "a", "explanation": "x"}, {"tag"', '[{"tag": "a"}', '[x, {"tag": "a"}, {', "", '[{"tag": "a"}]']
+    assert many(spark, raw, T.tag_names(T.parse_tags(F.col("x")))) == [["a", "b"], [], [], [], [], ["a"]]

@@ -1,6 +1,7 @@
 """Ranks, samples, statistics, neighbours and selection against plain Python."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -181,3 +182,59 @@ def test_judging(spark):
     rows = spark.createDataFrame([("Translation (a", "m", "n"), ("n", "n", "m"), (None, "m", "n"), ("Translation (b)", "n", "m")], "winner string, model1 string, model2 string")
     got = {(r.pair, r.winner): (r.n, r.share) for r in judge.win_rates(rows).collect()}
     assert got == {("m vs n", "m"): (2, pytest.approx(2 / 3)), ("m vs n", "n"): (1, pytest.approx(1 / 3))}
+
+
+def test_greedy_select_of_long_chains(spark):
+    """A chain in order of rank is decided in one row a round; the rest goes to one task, whatever its length."""
+    rows = [(i, i, [math.cos(0.1 * i), math.sin(0.1 * i)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, rank long, vector array<double>")
+    near = spark.createDataFrame([p for i in range(300 - 1) for p in ((i, i + 1), (i + 1, i))], "a long, b long")
+    chain = spark.createDataFrame([(i, i, [1.0]) for i in range(300)], "id long, rank long, vector array<double>")
+    assert sorted(r.id for r in neighbours.greedy_select(chain, 0.1, near).collect()) == list(range(0, 300, 2))
+    one = sorted(r.id for r in neighbours.greedy_select(df, 0.004, small=0).collect())
+    assert one == sorted(r.id for r in neighbours.greedy_select(df, 0.004).collect()) == sorted(r.id for r in neighbours.greedy_pass(df, 0.004).collect())
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for values in ([3.0], [1.0, 1.0, 2.0], rng.integers(0, 40, 500).astype(float).tolist(), rng.standard_normal(700).tolist()):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+        assert stats.quantiles(df, "x", [0, 0.25, 0.5, 0.95, 1]) == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.95, 1]).tolist(), rel=1e-12)
+    assert stats.p95(spark.createDataFrame([], "x double"), ["x"]) == {"x": None}
+
+
+def test_ordinals_of_sparse_keys(spark):
+    keys = [7, 10**15, 3, -5, 10**9, 10**9 + 1, 42]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    assert {r.k: r.ordinal for r in ranking.ordinal(df, "k").collect()} == {k: i for i, k in enumerate(sorted(keys))}
+
+
+def test_neighbours_in_ties(spark):
+    """Very many rows at one distance go by id."""
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "id long, vector array<double>")
+    c = spark.createDataFrame([(i, [1.0, 1.0 if i % 2 else -1.0]) for i in range(500, 0, -1)], "id long, vector array<double>").repartition(5)
+    assert [r.id for r in neighbours.nearest(q, c, 20, block=64).orderBy("rank").collect()] == list(range(1, 21))
+
+
+def test_task_registry():
+    known = translate.task_registry()
+    assert len(known) == 64 and known["hendrycks_virology"][1] == "virology" and known["arc_easy"] == (translate.TASKS["arc"], "ARC-Easy")
+
+
+def test_winogrande(spark):
+    task = translate.TASKS["winogrande"]
+    df = task.packed(spark.createDataFrame([("The _ fell.",)], "sentence string"))
+    assert df.first().combined == "The <x>_</x> fell."
+    back = task.unpacked(df.withColumn("translated", F.col("combined")))
+    assert back.first().sentence == "The _ fell."
+
+
+def test_samples_of_each_request(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "id long, text string").repartition(4)
+    asks = spark.range(3, 6).withColumnRenamed("id", "ask")
+    got = {}
+    for r in ranking.sample_each(df, asks, "ask", "id", 7, "s").collect():
+        got.setdefault(r.ask, set()).add(r.id)
+    assert got == {r: {x.id for x in ranking.sample_k(df, "id", 7, f"s-{r}").collect()} for r in (3, 4, 5)}

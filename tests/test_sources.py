@@ -251,3 +251,31 @@ def test_stream_accepts_once(spark, tmp_path):
     again = spark.createDataFrame([(4, "List many uncommon kitchen tools", "", "fine")], incremental.SCHEMA)
     incremental.accept(again, 1, out)
     assert sorted(r.request_idx for r in incremental.accepted(spark, out, 99).collect()) == [0, 4]
+
+
+def test_ordinals_follow_the_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}.txt").write_text("".join(f"{k}-{i}\n" for i in range(50)))
+    rows = io.with_ordinal(spark.read.option("maxPartitionBytes", 64).text(str(tmp_path)))
+    got = sorted((r.ordinal, r.value) for r in rows.collect())
+    assert [o for o, _ in got] == list(range(150)) and len({v for _, v in got}) == 150
+    for k in range(3):
+        assert [v for _, v in got if v.startswith(f"{k}-")] == [f"{k}-{i}" for i in range(50)]
+
+
+def test_pretty_array(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(1, "b\n", [1, 2]), (0, "ä", [])], "ordinal long, text string, n array<int>").repartition(2)
+    io.write_pretty(df, str(tmp_path / "out"))
+    io.write_pretty(df.limit(0), str(tmp_path / "none"))
+    read = lambda p: "".join(x.read_text() for x in sorted(p.glob("part-*")))
+    assert json.loads(read(tmp_path / "out")) == [{"text": "ä", "n": []}, {"text": "b\n", "n": [1, 2]}] and "\n    {\n" in read(tmp_path / "out")
+    assert json.loads(read(tmp_path / "none")) == []
+
+
+def test_public_catalogue(spark, tmp_path):
+    (tmp_path / "gsm8k.jsonl").write_text('{"instruction": "1 + 1", "output": "2"}\n')
+    known = adapters.public_catalogue(str(tmp_path))
+    title, rows = known.load(spark, "gsm8k")
+    assert title == "GSM8K" and [(r.instruction, r.response) for r in rows.collect()] == [("1 + 1", "2")] and len(known.datasets) == 21
