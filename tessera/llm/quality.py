@@ -243,11 +243,13 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8000, seed: int = 5,
 ) -> QualityModel:
-    """Learns from at most ``sample`` labelled rows. Without any the score is 0.5, with one label only that label's."""
+    """Learns from at most ``sample`` labelled rows, of each id one, the least of its texts and labels. Without any the score is 0.5, with one
+    label only that label's. Null texts count as empty; very long ones are read whole."""
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(sample)  # its size is bounded, so it may be broadcast
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("label", "text")
+    texts = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
+    texts = texts.groupBy(id_col).agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text")
     found = texts.repartition(PARTS).mapInArrow(_contexts, "word long, n long, told binary").repartition(PARTS, "word").mapInArrow(_vocabulary, "word long, told binary").collect()
     known = np.array([r["word"] for r in found], np.int64).view(np.uint64)
     learned = np.frombuffer(b"".join(r["told"] for r in found), "i1").reshape(-1, WIDTH)[np.argsort(known)]
