@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -115,8 +116,6 @@ class Kept:
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """(key, rows) for each run of equal keys in sorted batches. Runs that end inside a batch are sliced, not copied."""
-    import numpy as np
-
     held: list[pa.RecordBatch] = []
     last: tuple | None = None
     for batch in batches:
@@ -137,3 +136,33 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
             held.append(batch.slice(a, b - a))
     if last is not None:
         yield last, pa.Table.from_batches(held)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, first row of each run and the end) for many runs of equal keys at once, ``least`` rows or more but for the last; no run is parted."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for c in (table.column(k).to_numpy() for k in keys):
+            new[1:] |= c[1:] != c[:-1]
+        return np.append(np.flatnonzero(new), len(table))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < least:
+            continue
+        table = pa.Table.from_batches(held)
+        cuts = starts(table)
+        if len(cuts) > 2:
+            yield table.slice(0, cuts[-2]), cuts[:-1]
+            held = table.slice(cuts[-2]).combine_chunks().to_batches()
+            size = sum(b.num_rows for b in held)
+    if size:
+        table = pa.Table.from_batches(held)
+        yield table, starts(table)

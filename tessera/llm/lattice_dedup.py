@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._components import components
-from tessera.llm._store import Kept, few_files, runs
+from tessera.llm._store import Kept, few_files, whole_runs
 from tessera.llm._text import mix64
 from tessera.llm._vectors import directions, join_groups, keyed, matrices, usable
 
@@ -134,62 +134,81 @@ def _hasher(threshold: float, reach: float, seed: int):
     return run
 
 
+def _pairs(starts: np.ndarray, inside: np.ndarray):
+    """All pairs of rows of the same run, for the runs that are ``inside``, by the distance of the rows."""
+    end = np.repeat(starts[1:], np.diff(starts))
+    rows = np.flatnonzero(np.repeat(inside, np.diff(starts)))
+    step = 1
+    while len(rows):
+        rows = rows[rows + step < end[rows]]
+        yield rows, rows + step
+        step += 1
+
+
 def _verifier(threshold: float, reach: float, seed: int):
+    def near(u: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = [np.einsum("ij,ij->i", u[i[c : c + 100_000]], u[j[c : c + 100_000]]) >= threshold for c in range(0, len(i), 100_000)]
+        ok = np.concatenate([np.zeros(0, bool), *ok])
+        return i[ok], j[ok]
+
     def run(batches):
         turns: dict[int, np.ndarray] = {}
-        out: list[tuple] = []
-        held = 0
-
-        def flush():
-            cols = [np.concatenate(c) for c in zip(*out)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "links", "root"])
-
-        for (cell, tab, ba, bb), rows in runs(batches, ["cell", "tab", "ba", "bb"]):
+        for rows, starts in whole_runs(batches, ["cell", "tab", "ba", "bb"]):
             rows = rows.combine_chunks()
-            ids, weight, own, l1, l2 = (rows.column(c).to_numpy() for c in ("id", "copies", "own", "l1", "l2"))
-            left, right = np.flatnonzero(own == ba), np.flatnonzero(own == bb)
-            if not len(left) or not len(right):
-                continue
+            cell, tab, ba, bb, ids, weight, own, l1, l2 = (rows.column(c).to_numpy() for c in ("cell", "tab", "ba", "bb", "id", "copies", "own", "l1", "l2"))
+            found = []
             lists = rows.column("vector").combine_chunks()
-            d = len(lists[0])
-            u = directions(np.asarray(lists.flatten(), np.float64).reshape(len(rows), d))
-            hits = (u[left] @ u[right].T) >= threshold
-            if ba == bb:
-                hits &= left[:, None] < right[None, :]
-            i, j = np.nonzero(hits)
-            i, j = left[i], right[j]
-            same = (l1[i] == l1[j]) & (l2[i] == l2[j])
-            i, j = i[same], j[same]
-            if not len(i):
-                continue
-            # counted in the first table in which the pair is near enough, where its middle lies
-            turn = turns.setdefault(d, rotation(d, seed))
-            y = u @ turn
-            width = BLOCK * PER_TABLE
-            tables = turn.shape[1] // width
-            scale = _scale(threshold, tables, reach)
-            most = (2 - 2 * threshold) / tables * (1 + 1e-9) + 1e-15
-            counts = np.zeros(len(i), bool)
-            for at in range(0, len(i), 65536):
-                a, b = i[at : at + 65536], j[at : at + 65536]
-                gap = ((y[a] - y[b]) ** 2).reshape(len(a), tables, width).sum(axis=2) <= most
-                middle = ((y[a] + y[b]) / 2 * scale)[:, tab * width :][:, :width]
-                home = np.hstack([e8_decode(middle[:, k * BLOCK :][:, :BLOCK]) for k in range(PER_TABLE)])
-                counts[at : at + 65536] = gap.any(axis=1) & (gap.argmax(axis=1) == tab) & (_full_key(home, l1[a], d, int(tab)) == cell)
-            i, j = i[counts], j[counts]
+            lengths = np.diff(np.asarray(lists.offsets))
+            flat = np.asarray(lists.flatten(), np.float64)
+            at = np.concatenate([[0], np.cumsum(lengths)])
+            size = np.diff(starts)
+            for d in np.unique(lengths[starts[:-1]]):  # the vectors of a run have one length
+                runs_ = np.flatnonzero(lengths[starts[:-1]] == d)
+                of = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in runs_]) if len(runs_) < len(size) else np.arange(len(rows))
+                u = np.zeros((len(rows), d))
+                u[of] = directions(flat[at[of][:, None] + np.arange(d)])
+                small = (size <= 64) & (ba[starts[:-1]] == bb[starts[:-1]]) & (lengths[starts[:-1]] == d)
+                found += [(d, u, *near(u, i, j)) for i, j in _pairs(starts, small)]
+                for r in runs_[~small[runs_]]:
+                    some = np.arange(starts[r], starts[r + 1])
+                    left, right = some[own[some] == ba[some[0]]], some[own[some] == bb[some[0]]]
+                    i, j = np.nonzero(u[left] @ u[right].T >= threshold)
+                    i, j = left[i], right[j]
+                    apart = (i < j) | (ba[i] != bb[i])
+                    found.append((d, u, i[apart], j[apart]))
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d, u, i, j in found:
+                same = (l1[i] == l1[j]) & (l2[i] == l2[j])
+                i, j = i[same], j[same]
+                turn = turns.setdefault(d, rotation(d, seed))
+                width = BLOCK * PER_TABLE
+                tables = turn.shape[1] // width
+                scale = _scale(threshold, tables, reach)
+                most = (2 - 2 * threshold) / tables * (1 + 1e-9) + 1e-15
+                for c in range(0, len(i), 65536):
+                    # counted in the first table in which the pair is near enough, where its middle lies
+                    a, b = i[c : c + 65536], j[c : c + 65536]
+                    ya, yb = u[a] @ turn, u[b] @ turn
+                    gap = ((ya - yb) ** 2).reshape(len(a), tables, width).sum(axis=2) <= most
+                    here = gap.any(axis=1) & (gap.argmax(axis=1) == tab[a])
+                    a, b, middle = a[here], b[here], ((ya + yb) / 2 * scale)[here]
+                    middle = middle.reshape(len(a), tables, width)[np.arange(len(a)), tab[a]]
+                    home = np.hstack([e8_decode(middle[:, k * BLOCK :][:, :BLOCK]) for k in range(PER_TABLE)])
+                    counts = np.zeros(len(a), bool)
+                    for t in np.unique(tab[a]):
+                        at_t = tab[a] == t
+                        counts[at_t] = _full_key(home[at_t], l1[a][at_t], int(d), int(t)) == cell[a][at_t]
+                    left.append(a[counts])
+                    right.append(b[counts])
+            i, j = np.concatenate(left), np.concatenate(right)
             if not len(i):
                 continue
-            links = np.zeros(len(ids), np.int64)
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            found = np.flatnonzero(links)
-            out.append((ids[found], links[found], ids[join_groups(len(ids), i, j)[found]]))
-            held += len(found)
-            if held > 50_000:
-                yield flush()
-                out, held = [], 0
-        if out:
-            yield flush()
+            names, local = np.unique(ids[np.concatenate([i, j])], return_inverse=True)
+            links = np.zeros(len(names), np.int64)
+            np.add.at(links, local[: len(i)], weight[j])
+            np.add.at(links, local[len(i) :], weight[i])
+            root = join_groups(len(names), local[: len(i)], local[len(i) :])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(links), pa.array(names[root])], names=["id", "links", "root"])
 
     return run
 
