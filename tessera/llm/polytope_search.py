@@ -242,7 +242,7 @@ def _meet(kept: Kept, reps: DataFrame, cells: DataFrame, best, block: int) -> tu
 
 def search(
     vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    tables: int = 6, rotations: int = 4, slack: float = 0.3, block: int = 4096, depth: int | None = None, seed: int = 7,
+    tables: int = 6, rotations: int = 6, slack: float = 0.3, block: int = 4096, depth: int | None = None, seed: int = 7,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with ``is_query`` the k rows of largest inner product, itself left out.
 
