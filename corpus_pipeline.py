@@ -25,17 +25,24 @@ THRESHOLD = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score THRESHOLD or more, whole rows. Null and empty texts have the score of a text without words; rows with null or repeated
+    ids are scored like any other; without labels every score is 0.5, so all stay; a very long text is read whole; an empty table gives an empty one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels.where(fifth() != 0))
     return score_quality(docs, model, score_col="_score").where(F.col("_score") >= THRESHOLD).drop("_score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents but those that links join to a smaller id, whole rows. Texts without words and rows with a null id stay; rows that repeat an id are one
+    document and stay or go together; very long texts are compared whole; an empty table gives an empty one."""
     gone = shingle_links(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
     return few_files(docs.join(gone, docs.doc_id == gone._gone, "left_anti"))  # rows with a null id stay
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of windows that start in a document with a smaller id; those that lose all go, and n_chars follows the text. A text
+    that loses nothing stays as it is, null and empty ones too; rows with a null id lose nothing; rows that repeat an id keep what they share; an
+    empty table gives an empty one."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     told = dedup_substrings(docs, columns=("n_chars", *others), verbatim=True)
     told = told.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.col("kept_text"))
@@ -44,6 +51,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, as ``pack`` tells: null and empty texts are one piece, rows with null or repeated ids documents of their
+    own, an empty table gives an empty one."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), output="crc32").withColumnRenamed("ids", "ids_crc32")
 
 
