@@ -37,7 +37,7 @@ from tessera.llm._text import Words, mix64, pieces
 END = np.uint64(0xE9D)
 STEP = np.uint64(0xD1342543DE82EF95)
 SALT = np.uint64(0x5851F42D4C957F2D)
-SHARD_TOKENS, HELD = 4_000_000, 4_000_000
+SHARD_TOKENS, HELD = 4_000_000, 2_000_000
 MANY = 255  # counts from here on stand in a list of their own
 
 

@@ -20,6 +20,9 @@ from tessera.llm.shingle_join import shingle_links
 from tessera.llm.substring_dedup import dedup_substrings
 
 
+LM_ORDER = 4
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -68,7 +71,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    model = ngram_lm.fit(docs.where(fifth() != 1))
+    model = ngram_lm.fit(docs.where(fifth() != 1), order=LM_ORDER)
     scores = Kept(spark).put(ngram_lm.score(docs, model), "scores", whole=True)
     ngram_lm.delete_model(spark, model)
     return scores.select("doc_id", (fifth() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -83,17 +83,20 @@ def test_op7(spark, queries):
 
 def test_op8(spark, queries, documents):
     train = [t for i, t in documents if remainder(i) != 1]
-    p, vocabulary = slow_model(train, 3)
+    from tessera.llm.queries import LM_ORDER
+
+    before = LM_ORDER - 1
+    p, vocabulary = slow_model(train, LM_ORDER)
     counts = Counter(w for t in train for w in [*WORD.findall((t or "").translate(LOWER)), "</s>"])
     total = sum(counts.values())
     out = {r.doc_id: r for r in queries["op8_ngram_lm"](spark, DATA).collect()}
     for i, t in documents:
         tokens = [*WORD.findall((t or "").translate(LOWER)), "</s>"]
-        padded = ["<s>", "<s>", *tokens]
+        padded = ["<s>"] * before + tokens
         r = out[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (remainder(i) == 1, len(tokens), sum(w in counts for w in tokens), total)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in tokens), rel=1e-9)
-        assert r.score == pytest.approx(sum(math.log10(p(padded[k : k + 2], w)) for k, w in enumerate(tokens)), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(p(padded[k : k + before], w)) for k, w in enumerate(tokens)), rel=1e-9)
 
 
 def test_op10(spark, queries):
