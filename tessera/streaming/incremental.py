@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.models import hashed_embedding
 from tessera.operators.gates import quality_gate
-from tessera.operators.neighbours import nearest
+from tessera.operators.neighbours import greedy_select, nearest
 from tessera.operators.stats import first_by_key
 
 SCHEMA = "request_idx long, instruction string, input string, output string"
@@ -30,7 +30,7 @@ def accepted(spark: SparkSession, folder: str, before: int) -> DataFrame:
 
 
 def accept(batch: DataFrame, number: int, folder: str, least: float = 0.3, language: str = "EN") -> None:
-    """One micro-batch. Near copies within one batch are both kept, as only exact keys are compared there."""
+    """One micro-batch. Rows count in order of (request_idx, id): one that is near to a row accepted before it, in this batch or an earlier one, goes."""
     spark = batch.sparkSession
     key = F.concat_ws(" ### ", "instruction", "input")
     rows = first_by_key(quality_gate(batch, language=language), [key], F.struct("request_idx", "output"))
@@ -42,6 +42,8 @@ def accept(batch: DataFrame, number: int, folder: str, least: float = 0.3, langu
         if least > 0 and not old.isEmpty():
             near = nearest(rows.select("id", "vector"), old.select("id", "vector"), 1).where(F.col("distance") <= least)
             far = rows.join(near.select(F.col("query_id").alias("id")), "id", "left_anti")
+        if least > 0:
+            far = greedy_select(far.withColumn("rank", F.struct("request_idx", "id")), least)
         far.select(*[c.split()[0] for c in ACCEPTED.split(", ")]).write.mode("overwrite").parquet(f"{folder}/batch={number}")
     finally:
         rows.unpersist()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.models import Analyzers, Echo, Sampling, generate, hashed_embedding, replay
+from tessera.models import Analyzers, Echo, Sampling, generate, generate_chat, hashed_embedding, replay, translate_text
 from tessera.operators import translate
 from tessera.plans import pipelines
 from tessera.sources import adapters, io
@@ -279,3 +279,40 @@ def test_public_catalogue(spark, tmp_path):
     known = adapters.public_catalogue(str(tmp_path))
     title, rows = known.load(spark, "gsm8k")
     assert title == "GSM8K" and [(r.instruction, r.response) for r in rows.collect()] == [("1 + 1", "2")] and len(known.datasets) == 21
+
+
+def test_stream_drops_near_copies_of_one_batch(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = [(0, "Explain how rivers are formed", "", "a"), (1, "Explain how rivers are formed!", "", "b"), (2, "List many uncommon kitchen tools", "", "c")]
+    incremental.accept(spark.createDataFrame(rows, incremental.SCHEMA), 0, out)
+    assert sorted(r.request_idx for r in incremental.accepted(spark, out, 99).collect()) == [0, 2]
+
+
+def test_standard_analyses(spark):
+    df = spark.createDataFrame([("Add two numbers", "1 2 3 4"), ("Say hi", "hi")], "instruction string, response string")
+    scorer = lambda: lambda told: [[-20.0] * 5 + [0.0] for _ in told]
+    models = {"categories": Echo, "tagging": lambda: Echo(reply=lambda p: '[{"tag": "' + p + '"}]'), "complexity": scorer, "quality": scorer, "reward_modelling": lambda: lambda told: [[float(len(t))] for t in told]}
+    known = Analyzers.standard(models)
+    assert set(known.known) == {"categories", "complexity", "quality", "tagging", "tokens", "embeddings", "reward_modelling"}
+    out = {r.instruction: r for r in known.run(df, sorted(known.known)).collect()}
+    r = out["Add two numbers"]
+    assert r.tokens == 7 and r.tagging[0].tag == "Add two numbers" and r.quality == pytest.approx(6.0) and r.complexity == pytest.approx(6.0)
+    assert r.categories.startswith("USER: Add") and r.reward_modelling == len(r.categories) and len(r.embeddings) == 64
+
+
+def test_translations_and_chats(spark):
+    df = spark.createDataFrame([("Hallo", [("user", "Hi")])], "text string, messages array<struct<role:string,content:string>>")
+    calls = []
+
+    def flaky():
+        def ask(told, sampling):
+            calls.append(1)
+            if not calls[1:]:
+                raise RuntimeError("busy")
+            return [t.upper() + "##EOT## rest" for t in told]
+        return ask
+
+    template = "{source_lang}>{target_lang}: {text}"
+    assert translate_text(df, "text", "de", "en", flaky, template).first().translated == "Hallo"
+    assert translate_text(df, "text", "de", "fr", flaky, template, wait=0.0).first().translated == "GERMAN>FRENCH: HALLO"
+    assert generate_chat(df, "messages", Echo).first().response == "<|im_start|>user\nHi</s>"
