@@ -243,6 +243,7 @@ class Model:
     discounts: dict[int, list[float]] = field(default_factory=dict)  # by level, D for the counts 0, 1, 2, 3 and more
     floor: float = 1.0  # the lowest level's weight of 1 / (V + 1)
     total: int = 0  # the lowest level's counts together
+    wide: bool = False  # ids of 64 bits, also where 32 hold them
 
     @property
     def size(self) -> int:
@@ -256,7 +257,7 @@ class Model:
     @property
     def kind(self) -> type:
         """Ids have 32 bits, as long as these hold them all."""
-        return np.uint32 if self.size + 1 < 1 << 32 else np.uint64
+        return np.uint32 if self.size + 1 < 1 << 32 and not self.wide else np.uint64
 
 
 def _leading(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -563,15 +564,16 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [0.0, *(min(max(x, 0.01), k - 0.01) for k, x in zip((1, 2, 3), d))]
 
 
-def fit(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
-    """Counts the texts of ``docs`` and writes a model of the given order, 2 or more. Null text is empty; very long texts are read whole."""
+def fit(docs: DataFrame, text_col: str = "text", order: int = 3, wide: bool = False) -> Model:
+    """Counts the texts of ``docs`` and writes a model of the given order, 2 or more. Null text is empty; very long texts are read whole. Ids have 32
+    bits as long as these hold them all, and 64 else or if ``wide``; the model is the same."""
     if order < 2:
         raise ValueError("an order of 2 or more")
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(text_col).alias("text"))
     bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    model = Model(new_path(spark, "lm"), order, bits)
+    model = Model(new_path(spark, "lm"), order, bits, wide=wide)
     dealt = lambda rows, parts: rows.repartition(parts, "shard").sortWithinPartitions("shard")
     sizes = {r["shard"]: r for r in dealt(texts.mapInArrow(_count_vocabulary(bits), SHAPE), 1 << bits).mapInArrow(_write_vocabulary(model.folder), "shard int, size long, tokens long").collect()}
     model.starts = [0]

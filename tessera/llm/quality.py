@@ -298,7 +298,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     """All rows and columns with ``score_col``, the calibrated probability of label 1 (an input column of that name is replaced).
 
     Only the text is an input of the score. Defined cases: null and empty texts have no words and get the network's value for the
-    zero vector; repeated rows get the same score; an empty table gives an empty result; other columns pass unchanged.
+    zero vector; repeated rows get the same score; a very long text is read whole, in parts of its own; an empty table gives an empty result; other
+    columns pass unchanged.
     """
     small_batches(docs.sparkSession)
     rows = docs.drop(score_col).withColumn("_text", F.col(text_col))

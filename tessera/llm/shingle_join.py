@@ -242,7 +242,8 @@ def shingle_links(
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined cases: texts without words (null, empty) link with nothing; rows
     with a null id link with nothing and are kept; rows that repeat an id are one document, with the links of each of
-    their texts; an empty table gives an empty result; extra columns are not read.
+    their texts; ids are whole numbers, and a column that cannot be cast to them raises; a very long text is hashed whole and compared by all its grams; an
+    empty table gives an empty result; extra columns are not read.
     """
     spark = docs.sparkSession
     kept = Kept(spark)

@@ -416,3 +416,22 @@ def test_shared_folder_is_cleared(spark):
     _store.clear(spark)
     with pytest.raises(Exception):
         spark.read.parquet(table._tessera_path).count()
+
+
+def test_only_small_tables_are_merged(spark, tmp_path, monkeypatch):
+    from tessera.llm import _store
+
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t")).repartition(40)
+    assert _store.few_files(rows).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(_store, "SMALL_BYTES", 0)
+    assert _store.few_files(rows).rdd.getNumPartitions() == 40
+
+
+def test_ids_are_whole_numbers(spark):
+    rows = spark.createDataFrame([("x1", "a b c")], "doc_id string, text string")
+    for operator in (shingle_links, dedup_substrings):
+        with pytest.raises(Exception):
+            operator(rows).collect()
+    rows = spark.createDataFrame([("7", "a b c"), ("8", "a b c")], "doc_id string, text string")
+    assert {r.doc_id: r.n_links for r in shingle_links(rows).collect()} == {7: 1, 8: 1}

@@ -261,6 +261,40 @@ def test_kneser_ney(spark, order):
     ngram_lm.delete_model(spark, model)
 
 
+def test_wide_ids_and_large_counts(spark):
+    """Ids of 64 bits, counts beyond a byte, and a vocabulary in many shards give the same model."""
+    rng = random.Random(2)
+    train = ["a b " * 300, "a b c " * 90] + [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(40)]
+    test = ["a b a b c", "h g z a", "", "b " * 20]
+    p, _ = slow_model(train, 3)
+    scores = []
+    for wide in (False, True):
+        model = ngram_lm.fit(frame(spark, list(enumerate(train))).repartition(3), order=3, wide=wide)
+        scores.append({r.doc_id: r.score for r in ngram_lm.score(frame(spark, list(enumerate(test))), model).collect()})
+        ngram_lm.delete_model(spark, model)
+    for i, t in enumerate(test):
+        padded = ["<s>", "<s>", *t.split(), "</s>"]
+        want = sum(math.log10(p(padded[k : k + 2], w)) for k, w in enumerate(padded[2:]))
+        assert scores[0][i] == pytest.approx(want, rel=1e-9) and scores[1][i] == scores[0][i]
+
+
+def test_counted_rows():
+    """Rows of columns that one number holds and of more."""
+    rng = np.random.default_rng(3)
+    for bits, width in ((20, 3), (20, 5), (31, 4), (3, 2)):
+        columns = [rng.integers(0, min(1 << bits, 6), 500).astype(np.uint64) for _ in range(width)]
+        found, n = ngram_lm.count_rows(columns, bits)
+        want = sorted(Counter(zip(*(c.tolist() for c in columns))).items())
+        assert list(zip(*(c.tolist() for c in found))) == [k for k, _ in want] and n.tolist() == [v for _, v in want]
+
+
+def test_packed_rows():
+    for kind in (np.uint32, np.uint64):
+        columns = [np.array([5, 1 << 31, 7], kind), np.array([0, 2, 3], kind)]
+        back, n = ngram_lm.unpack_rows(ngram_lm.pack_rows(columns, np.array([1, 254, 1 << 40])))
+        assert [b.tolist() for b in back] == [c.tolist() for c in columns] and n.tolist() == [1, 254, 1 << 40] and back[0].dtype == kind
+
+
 def test_model_of_nothing(spark):
     model = ngram_lm.fit(frame(spark, []))
     (row,) = ngram_lm.score(frame(spark, [(1, "a b")]), model).collect()
