@@ -25,6 +25,7 @@ import os
 import struct
 import tempfile
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -193,13 +194,32 @@ def unpack_rows(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     return found, n
 
 
-ROWS = pa.schema([("shard", pa.int32()), ("data", pa.binary())])
-SHAPE = "shard int, data binary"
+ROWS = pa.schema([("shard", pa.int32()), ("slot", pa.int32()), ("data", pa.binary())])
+SHAPE = "shard int, slot int, data binary"
 TOLD = -1  # the shard of what is told of finished shards, by level
 
 
-def _by_shard(columns: list[np.ndarray], n: np.ndarray, shard: np.ndarray):
-    """Batches of packed rows, those of each shard in their order."""
+@lru_cache(maxsize=8)
+def slots(parts: int) -> np.ndarray:
+    """Numbers of which each is dealt to a partition of its own by a hash partitioning into ``parts`` (murmur3 with the seed 42, as Spark has it), so that
+    each task gets one shard; by another hash some tasks would get several."""
+    found = np.full(parts, -1, np.int64)
+    at, step = 0, 16 * parts + 1024
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    while (found < 0).any():
+        keys = np.arange(at, at + step, dtype=np.uint32)
+        h = turn(np.uint32(42) ^ (turn(keys * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(times)
+        part = h.view(np.int32).astype(np.int64) % parts
+        found[part[::-1]] = keys[::-1]
+        at += step
+    return found
+
+
+def _by_shard(columns: list[np.ndarray], n: np.ndarray, shard: np.ndarray, parts: int):
+    """Batches of packed rows, those of each of ``parts`` shards in their order."""
     if not len(n):
         return
     ascending = not (shard[1:] < shard[:-1]).any()
@@ -208,11 +228,12 @@ def _by_shard(columns: list[np.ndarray], n: np.ndarray, shard: np.ndarray):
         shard, columns, n = shard[order], [c[order] for c in columns], n[order]
     cuts = np.append(np.flatnonzero(_changes(shard)), len(shard))
     for a, b in zip(cuts, cuts[1:]):
-        yield pa.RecordBatch.from_arrays([pa.array([shard[a]], pa.int32()), pa.array([pack_rows([c[a:b] for c in columns], n[a:b])], pa.binary())], schema=ROWS)
+        told = [pa.array([shard[a]], pa.int32()), pa.array([slots(parts)[shard[a]]], pa.int32()), pa.array([pack_rows([c[a:b] for c in columns], n[a:b])], pa.binary())]
+        yield pa.RecordBatch.from_arrays(told, schema=ROWS)
 
 
 def _told(told: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([TOLD], pa.int32()), pa.array([json.dumps(told).encode()], pa.binary())], schema=ROWS)
+    return pa.RecordBatch.from_arrays([pa.array([TOLD], pa.int32()), pa.array([0], pa.int32()), pa.array([json.dumps(told).encode()], pa.binary())], schema=ROWS)
 
 
 def _add_told(sums: dict, more: dict) -> None:
@@ -383,7 +404,7 @@ def _count_vocabulary(bits: int):
 
         def flush():
             known, n = tally(np.concatenate(held))
-            return _by_shard([known], n, _leading(known, bits))
+            return _by_shard([known], n, _leading(known, bits), 1 << bits)
 
         for batch in batches:
             for _, part in pieces(batch.column("text")):
@@ -443,7 +464,7 @@ def _count_ngrams(model: Model):
             told = np.append(told, np.uint64(model.start)).astype(model.kind)
             grams, n = count_rows([*contexts(ids, of, model.order, len(known)), ids], len(known).bit_length())
             grams = [told[g.astype(np.int64)] for g in grams]
-            return _by_shard(grams, n, _shards(grams[:-1], model.shards))
+            return _by_shard(grams, n, _shards(grams[:-1], model.shards), model.shards)
 
         for batch in batches:
             for _, part in pieces(batch.column("text")):
@@ -516,7 +537,7 @@ def _write_level(model: Model, level: int):
             del stats, head
             if level == 2:
                 low, n = tally(token)
-                yield from _by_shard([low], n, np.searchsorted(starts, low.astype(np.int64), "right") - 1)
+                yield from _by_shard([low], n, np.searchsorted(starts, low.astype(np.int64), "right") - 1, 1 << model.bits)
                 continue
             below = context[1:]
             if level == 3:
@@ -528,7 +549,7 @@ def _write_level(model: Model, level: int):
                 low, n = tally((rank.astype(np.uint64)[place] << np.uint64(32)) | _ranked(token)[0])
                 columns = [c[first[(low >> np.uint64(32)).astype(np.int64)]] for c in below]
             columns.append(_named(low & np.uint64((1 << 32) - 1), _ranked(token)[1]))
-            yield from _by_shard(columns, n, _shards(columns[:-1], model.shards))
+            yield from _by_shard(columns, n, _shards(columns[:-1], model.shards), model.shards)
         if sums:
             yield _told(sums)
 
@@ -574,7 +595,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 3, wide: bool = Fa
     texts = docs.select(F.col(text_col).alias("text"))
     bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     model = Model(new_path(spark, "lm"), order, bits, wide=wide)
-    dealt = lambda rows, parts: rows.repartition(parts, "shard").sortWithinPartitions("shard")
+    dealt = lambda rows, parts: rows.repartition(parts, "slot").sortWithinPartitions("shard")
     sizes = {r["shard"]: r for r in dealt(texts.mapInArrow(_count_vocabulary(bits), SHAPE), 1 << bits).mapInArrow(_write_vocabulary(model.folder), "shard int, size long, tokens long").collect()}
     model.starts = [0]
     for s in range(1 << bits):

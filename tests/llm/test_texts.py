@@ -288,6 +288,12 @@ def test_counted_rows():
         assert list(zip(*(c.tolist() for c in found))) == [k for k, _ in want] and n.tolist() == [v for _, v in want]
 
 
+def test_slots_are_dealt_apart(spark):
+    for parts in (1, 7, 64):
+        df = spark.createDataFrame([(int(x),) for x in ngram_lm.slots(parts)], "slot int").repartition(parts, "slot")
+        assert sorted(r[0] for r in df.select(F.spark_partition_id()).collect()) == list(range(parts))
+
+
 def test_packed_rows():
     for kind in (np.uint32, np.uint64):
         columns = [np.array([5, 1 << 31, 7], kind), np.array([0, 2, 3], kind)]
