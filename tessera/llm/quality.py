@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._store import small_batches
-from tessera.llm._text import Words, mix64, pieces
+from tessera.llm._text import Words, mix64, pieces, utf8
 
 FORMS, WIDTH, HIDDEN, NETS, NEIGHBOURS, PARTS = 1024, 96, 24, 5, 2, 8
 
@@ -250,18 +250,19 @@ def fit_quality(
     chosen = chosen.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(sample)  # its size is bounded, so it may be broadcast
     texts = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
     texts = texts.groupBy(id_col).agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text")
-    found = texts.repartition(PARTS).mapInArrow(_contexts, "word long, n long, told binary").repartition(PARTS, "word").mapInArrow(_vocabulary, "word long, told binary").collect()
-    known = np.array([r["word"] for r in found], np.int64).view(np.uint64)
-    learned = np.frombuffer(b"".join(r["told"] for r in found), "i1").reshape(-1, WIDTH)[np.argsort(known)]
+    found = texts.repartition(PARTS).mapInArrow(_contexts, "word long, n long, told binary").repartition(PARTS, "word").mapInArrow(_vocabulary, "word long, told binary").toArrow()
+    known = found.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    learned = utf8(found.column("told").combine_chunks())[0].view(np.int8).reshape(-1, WIDTH)[np.argsort(known)]
     known = np.sort(known)
     del found
-    told = texts.repartition(PARTS).mapInArrow(_training_rows(known, learned), "label int, told binary, mean binary").collect()
-    rows = sorted((r["label"], bytes(r["told"]), bytes(r["mean"])) for r in told if r["label"] is not None)  # the same order, wherever they came from
+    told = texts.repartition(PARTS).mapInArrow(_training_rows(known, learned), "label int, told binary, mean binary").toArrow()
+    told = list(zip(*(told.column(c).to_pylist() for c in ("label", "told", "mean"))))
+    rows = sorted(x for x in told if x[0] is not None)  # the same order, wherever they came from
     y = np.array([x[0] for x in rows], np.float64)
     near = np.zeros((FORMS, FORMS), np.float32)
-    for r in told:
-        if r["label"] is None:
-            near += _dense(bytes(r["told"]), FORMS * FORMS).reshape(FORMS, FORMS)
+    for label, matrix, _ in told:
+        if label is None:
+            near += _dense(matrix, FORMS * FORMS).reshape(FORMS, FORMS)
     del told
     none = QualityModel(word_vectors(near, seed), known, learned, (np.zeros((2 * WIDTH, HIDDEN), np.float32), np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), 0.0), np.zeros(2 * WIDTH), np.ones(2 * WIDTH), 1.0)
     if len(set(y.tolist())) < 2:

@@ -119,6 +119,31 @@ def test_quality_tells_words_of_one_form_apart(spark):
     assert all((out[i] >= 0.5) == bool(i % 2) for i in range(0, 300, 5))
 
 
+def test_word_vectors_match_brute_force(spark):
+    """Contexts of words of two labelled rows and more, and the means of documents, by their definition."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(rng.randrange(1, 9))) + f" own{k}" for k in range(30)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    model = quality.fit_quality(frame(spark, [*enumerate(texts), (3, texts[3]), (99, "alpha unlabelled")]), labels)
+    names = sorted({w for t in texts for w in t.split()})
+    hashed = dict(zip(names, Words(pa.array([" ".join(names)])).hashes().tolist()))
+    index = {w: quality.index_vectors(np.array([h], np.uint64))[0].astype(float) for w, h in hashed.items()}
+    sums, rows = defaultdict(lambda: np.zeros(quality.WIDTH)), Counter()
+    for t in texts:
+        w = t.split()
+        rows.update(set(w))
+        for i, x in enumerate(w):
+            for j in range(max(0, i - quality.NEIGHBOURS), min(len(w), i + quality.NEIGHBOURS + 1)):
+                if i != j:
+                    sums[x] += index[w[j]]
+    want = {hashed[w]: np.rint(sums[w] / max(np.linalg.norm(sums[w]), 1e-9) * quality.UNIT) for w, n in rows.items() if n > 1}
+    assert model.known.tolist() == sorted(want)
+    assert all((model.learned[k] == want[h]).all() for k, h in enumerate(model.known.tolist()))
+    vector = lambda w: index[w] + want.get(hashed[w], 0) / quality.UNIT
+    means = quality.word_means(Words(pa.array(texts)), model.known, model.learned)
+    assert np.allclose(means, [np.mean([vector(w) for w in t.split()], axis=0) for t in texts], atol=1e-6)
+
+
 def test_quality_without_labels(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int")
