@@ -8,8 +8,8 @@ tokens, so no task holds more than a few million n-grams; the driver gets one ro
 
 A shard of a level is one file of two sorted hash arrays, its n-grams with their counts and its contexts with their statistics. The
 leading bits of a 64-bit hash are its bucket, the next 32 are stored: an n-gram takes some five bytes and its count one, and an unseen
-one is taken for another about once in 10^9 lookups. Counts from 255 on stand in a list of their own, in 64 bits. Workers map the files into memory and
-keep them mapped from task to task; on a mounted folder they are mapped where they lie, else a worker fetches a shard once and
+one is taken for another about once in 10^9 lookups. Counts from 255 on stand in a list of their own, in 64 bits. Workers map the files into
+memory; on a mounted folder they are mapped where they lie, else a worker fetches a shard once for all its tasks and
 unlinks its copy once it is mapped. Tokens are looked up sorted by context, so shard by shard.
 
 The probability of w after a context v is max(c(vw) - D, 0) / c(v) + (D1 N1(v) + D2 N2(v) + D3 N3(v)) / c(v) times that after the context
@@ -88,7 +88,8 @@ def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 class Arrays:
-    """The files of a folder, mapped when first asked for. A worker keeps those of the last folder for its later tasks."""
+    """The files of a folder, mapped when first asked for. Of a folder that is not mounted a worker keeps its copies of the last one's for its later
+    tasks; else they are let go with the task, so that no worker holds the disk of a deleted model."""
 
     last: Arrays | None = None
 
@@ -98,6 +99,8 @@ class Arrays:
 
     @classmethod
     def of(cls, folder: str) -> Arrays:
+        if _local(folder):
+            return cls(folder)
         if cls.last is None or cls.last.folder != folder:
             cls.last = cls(folder)
         return cls.last

@@ -20,7 +20,7 @@ from tessera.llm.shingle_join import shingle_links
 from tessera.llm.substring_dedup import dedup_substrings
 
 
-LM_ORDER = 4
+LM_ORDER = 3
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
