@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import delete, new_path, runs, small_batches
+from tessera.llm._store import delete, free_shuffles, new_path, runs, small_batches
 from tessera.llm._text import Words, mix64, pieces
 
 END = np.uint64(0xE9D)
 STEP = np.uint64(0xD1342543DE82EF95)
 SALT = np.uint64(0x5851F42D4C957F2D)
-SHARD_TOKENS, HELD = 4_000_000, 2_000_000
+SHARD_TOKENS, HELD = 4_000_000, 3_000_000
 MANY = 255  # counts from here on stand in a list of their own
 
 
@@ -346,8 +346,8 @@ def hash_array(name: str, keys: np.ndarray, shift: int) -> dict[str, np.ndarray]
 
 
 def bucket_shift(n: int) -> int:
-    """64 less the bits of a bucket's number, so that a bucket holds about four to eight of n keys."""
-    return 64 - min(24, max(1, (n // 4).bit_length() - 1))
+    """64 less the bits of a bucket's number, so that a bucket holds about eight to sixteen of n keys."""
+    return 64 - min(24, max(1, (n // 8).bit_length() - 1))
 
 
 def find(table: dict[str, np.ndarray], name: str, keys: np.ndarray) -> np.ndarray:
@@ -600,6 +600,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 3, wide: bool = Fa
     model = Model(new_path(spark, "lm"), order, bits, wide=wide)
     dealt = lambda rows, parts: rows.repartition(parts, "slot").sortWithinPartitions("shard")
     sizes = {r["shard"]: r for r in dealt(texts.mapInArrow(_count_vocabulary(bits), SHAPE), 1 << bits).mapInArrow(_write_vocabulary(model.folder), "shard int, size long, tokens long").collect()}
+    free_shuffles(spark)
     model.starts = [0]
     for s in range(1 << bits):
         model.starts.append(model.starts[-1] + (sizes[s]["size"] if s in sizes else 0))
@@ -612,6 +613,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 3, wide: bool = Fa
     for r in dealt(rows, 1 << bits).mapInArrow(_write_lowest(model), "told string, total long").collect():
         _add_told(sums, json.loads(r["told"]))
         model.total += r["total"]
+    free_shuffles(spark)
     for level in range(1, order + 1):
         n = sums.get(str(level), {"n": [0] * 5, "done": []})
         model.discounts[level] = discounts(*n["n"][:4])
