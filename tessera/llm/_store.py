@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +95,14 @@ def few_files(df: DataFrame) -> DataFrame:
     return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
+def unused(names: Iterable[str], stem: str) -> str:
+    """``stem``, lengthened until none of ``names`` equals it, upper or lower case."""
+    taken = {n.lower() for n in names}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 class Kept:
     """Tables written to the shared folder: they cut lineage and survive lost executors. ``drop`` deletes one early.
 

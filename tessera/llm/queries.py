@@ -12,9 +12,11 @@ from tessera.llm._store import Kept
 from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.chat_format import format_chat, read_turns, unescape
 from tessera.llm.html_text import main_text
+from tessera.llm.language_id import fit_language, identify_language
 from tessera.llm.lattice_dedup import lattice_links
 from tessera.llm.packing import pack
 from tessera.llm.polytope_search import search
+from tessera.llm.prefix_trie import numbered_turns, prefix_trie, respliced
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.shingle_join import shingle_links
 from tessera.llm.substring_dedup import dedup_substrings
@@ -27,9 +29,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def crc_of(id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
 def fifth(id_col: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
+    return crc_of(id_col) % 5
 
 
 def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +104,20 @@ def op10_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = crc_of() % 3 == 1
+    model = fit_language(docs.where(~held_out))
+    return identify_language(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = Kept(spark)
+    turns = kept.put(numbered_turns(_read(spark, sf_dir, "conversations"), kept=kept), "turns-numbered")
+    rebuilt, convs = respliced(turns)
+    return prefix_trie(kept.put(rebuilt, "turns-rebuilt"), convs, kept)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_dedup": op1_lattice_dedup,
     "op2_packing": op2_packing,
@@ -109,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_lm": op8_ngram_lm,
     "op9_chat_format": op9_chat_format,
     "op10_polytope_search": op10_polytope_search,
+    "op12_language_id": op12_language_id,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 def _components(links: str, nodes: str) -> str:
@@ -118,6 +140,10 @@ def _components(links: str, nodes: str) -> str:
 
 _ESCAPED = r"regexp_replace(regexp_replace(replace({0}, '\', '\\'), '([<\[])([|/sI<])', '\1\\\2', 'g'), '([<\[])([|/sI<])', '\1\\\2', 'g')"
 
+#: crc32 of an id's digits, a byte and then a bit at a time.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({0}::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda p, i: xor(p >> 1, 3988292384 * (p & 1)))))"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_lattice_dedup": """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -146,4 +172,21 @@ e AS (SELECT *, length({_ESCAPED.format("text")}) AS t, length({_ESCAPED.format(
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 length(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), ''))::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
 sum(t + CASE WHEN opens THEN r + length('<|im_start|><|im_body|><|im_end|>') + 1 ELSE length('<|im_sep|>') END)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
+    "op13_prefix_trie": f"""WITH t AS (
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, count(*) AS n, {_CRC32.format("conv_id")} % 6 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h UNION ALL
+SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.n, 0)), role, text FROM c JOIN t USING (conv_id) LEFT JOIN c b ON b.conv_id = c.base WHERE t.pos > c.h),
+k AS (SELECT conv_id, list(sha256(length(role) || ' ' || role || text) ORDER BY pos) AS k, list(length(text) ORDER BY pos) AS s FROM r GROUP BY conv_id),
+q AS (SELECT c.conv_id, coalesce(k, []) AS k, coalesce(s, []) AS s FROM c LEFT JOIN k USING (conv_id)),
+p AS (SELECT conv_id, d, array_to_string(k[1:d], ' ') AS path, array_to_string(k[1:d - 1], ' ') AS up, d = len(k) AS ends, CASE WHEN d > 0 THEN s[d] ELSE 0 END AS size
+FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM q)),
+n AS (SELECT d, path, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size,
+sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends FROM p GROUP BY d, path),
+m AS (SELECT n.*, coalesce(x.children, 0) AS children FROM n LEFT JOIN (SELECT d - 1 AS d, up AS path, count(*) AS children FROM n WHERE d > 0 GROUP BY 1, 2) x USING (d, path)),
+a AS (SELECT conv_id, d, n_convs, size, children, unnest(range(0, d + 1)) AS j FROM m),
+z AS (SELECT a.j AS d, p.path, count(*) FILTER (WHERE a.children = 0) AS leaves, sum((a.n_convs - 1) * a.size) AS saved FROM a JOIN p ON p.conv_id = a.conv_id AND p.d = a.j GROUP BY 1, 2)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.children AS n_children, z.leaves AS n_leaves, z.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN z USING (d, path) LEFT JOIN n u ON m.d > 0 AND u.d = m.d - 1 AND u.path = m.up""",
 }
