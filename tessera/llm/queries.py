@@ -20,6 +20,7 @@ from tessera.llm.prefix_trie import numbered_turns, prefix_trie, respliced
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.shingle_join import shingle_links
 from tessera.llm.substring_dedup import dedup_substrings
+from tessera.llm.token_alignment import align_tokens
 
 
 LM_ORDER = 3
@@ -104,6 +105,12 @@ def op10_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return align_tokens(_read(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"), public.PATTERN, digest=True)
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = crc_of() % 3 == 1
@@ -129,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_lm": op8_ngram_lm,
     "op9_chat_format": op9_chat_format,
     "op10_polytope_search": op10_polytope_search,
+    "op11_token_alignment": op11_token_alignment,
     "op12_language_id": op12_language_id,
     "op13_prefix_trie": op13_prefix_trie,
 }
