@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tessera.operators.ranking import global_rank
 
 
-def numbered(df: DataFrame, order: str, first: int = 0, width: int = 100_000) -> DataFrame:
+def numbered(df: DataFrame, order: str, first: int = 0) -> DataFrame:
     """Ids as text, counted on from ``first`` in the order of an integer key."""
-    return global_rank(df, F.floor(F.col(order) / F.lit(width)), [F.col(order)], "_r").withColumn("id", (F.col("_r") - 1 + first).cast("string")).drop("_r")
+    return global_rank(df, [F.col(order)], "_r").withColumn("id", (F.col("_r") - 1 + first).cast("string")).drop("_r")
 
 
 def append(collection: DataFrame, new: DataFrame, order: str) -> DataFrame:

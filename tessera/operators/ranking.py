@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoints
 
-def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds the rank from 1 over all rows in the order (bucket, order).
+#: Rows in one range of a global order.
+WIDTH = 250_000
 
-    Ranks are counted within buckets, in parallel, and shifted by the counts of the buckets before; only the list of
-    buckets, with one row each, is ordered in one task. ``order`` must be total for a defined result.
+
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank", width: int = WIDTH) -> DataFrame:
+    """Adds the rank from 1 over all rows in an order, which must be total for a defined result.
+
+    Rows are dealt by sampled splitters into ranges of about ``width`` rows, as many as there are rows for, and sorted within them; a rank is the
+    place in the range, shifted by the counts of the ranges before. Only the list of ranges, a row each, is summed up in one task. Rows of one key share no range
+    longer than that as long as the order goes on past the key.
     """
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = counts.select(F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_in", F.row_number().over(W.partitionBy("_bucket").orderBy(*order)))
-    return ranked.join(before, F.col("_bucket").eqNullSafe(F.col("_of"))).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_bucket", "_of", "_before", "_in")
+    ensure_checkpoints(df.sparkSession)
+    parts = max(1, -(-df.count() // width))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    ranges = rows.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = ranges.select("_range", (before + 1 - F.col("_first")).alias("_shift"))
+    ranked = rows.withColumn("_range", F.shiftright("_at", 33)).join(shifts, "_range")
+    return ranked.withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
 
 
 def hash_key(key: Column, seed: str | int = "") -> Column:
@@ -26,18 +35,13 @@ def hash_key(key: Column, seed: str | int = "") -> Column:
 
 
 def shuffled(df: DataFrame, key: str, seed: str | int = "", name: str = "rank") -> DataFrame:
-    """A permutation by hash: 4096 even buckets of leading digits, so it scales without a range shuffle."""
-    h = hash_key(F.col(key), seed)
-    return global_rank(df, F.substring(h, 1, 3), [h, F.col(key)], name)
-
-
-def ordinal(df: DataFrame, key: str, width: int = 100_000, name: str = "ordinal") -> DataFrame:
-    """Position from 0 in the order of an integer key, by ranges of about ``width`` rows however the keys lie (1024 ranges at most)."""
-    parts = min(1024, df.count() // width + 1)
-    cuts = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
-    low = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<double>")
-    bucket = F.size(F.filter(low, lambda c: c <= F.col(key).cast("double")))
-    return global_rank(df, F.when(F.col(key).isNotNull(), bucket), [F.col(key)], name).withColumn(name, F.col(name) - 1)
+    """A permutation in the order of the hash."""
+    return global_rank(df, [hash_key(F.col(key), seed), F.col(key)], name)
+
+
+def ordinal(df: DataFrame, key: str, width: int = WIDTH, name: str = "ordinal") -> DataFrame:
+    """Position from 0 in the order of a key."""
+    return global_rank(df, [F.col(key)], name, width).withColumn(name, F.col(name) - 1)
 
 
 def sample_k(df: DataFrame, key: str, k: int, seed: str | int = "") -> DataFrame:

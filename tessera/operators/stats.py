@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import WIDTH
+from tessera.session import ensure_checkpoints
+
 
 def first_by_key(df: DataFrame, keys: list[Column], order: Column) -> DataFrame:
     """One row for each key, the first in order (O56): a minimum aggregated on the map side, not a window over whole groups."""
@@ -43,48 +45,105 @@ def histogram(df: DataFrame, value: str, by: list[str] | None = None, low: float
         return rows.select(*(by or []), F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("n")).limit(0)
     a, b = (s["a"] if low is None else low), (s["b"] if high is None else high)
     if not bins:
-        q1, q3 = quantiles(rows, value, [0.25, 0.75])
+        q1, q3 = quantiles(rows, {value: [0.25, 0.75]})[value]
         bins = auto_bins(s["n"], a, b, q3 - q1)
     k = bins
     bin_ = F.least(F.floor((v - F.lit(float(a))) * k / F.lit(float(b - a or 1))), F.lit(k - 1)).cast("long")
     return rows.groupBy(*(by or []), bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _counted(df: DataFrame, value: str, parts: int) -> DataFrame:
+def _counted(df: DataFrame, value: str, width: int = WIDTH) -> DataFrame:
     """(value, _n, _before) for each different value: how often it occurs and how many rows come before it. Counts are summed in order within
-    ``parts`` ranges of about equal size, which are shifted by the ranges before; no task orders more than one range."""
-    cuts = sorted(set(df.withColumn("_v", F.col(value).cast("double")).approxQuantile("_v", [k / parts for k in range(1, parts)], 0.001)))
-    low = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
+    ranges of about ``width`` different values, which are shifted by the ranges before; no task orders more than one range."""
+    ensure_checkpoints(df.sparkSession)
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_b", F.size(F.filter(low, lambda c: c <= F.col(value).cast("double"))))
-    ranges = counts.groupBy("_b").agg(F.sum("_n").alias("_all"))
+    parts = max(1, -(-df.agg(F.approx_count_distinct(value)).first()[0] // width))
+    counts = counts.repartitionByRange(parts, value).withColumn("_range", F.spark_partition_id()).checkpoint()
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shift = ranges.select("_b", before("_all", W.orderBy("_b")).alias("_shift"))
-    own = counts.withColumn("_in", before("_n", W.partitionBy("_b").orderBy(value)))
-    return own.join(shift, "_b").select(value, "_n", (F.col("_shift") + F.col("_in")).alias("_before"))
-
-
-def quantiles(df: DataFrame, value: str, shares: list[float], parts: int = 64) -> list[float | None]:
-    """Exact quantiles by linear interpolation, nulls left out: of the counted values only those at the places asked for reach the driver."""
-    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
-    n = rows.count()
-    if not n:
-        return [None] * len(shares)
-    at = [p * (n - 1) for p in shares]
-    places = sorted({f(x) for x in at for f in (math.floor, math.ceil)})
-    holds = lambda x: (F.col("_before") <= x) & (F.lit(x) < F.col("_before") + F.col("_n"))
-    found = _counted(rows, "v", parts).where(functools.reduce(lambda a, b: a | b, map(holds, places))).collect()
-    by_place = {x: next(r["v"] for r in found if r["_before"] <= x < r["_before"] + r["_n"]) for x in places}
-    out = []
-    for x in at:
-        a, b = by_place[math.floor(x)], by_place[math.ceil(x)]
-        out.append(a if a == b else (math.ceil(x) - x) * a + (x - math.floor(x)) * b)
+    shift = counts.groupBy("_range").agg(F.sum("_n").alias("_all")).select("_range", before("_all", W.orderBy("_range")).alias("_shift"))
+    own = counts.withColumn("_in", before("_n", W.partitionBy("_range").orderBy(value)))
+    return own.join(shift, "_range").select(value, "_n", (F.col("_shift") + F.col("_in")).alias("_before"))
+
+
+def quantiles(df: DataFrame, columns: dict[str, list[float]], few: int = 100_000, near: float = 2e-4) -> dict[str, list[float | None]]:
+    """Exact quantiles of many columns by linear interpolation, nulls and NaN left out: at most three scans, however many columns and shares.
+
+    A sketch of each column gives a bracket for each share: its ranks are off by at most half of ``near``, so the bracket holds the rows asked for. Where a
+    bracket has more than ``few`` rows, a second scan counts the rows before it and sketches within it. The last scan counts what lies before each bracket and
+    its values; only those counts reach the driver.
+    """
+    rows = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)))
+    accuracy = math.ceil(2 / near)
+    asked = [(i, p) for i, shares in enumerate(columns.values()) for p in shares]
+
+    def around(shares: list[float]) -> list[float]:
+        return [min(1.0, max(0.0, p + s * near)) for p in shares for s in (-1, 1)]
+
+    first = [f(f"c{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]
+    first += [F.percentile_approx(f"c{i}", around(shares), accuracy).alias(f"q{i}") for i, shares in enumerate(columns.values()) if shares]
+    told = rows.agg(*first).first()
+    sizes = [told[f"n{i}"] for i in range(len(columns))]
+    brackets: list[tuple[int, int, float, float]] = []  # column, place from 0, low, high
+    for i, shares in enumerate(columns.values()):
+        for k, p in enumerate(shares if sizes[i] else []):
+            small = sizes[i] * near < 4  # a rank more or less would leave the bracket
+            low, high = (told[f"a{i}"], told[f"b{i}"]) if small else told[f"q{i}"][2 * k : 2 * k + 2]
+            at = p * (sizes[i] - 1)
+            brackets += [(i, x, low, high) for x in sorted({math.floor(at), math.ceil(at)})]
+    wide = sorted({(i, a, b) for i, _, a, b in brackets if a < b and 2.5 * near * sizes[i] > few})
+    if wide:
+        grid = [k / 1000 for k in range(1001)]
+        inside = lambda i, a, b: (F.col(f"c{i}") >= a) & (F.col(f"c{i}") <= b)
+        second = [F.count_if(F.col(f"c{i}") < a).alias(f"b{k}") for k, (i, a, _) in enumerate(wide)]
+        second += [F.percentile_approx(F.when(inside(i, a, b), F.col(f"c{i}")), grid, 10_000).alias(f"g{k}") for k, (i, a, b) in enumerate(wide)]
+        second += [F.count_if(inside(i, a, b)).alias(f"m{k}") for k, (i, a, b) in enumerate(wide)]
+        more = rows.agg(*second).first()
+        for k, (i, a, b) in enumerate(wide):
+            for j, (c, x, low, high) in enumerate(brackets):
+                if (c, low, high) == (i, a, b):
+                    place = int((x - more[f"b{k}"]) / max(1, more[f"m{k}"]) * 1000)
+                    off = 2 + 3000 // max(1, more[f"m{k}"])
+                    brackets[j] = (c, x, more[f"g{k}"][min(1000, max(0, place - off))], more[f"g{k}"][min(1000, max(0, place + off))])
+    spans = sorted({(i, a, b) for i, _, a, b in brackets})
+    if not spans:
+        return {c: [None] * len(shares) for c, shares in columns.items()}
+    each = []
+    for k, (i, a, b) in enumerate(spans):
+        v = F.col(f"c{i}")
+        each.append(F.when(v <= b, F.struct(F.lit(k).alias("k"), F.when(v >= a, v).alias("v"))))
+    counted = rows.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).groupBy("x.k", "x.v").agg(F.count("*").alias("n")).collect()
+    by_span: dict[int, list] = {}
+    for r in counted:
+        by_span.setdefault(r["k"], []).append((r["v"] is not None, r["v"] or 0.0, r["n"]))
+    ordered = {k: sorted(v) for k, v in by_span.items()}
+
+    def value(i: int, x: int) -> float:
+        _, _, a, b = next(t for t in brackets if t[0] == i and t[1] == x)
+        before = 0
+        for real, v, n in ordered[spans.index((i, a, b))]:
+            before += n
+            if before > x:
+                if not real:
+                    break
+                return v
+        raise ArithmeticError("a sketch was further off than it promises")
+
+    out: dict[str, list[float | None]] = {}
+    for i, (c, shares) in enumerate(columns.items()):
+        out[c] = []
+        for p in shares:
+            if not sizes[i]:
+                out[c].append(None)
+                continue
+            at = p * (sizes[i] - 1)
+            a, b = value(i, math.floor(at)), value(i, math.ceil(at))
+            out[c].append(a if a == b else (math.ceil(at) - at) * a + (at - math.floor(at)) * b)
     return out
 
 
-def average_rank(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
+def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Ranks from 1 with ties sharing their mean."""
-    ranks = _counted(df, value, parts).select(F.col(value).alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
+    ranks = _counted(df, value).select(F.col(value).alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
@@ -114,7 +173,7 @@ def tag_diversity(df: DataFrame, tags: str) -> DataFrame:
 
 def p95(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """The 95th percentile of each column by linear interpolation, nulls left out."""
-    return {c: quantiles(df, c, [0.95])[0] for c in columns}
+    return {c: told[0] for c, told in quantiles(df, {c: [0.95] for c in columns}).items()}
 
 
 def overall_preference(norms: dict[str, float], reward: str = "reward", quality: str = "quality", complexity: str = "complexity", edu: Column | None = None) -> Column:

@@ -105,7 +105,7 @@ def build_mixture(mix: Mixture, load: Callable[[dict], DataFrame], embed: Callab
         size, least = p.get("sample_size"), p.get("min_distance", 0)
         quotas = {k: q * size for k, q in p["setfit_limits"].items()} if p.get("setfit_limits") and size else {}
         if number and (least > 0 or quotas):
-            ranked = ranking.global_rank(rows, F.floor(-F.coalesce("overall_preference", F.lit(-1e9)) * 1000), [F.desc_nulls_last("overall_preference"), F.asc("data_id")])
+            ranked = ranking.global_rank(rows, [F.desc_nulls_last("overall_preference"), F.asc("data_id")])
             vectors = lambda df: embed(df.withColumn("id", F.col("data_id")).withColumn("text", chat.user_text(F.col("messages")))).withColumnRenamed("embedding", "vector")
             items = vectors(ranked)
             near = neighbours.nearest(items, vectors(kept), 1).where(F.col("distance") <= least).select(F.col("query_id").alias("id"))

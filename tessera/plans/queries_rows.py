@@ -169,7 +169,7 @@ def top_by_preference(spark, d):
 @query(PREFERENCE + " SELECT doc_id, row_number() OVER (ORDER BY round(preference, 3) DESC, doc_id) AS place FROM p")
 def preference_order(spark, d):
     rows = _preferred(spark, d).withColumn("preference", F.round("preference", 3))
-    return ranking.global_rank(rows, -F.col("preference"), [F.asc("doc_id")], "place").select("doc_id", "place")
+    return ranking.global_rank(rows, [F.desc_nulls_last("preference"), F.asc("doc_id")], "place").select("doc_id", "place")
 
 
 @query(PREFERENCE + " SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY preference DESC, doc_id) AS r FROM p) WHERE r <= CASE lang WHEN 'en' THEN 31 WHEN 'de' THEN 20 WHEN 'fr' THEN 10 ELSE 1000000000 END")

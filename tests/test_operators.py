@@ -201,10 +201,41 @@ def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(1)
     for values in ([3.0], [1.0, 1.0, 2.0], rng.integers(0, 40, 500).astype(float).tolist(), rng.standard_normal(700).tolist()):
         df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
-        assert stats.quantiles(df, "x", [0, 0.25, 0.5, 0.95, 1]) == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.95, 1]).tolist(), rel=1e-12)
+        shares = [0, 0.25, 0.5, 0.95, 1]
+        for few, near in ((100_000, 2e-4), (10, 0.05)):
+            got = stats.quantiles(df.withColumn("y", -F.col("x")), {"x": shares, "y": shares[1:]}, few, near)
+            assert got["x"] == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+            assert got["y"] == pytest.approx(np.quantile(-np.array(values), shares[1:]).tolist(), rel=1e-12)
     assert stats.p95(spark.createDataFrame([], "x double"), ["x"]) == {"x": None}
 
 
+def test_quantiles_take_three_scans(spark):
+    """However many columns, shares and brackets."""
+    scans = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        scans.add(1)
+        yield from batches
+
+    df = spark.range(0, 5000, 1, 1).select(*(((F.col("id") * (k + 3)) % 997).cast("double").alias(f"c{k}") for k in range(6)))
+    got = stats.quantiles(df.mapInArrow(count, df.schema), {f"c{k}": [0.1, 0.5, 0.95] for k in range(6)}, few=10, near=0.01)
+    assert scans.value <= 3
+    for k in range(6):
+        assert got[f"c{k}"] == pytest.approx(np.quantile((np.arange(5000) * (k + 3)) % 997, [0.1, 0.5, 0.95]).tolist())
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_global_rank_with_a_hot_key(spark, parts):
+    """A third of the rows have one key; they are dealt over ranges by the rest of the order."""
+    rows = [(5 if i % 3 == 0 else i % 11, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, id long").repartition(parts)
+    ranked = ranking.global_rank(df, [F.desc("k"), F.asc("id")], "r", width=50)
+    assert [(r.k, r.id) for r in sorted(ranked.collect(), key=lambda r: r.r)] == sorted(rows, key=lambda x: (-x[0], x[1]))
+    assert sorted(r.r for r in ranked.collect()) == list(range(1, 901))
+    spread = df.repartitionByRange(18, F.desc("k"), F.asc("id")).groupBy(F.spark_partition_id()).count()
+    assert spread.agg(F.max("count")).first()[0] < 120
+
+
 def test_ordinals_of_sparse_keys(spark):
     keys = [7, 10**15, 3, -5, 10**9, 10**9 + 1, 42]
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
