@@ -83,7 +83,7 @@ def build_mixture(mix: Mixture, load: Callable[[dict], DataFrame], embed: Callab
     """Scored parts to one split mixture (P7). ``load`` gives a part's rows: data_id (long), messages, origin, language and metrics.
 
     The first part gives its best rows within its quotas; each later one what is far enough from all accepted before, or brings a new tag (ins_tags), in
-    order of preference. With quotas or tags that pass is sequential by nature; without them it runs in parallel rounds.
+    order of preference. With quotas or tags that pass goes by windows of ranks; without them it runs in parallel rounds.
     """
     frames = [(p, load(p)) for p in mix.parts]
     scored = [f for p, f in frames if p.get("sample_scored", True)]
@@ -108,13 +108,13 @@ def build_mixture(mix: Mixture, load: Callable[[dict], DataFrame], embed: Callab
             ranked = ranking.global_rank(rows, [F.desc_nulls_last("overall_preference"), F.asc("data_id")])
             vectors = lambda df: embed(df.withColumn("id", F.col("data_id")).withColumn("text", chat.user_text(F.col("messages")))).withColumnRenamed("embedding", "vector")
             items = vectors(ranked)
-            near = neighbours.nearest(items, vectors(kept), 1).where(F.col("distance") <= least).select(F.col("query_id").alias("id"))
+            near = neighbours.near_ids(items, vectors(kept), least) if least > 0 else rows.select(F.col("data_id").alias("id")).limit(0)
             tagged = "ins_tags" in rows.columns
             if quotas or tagged:
                 items = items.join(near.withColumn("near", F.lit(True)), "id", "left").withColumn("label", F.col("setfit_label"))
                 items = items.withColumn("tags", T.tag_names(F.col("ins_tags"))) if tagged else items
-                seen = {r[0] for r in kept.select(F.explode(T.tag_names(F.col("ins_tags")))).distinct().collect()} if "ins_tags" in kept.columns else set()  # a tag vocabulary
-                rows = neighbours.greedy_pass(items, least, size, quotas, tagged, seen).select(*rows.columns)
+                seen = kept.select(F.explode(T.tag_names(F.col("ins_tags"))).alias("tag")).distinct() if tagged and "ins_tags" in kept.columns else None
+                rows = neighbours.greedy_windows(items, least, size, quotas, tagged, seen).select(*rows.columns)
             else:
                 rows = neighbours.greedy_select(items.join(near, "id", "left_anti"), least).select(*rows.columns)
         elif quotas:

@@ -291,31 +291,6 @@ def reward_mix(spark, d):
     return _vectors(spark, d).select(F.col("id").alias("vec_id"), F.round(told[0], 6).alias("first"), F.round(told[1], 6).alias("second"))
 
 
-KNN = UNIT + ", n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, 1 - list_cosine_similarity(a.e, b.e) AS dist FROM v a, v b WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM n)"
-
-
-def _knn(spark, d, k):
-    rows = _vectors(spark, d)
-    return neighbours.nearest(rows.where("id % 10 = 0"), rows.where("id % 10 <> 0"), k)
-
-
-@query(KNN + " SELECT query_id, round(dist, 6) AS distance FROM r WHERE rank = 1")
-def nn1_distance(spark, d):
-    return _knn(spark, d, 1).select("query_id", F.round("distance", 6).alias("distance"))
-
-
-@query(KNN + " SELECT query_id, rank::INT AS rank, round(1 - dist, 6) AS similarity FROM r WHERE rank <= 3")
-def nn_topk(spark, d):
-    return _knn(spark, d, 3).select("query_id", F.col("rank").cast("int").alias("rank"), F.round(1 - F.col("distance"), 6).alias("similarity"))
-
-
-@query(KNN + " SELECT query_id FROM r WHERE rank = 1 AND dist > 0.5")
-def distance_gate(spark, d):
-    return _knn(spark, d, 1).where(F.col("distance") > 0.5).select("query_id")
-
-
-# The three above deal a tenth of the rows as queries against the others, as their SQL says; these take every row against all others.
-
 KNN_ALL = UNIT + ", n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, 1 - list_cosine_similarity(a.e, b.e) AS dist FROM v a, v b WHERE a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM n)"
 
 
@@ -353,3 +328,20 @@ SELECT r.vec_id AS id FROM r, g WHERE list_contains(g.acc, r.k)""")
 def greedy_select(spark, d):
     rows = _vectors(spark, d).withColumn("rank", F.col("id"))
     return neighbours.greedy_select(rows, 0.6).select("id")
+
+
+@query(UNIT + """, r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, e, coalesce(label, -1)::VARCHAR AS label, [vec_id % 97, 1000 + vec_id % 5] AS tags FROM v),
+n AS (SELECT a.k, any_value(a.label) AS label, any_value(a.tags) AS tags, coalesce(list(b.k) FILTER (WHERE b.k < a.k AND 1 - list_cosine_similarity(a.e, b.e) <= 0.7), []::BIGINT[]) AS near
+FROM r a, r b GROUP BY a.k),
+g AS (WITH RECURSIVE t(k, acc, seen, q1, q2, q3) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[], 3, 10, 0 UNION ALL SELECT k,
+CASE WHEN ok THEN list_append(acc, k) ELSE acc END, CASE WHEN ok THEN list_distinct(list_concat(seen, tags)) ELSE seen END,
+CASE WHEN ok AND label = '1' THEN q1 - 1 ELSE q1 END, CASE WHEN ok AND label = '2' THEN q2 - 1 ELSE q2 END, CASE WHEN ok AND label = '3' THEN q3 - 1 ELSE q3 END
+FROM (SELECT t.acc, t.seen, t.q1, t.q2, t.q3, n.*, len(t.acc) < 150 AND NOT (label = '1' AND q1 <= 0) AND NOT (label = '2' AND q2 <= 0) AND NOT (label = '3' AND q3 <= 0)
+AND (len(list_intersect(t.acc, n.near)) = 0 OR len(list_intersect(seen, tags)) < 2) AS ok FROM t JOIN n ON n.k = t.k + 1)) SELECT acc FROM t ORDER BY k DESC LIMIT 1)
+SELECT r.vec_id AS id FROM r, g WHERE list_contains(g.acc, r.k)""")
+def greedy_quota_tags(spark, d):
+    """Selection by distance or new tags within quotas, at most 150 rows."""
+    label = F.coalesce("label", F.lit(-1)).cast("string")
+    tags = F.array((F.col("id") % 97).cast("string"), (1000 + F.col("id") % 5).cast("string"))
+    rows = _vectors(spark, d).withColumns({"rank": F.col("id"), "label": label, "tags": tags})
+    return neighbours.greedy_windows(rows, 0.7, 150, {"1": 3, "2": 10, "3": 0}, True).select("id")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.models import hashed_embedding
 from tessera.operators.gates import quality_gate
-from tessera.operators.neighbours import greedy_select, nearest
+from tessera.operators.neighbours import greedy_select, near_ids
 from tessera.operators.stats import first_by_key
 
 SCHEMA = "request_idx long, instruction string, input string, output string"
@@ -40,8 +40,7 @@ def accept(batch: DataFrame, number: int, folder: str, least: float = 0.3, langu
     try:
         far = rows
         if least > 0 and not old.isEmpty():
-            near = nearest(rows.select("id", "vector"), old.select("id", "vector"), 1).where(F.col("distance") <= least)
-            far = rows.join(near.select(F.col("query_id").alias("id")), "id", "left_anti")
+            far = rows.join(near_ids(rows.select("id", "vector"), old.select("id", "vector"), least), "id", "left_anti")
         if least > 0:
             far = greedy_select(far.withColumn("rank", F.struct("request_idx", "id")), least)
         far.select(*[c.split()[0] for c in ACCEPTED.split(", ")]).write.mode("overwrite").parquet(f"{folder}/batch={number}")
