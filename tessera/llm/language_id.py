@@ -158,9 +158,11 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     small_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     known = known.withColumn("h", F.xxhash64("text"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    some = known.join(sizes, "lang").where((F.col("n") <= 8 * rows) | (F.pmod("h", F.col("n")) < 8 * rows))  # about eight times what is taken
+    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    chosen = known.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= rows).select("lang", "h")
-    texts = known.join(chosen, ["lang", "h"])
+    texts = some.withColumn("place", place).where(F.col("place") <= rows).select("lang", "h", "text")
 
     def cut(batches):
         for batch in batches:
@@ -169,9 +171,8 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
             told = [plain[a : min(a + each, b)].tobytes() for a, b in zip(low, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(told, pa.binary())], names=["lang", "h", "told"])
 
-    cuts = texts.mapInArrow(cut, "lang string, h long, told binary").groupBy("lang", "h").agg(F.min("told").alias("told")).collect()
     samples: dict[str, list[bytes]] = {}
-    for r in sorted(cuts, key=lambda r: (r["lang"], r["h"], r["told"])):
+    for r in sorted(texts.mapInArrow(cut, "lang string, h long, told binary").collect(), key=lambda r: (r["lang"], r["h"])):
         samples.setdefault(r["lang"], []).append(bytes(r["told"]))
     wide = len(set(b"".join(b"".join(s) for s in samples.values()))) + 1
     most = cells // (2 * wide * max(1, len(samples)))
