@@ -124,6 +124,10 @@ def _reaching(queries: DataFrame, cells: Cells, home: bool) -> DataFrame:
     return queries.select("query_id", "vector", "cell", "reach").mapInArrow(run, f"query_id long, vector {kind}, cell int")
 
 
+def _cells_of(queries: DataFrame) -> list[int]:
+    return sorted(r[0] for r in queries.select("cell").distinct().collect())  # a number for each pivot at most
+
+
 def _meet(queries: DataFrame, cells: DataFrame, rows: np.ndarray, block: int, compare: Callable, shape: str) -> DataFrame:
     """``compare`` of each block of queries (query_id, vector, cell) with each block of their cell (id, vector, cell). Cells and the queries of a cell are cut by hash into
     blocks of about ``block`` rows, so one cell of any size is many tasks."""
@@ -185,18 +189,19 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int = BLOC
     q, c, cells = _dealt(queries, collection, pivots, tables)
     if not len(cells.pivots):
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance double")
-    return _nearest(q, c, cells, k, block, skip_same_id, tables)
+    return search_cells(q, lambda _: c, cells, k, block, skip_same_id, tables)
 
 
-def _nearest(q: DataFrame, c: DataFrame, cells: Cells, k: int, block: int, skip_same_id: bool, tables: Tables) -> DataFrame:
+def search_cells(q: DataFrame, read: Callable[[list[int]], DataFrame], cells: Cells, k: int, block: int, skip_same_id: bool, tables: Tables) -> DataFrame:
+    """``nearest`` of assigned queries; ``read`` gives the rows of the cells that are in reach, and may give more."""
     shape = "query_id long, id long, distance double"
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     compare = _best(k, skip_same_id)
     if len(cells.pivots) == 1:
-        found = _meet(q.select("query_id", "vector", "cell"), c, cells.rows, block, compare, shape)
+        found = _meet(q.select("query_id", "vector", "cell"), read([0]), cells.rows, block, compare, shape)
     else:
         q = tables.put(q)
-        found = tables.put(_meet(q.select("query_id", "vector", "cell"), c, cells.rows, block, compare, shape))
+        found = tables.put(_meet(q.select("query_id", "vector", "cell"), read(_cells_of(q)), cells.rows, block, compare, shape))
         kth = found.withColumn("r", rank).where(F.col("r") == k).select("query_id", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("distance")))).alias("kth"))
         wanted = k + int(skip_same_id)
 
@@ -210,7 +215,7 @@ def _nearest(q: DataFrame, c: DataFrame, cells: Cells, k: int, block: int, skip_
         kind = q.schema["vector"].dataType.simpleString()
         bounded = q.join(kth, "query_id", "left").select("query_id", "vector", "cell", "kth").mapInArrow(promised, f"query_id long, vector {kind}, cell int, reach double")
         others = tables.put(_reaching(bounded, cells, home=False))
-        found = found.unionByName(_meet(others, c, cells.rows, block, compare, shape))
+        found = found.unionByName(_meet(others, read(_cells_of(others)), cells.rows, block, compare, shape))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
@@ -231,9 +236,13 @@ def _within(queries: DataFrame, collection: DataFrame, least: float, block: int,
     q, c, cells = _dealt(queries, collection, pivots, tables)
     if not len(cells.pivots):
         return queries.sparkSession.createDataFrame([], shape)
+    return reach_cells(q, lambda _: c, cells, least, block, compare, shape, tables)
+
+
+def reach_cells(q: DataFrame, read: Callable[[list[int]], DataFrame], cells: Cells, least: float, block: int, compare: Callable, shape: str, tables: Tables) -> DataFrame:
     reach = math.acos(max(-1.0, min(1.0, 1.0 - least)))
-    asked = _reaching(q.withColumn("reach", F.lit(reach)), cells, home=True)
-    return _meet(tables.put(asked), c, cells.rows, block, compare, shape)
+    asked = tables.put(_reaching(q.withColumn("reach", F.lit(reach)), cells, home=True))
+    return _meet(asked, read(_cells_of(asked)), cells.rows, block, compare, shape)
 
 
 def near_pairs(items: DataFrame, least: float, block: int = BLOCK, pivots: np.ndarray | None = None) -> DataFrame:
@@ -253,9 +262,7 @@ def near_pairs(items: DataFrame, least: float, block: int = BLOCK, pivots: np.nd
     return _within(items, items, least, block, near, "a long, b long", pivots)
 
 
-def near_ids(queries: DataFrame, collection: DataFrame, least: float, block: int = BLOCK, pivots: np.ndarray | None = None) -> DataFrame:
-    """(id) of the queries that have a row of ``collection`` not further than ``least``: a block tells an id at most once."""
-
+def any_within(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def near(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
             return pa.table([pa.array([], pa.int64())], names=["id"])
@@ -263,7 +270,12 @@ def near_ids(queries: DataFrame, collection: DataFrame, least: float, block: int
         hit = np.concatenate([((1.0 - x[at : at + 512] @ y.T) <= least).any(axis=1) for at in range(0, len(x), 512)])
         return pa.table([pa.array(a.column("query_id").to_numpy()[hit])], names=["id"])
 
-    return _within(queries, collection, least, block, near, "id long", pivots).distinct()
+    return near
+
+
+def near_ids(queries: DataFrame, collection: DataFrame, least: float, block: int = BLOCK, pivots: np.ndarray | None = None) -> DataFrame:
+    """(id) of the queries that have a row of ``collection`` not further than ``least``: a block tells an id at most once."""
+    return _within(queries, collection, least, block, any_within(least), "id long", pivots).distinct()
 
 
 class Greedy:

@@ -11,16 +11,17 @@ from tessera.functions import chat, parsers, prompts
 from tessera.functions import text as T
 from tessera.models import Client, Sampling, generate
 from tessera.operators import gates, judge, neighbours, ranking, stats, translate
+from tessera.operators.collection import VectorCollection
 from tessera.sources import io
 from tessera.sources.config import Mixture
 
 
 def self_instruct_round(
-    seeds: DataFrame, machine: DataFrame, client: Callable[[], Client], requests: int, examples: int, collection: DataFrame, embed: Callable[[DataFrame], DataFrame],
+    seeds: DataFrame, machine: DataFrame, client: Callable[[], Client], requests: int, examples: int, collection: DataFrame | VectorCollection, embed: Callable[[DataFrame], DataFrame],
     template: str = "{examples}", least: float = 0.3, language: str = "EN", seed: int = 0, first_request: int = 0,
 ) -> DataFrame:
     """One turn of the generation loop (P1): prompts of sampled examples, generation, parsing, gates, exact dedup, and the distance to the
-    collection (id, vector). ``seeds`` and ``machine`` have (id, instruction, input, output); gives the accepted rows with request_idx,
+    collection, a table (id, vector) or one that grows on disk. ``seeds`` and ``machine`` have (id, instruction, input, output); gives the accepted rows with request_idx,
     cosine_distance and the new rows' vector."""
     spark = seeds.sparkSession
     pool = seeds.select("id", "instruction", "input", "output").unionByName(machine.select("id", "instruction", "input", "output"))
@@ -37,7 +38,8 @@ def self_instruct_round(
     rows = gates.quality_gate(rows, language=language)
     rows = stats.first_by_key(rows, [F.concat_ws(" ### ", "instruction", "input")], F.struct("request_idx", "piece"))
     rows = embed(rows.withColumn("id", F.xxhash64("instruction", "input"))).withColumnRenamed("embedding", "vector")
-    near = neighbours.nearest(rows, collection, 1).select(F.col("query_id").alias("id"), F.col("distance").alias("cosine_distance"))
+    one = collection.nearest(rows, 1) if isinstance(collection, VectorCollection) else neighbours.nearest(rows, collection, 1)
+    near = one.select(F.col("query_id").alias("id"), F.col("distance").alias("cosine_distance"))
     return rows.join(near, "id", "left").where(F.coalesce(F.col("cosine_distance") > least, F.lit(True)))
 
 

@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.functions import vector as V
 from tessera.operators import collection, gates, judge, neighbours, ranking, stats, translate
 from tessera.sources import io
+from tessera.tables import Tables
 
 
 def _docs(spark, d):
@@ -314,6 +315,17 @@ def distance_gate_all(spark, d):
     return _knn_all(spark, d, 1).where(F.col("distance") > 0.5).select("query_id")
 
 
+@query(KNN_ALL.replace("a.vec_id <> b.vec_id", "true") + " SELECT query_id, rank::INT AS rank, round(1 - dist, 6) AS similarity FROM r WHERE rank <= 3")
+def collection_search(spark, d):
+    """Searches a collection that grew by three appends."""
+    known = collection.VectorCollection(spark, f"{Tables(spark).folder}/vectors", most=500)
+    rows = _vectors(spark, d).withColumn("document", F.col("id").cast("string"))
+    for part in ("id < 100", "id >= 100 and id < 300", "id >= 300"):
+        known.append(rows.where(part), "id")
+    found = known.nearest(rows.select("id", "vector"), 3)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.round(1 - F.col("distance"), 6).alias("similarity"))
+
+
 @query(UNIT + """, n AS (SELECT a.vec_id AS q, b.vec_id AS i, a.label = b.label AS same, 1 - list_cosine_similarity(a.e, b.e) AS dist FROM v a, v b),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, i) AS k FROM n) SELECT q AS id, round(CASE WHEN bool_or(k = 1 AND same) THEN max(dist) FILTER (WHERE k = 2) ELSE max(dist) FILTER (WHERE k = 1) END, 6) AS distance FROM r WHERE k <= 2 GROUP BY q""")
 def self_nn2(spark, d):

@@ -2,7 +2,8 @@
 
 Our extension: the corpus's batch loop as Structured Streaming. Each micro-batch is gated, reduced to one row for each key, and
 kept where its key is new and its nearest accepted instruction is far enough; accepted rows are appended under the
-batch's number, so that a batch that is run again replaces its own output and nothing else.
+batch's number, so that a batch that is run again replaces its own output and nothing else. Vectors of accepted rows lie in a growing collection, of
+which a batch reads the cells in reach only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.models import hashed_embedding
 from tessera.operators.gates import quality_gate
-from tessera.operators.neighbours import greedy_select, near_ids
+from tessera.operators.collection import VectorCollection
+from tessera.operators.neighbours import greedy_select
 from tessera.operators.stats import first_by_key
 
 SCHEMA = "request_idx long, instruction string, input string, output string"
@@ -38,12 +40,15 @@ def accept(batch: DataFrame, number: int, folder: str, least: float = 0.3, langu
     rows = rows.withColumn("_k", key).join(old.select(key.alias("_k")), "_k", "left_anti").drop("_k")
     rows = hashed_embedding(rows.withColumn("id", F.xxhash64("instruction", "input")), "instruction", "vector").persist()
     try:
-        far = rows
-        if least > 0 and not old.isEmpty():
-            far = rows.join(near_ids(rows.select("id", "vector"), old.select("id", "vector"), least), "id", "left_anti")
+        far, known = rows, VectorCollection(spark, f"{folder}/_vectors")
         if least > 0:
+            far = rows.join(known.near_ids(rows.select("id", "vector"), least, before=number), "id", "left_anti")
             far = greedy_select(far.withColumn("rank", F.struct("request_idx", "id")), least)
-        far.select(*[c.split()[0] for c in ACCEPTED.split(", ")]).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        out = f"{folder}/batch={number}"
+        far.select(*[c.split()[0] for c in ACCEPTED.split(", ")]).write.mode("overwrite").parquet(out)
+        if least > 0:
+            new = spark.read.parquet(out).select("id", F.concat_ws("\n", "instruction", "input").alias("document"), "vector")
+            known.append(new, "id", number)
     finally:
         rows.unpersist()
 

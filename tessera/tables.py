@@ -32,6 +32,10 @@ class Tables:
         if path:
             remove(self.spark, path)
 
+    def clear(self) -> None:
+        """Deletes all of them."""
+        remove(self.spark, self.folder)
+
 
 def _path(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -48,6 +52,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(target)
 
 
+def make(spark: SparkSession, path: str) -> None:
+    target, store = _path(spark, path)
+    store.mkdirs(target)
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     target, store = _path(spark, old)
     if not store.rename(target, _path(spark, new)[0]):
