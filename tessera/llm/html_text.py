@@ -6,8 +6,9 @@ occurs, and subtrees that recur across many of them are deleted: outside an arti
 and ``inner_share`` on, so that copies of an article are not taken for a template. Pages of a host with the same main text
 count as one page, and a subtree that holds all of a page's main text is no template on that page. A subtree is deleted
 only on the side, outside or within, where it recurs, and what stands in elements that go anyway is not counted. What a page marks itself as a menu, header, footer, sidebar,
-notice, advert, form, script, style or reader comments goes too. If there are article elements, the main text is
-theirs, else that of main elements, else that of the body.
+notice, advert, form, script, style or reader comments goes too. If text stands in article elements, that is the main text,
+else that in main elements, else that of the body. An article that is a card or a comment is none: within a main element or another article it goes, elsewhere it is text of the
+body. A form that holds an article or main element goes round the page and is not the page's form.
 """
 
 from __future__ import annotations
@@ -43,12 +44,18 @@ WITHIN = re.compile(
     r"(?:^|\s)(?:(?:ads?|adbox|advert|adverts|advertisement|advertising|sponsor|sponsored|promo)(?:[-_][\w-]*)?|"
     r"comments?(?:[-_][\w-]*)?|disqus|replies|share|sharing|social|newsletter|subscribe)(?=\s|$)"
 )
+CARD = re.compile(r"(?:^|[\s_-])(?:card|cards|teaser|related|recommended|preview|comment|comments|reply|replies)(?:$|[\s_-])")
+WEAK = re.compile(r"(?:^|\s)(?:(?:page|post|entry|article|content|story)-header|(?:content|article|post|entry|story)\s[\w\s-]*|[\w\s-]*\s(?:content|article|post|entry|story))(?=\s|$)")
+DOUBTFUL = re.compile(r"(?:^|(?<=[\s_-]))(?:header|related|notice|widget|promo|skip)(?=$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 SALTS = 16
 
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+EMPTY_COMMENT, COMMENT_END = re.compile("-?>"), re.compile("--!?>")
+FORM_END = re.compile(r"</form", re.I)
+HOLDS = re.compile(r"""<(?:article|main)[\s/>]|\srole\s*=\s*["']?main\b""", re.I)
 REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 
 
@@ -83,7 +90,7 @@ class Page:
         while len(self.stack) > 1:
             self._close()
         self._flush()
-        region = max(self.seen)
+        region = max((r for r, _ in self.blocks), default=0)
         main = [i for i, (r, _) in enumerate(self.blocks) if r >= region]
         self.content = _digest("\n".join(self.blocks[i][1] for i in main))
         gone: set[int] = set()
@@ -104,7 +111,7 @@ class Page:
                 self.blocks.append((self.stack[-1].region, text))
             self.line = []
 
-    def _open(self, name: str, attributes: str) -> None:
+    def _open(self, name: str, attributes: str, round_page: bool = False) -> None:
         stack = self.stack
         if name in CLOSES_P:
             self._end("p", CLOSES_P - {"p"})
@@ -117,36 +124,47 @@ class Page:
         elif name == "body" or name == "html":
             skips = False
         else:
-            region, skips = self._marked(name, attributes, region)
-        if name not in INLINE:
+            region, skips = self._marked("div" if round_page else name, attributes, region)
+        if name not in INLINE and not self.skipping:  # a block within what goes parts no line
             self._flush()
-        self.seen.add(region)
         stack.append(_Element(name, skips, region, len(self.blocks)))
         self.skipping += skips
 
     @staticmethod
     def _marked(name: str, attributes: str, region: int) -> tuple[int, bool]:
         """The region of an element in ``region``, and whether it goes. Within an article or main element class and id tell only adverts,
-        comments and what asks the reader to share or subscribe, and only by a whole word."""
+        comments and what asks the reader to share or subscribe, and only by a whole word. Elsewhere doubtful words do not count for what also calls itself content."""
         within = region > 0
-        region = 2 if name == "article" else max(region, 1) if name == "main" else region
-        skips = name in SKIPPED or (name == "footer") or (name == "header" and region == 0)
-        if attributes and name != "main":
-            for kind, a, b, c in ATTRIBUTE.findall(attributes):
-                kind, value = kind.lower(), (a or b or c).lower()
-                if kind == "role":
-                    region = max(region, 1) if value == "main" else region
-                    skips |= value in ROLES
-                elif kind in ("class", "id"):
-                    skips |= (WITHIN if within else MARKED).search(value) is not None
-                else:
-                    skips |= kind == "hidden" or value == "true"
+        told = [(kind.lower(), (a or b or c).lower()) for kind, a, b, c in ATTRIBUTE.findall(attributes)] if attributes and name != "main" else []
+        card = name == "article" and any(kind in ("class", "id") and CARD.search(value) for kind, value in told)
+        region = region if card else 2 if name == "article" else max(region, 1) if name == "main" else region
+        skips = name in SKIPPED or (name == "footer") or (name == "header" and region == 0) or (card and within)
+        for kind, value in told:
+            if kind == "role":
+                region = max(region, 1) if value == "main" else region
+                skips |= value in ROLES
+            elif kind not in ("class", "id"):
+                skips |= kind == "hidden" or value == "true"
+            elif within:
+                skips |= WITHIN.search(value) is not None
+            else:
+                skips |= MARKED.search(DOUBTFUL.sub("", value) if WEAK.search(value) else value) is not None
         return region, skips
 
+    def _round_page(self, source: str, at: int) -> bool:
+        """Whether the form that opens before ``at`` holds an article or main element. Both places only move on, so a page is searched once."""
+        if self.next_end < at:
+            found = FORM_END.search(source, at)
+            self.next_end = found.start() if found else len(source)
+        if self.next_held < at:
+            found = HOLDS.search(source, at)
+            self.next_held = found.start() if found else len(source) + 1
+        return self.next_held < self.next_end
+
     def _close(self) -> None:
         element = self.stack[-1]
         block = element.name not in INLINE
-        if block:
+        if block and not self.skipping:
             self._flush()
         self.stack.pop()
         shown = not self.skipping
@@ -180,7 +198,7 @@ class Page:
             self.line.append(text)
 
     def _parse(self, source: str) -> None:
-        self.seen: set[int] = {0}
+        self.next_end = self.next_held = -1
         at, n, plain = 0, len(source), False
         while at < n:
             lt = source.find("<", at)
@@ -190,8 +208,9 @@ class Page:
             if lt + 1 < n and source[lt + 1] in "!?":
                 self._text(source[at:lt])
                 if source.startswith("<!--", lt):
-                    end = source.find("-->", lt + 4)
-                    at = n if end < 0 else end + 3
+                    empty = EMPTY_COMMENT.match(source, lt + 4)
+                    end = None if empty else COMMENT_END.search(source, lt + 4)
+                    at = empty.end() if empty else end.end() if end else n
                 else:
                     end = source.find(">", lt)
                     at = n if end < 0 else end + 1
@@ -226,7 +245,7 @@ class Page:
                     self._end("p", CLOSES_P - {"p"})
                     self._flush()
                 continue
-            self._open(name, source[named.end() : end - 1])
+            self._open(name, source[named.end() : end - 1], name == "form" and self._round_page(source, at))
             if name in RAW:
                 closer = re.compile(f"</{name}", re.I).search(source, at)
                 stop = closer.start() if closer else n

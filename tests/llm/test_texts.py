@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +170,108 @@ def test_page():
     assert deep.text == "core"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<main><p>Long real text.</p><section class="comments"><article class="comment">Nice</article></section></main>', "Long real text."),
+    ("<main><p>Long real text.</p><aside><article>See also</article></aside></main>", "Long real text."),
+    ("<div><p>Long real text.</p></div><article></article>", "Long real text."),
+    ('<body><form id="all"><nav>Menu</nav><article><p>Long real text.</p></article><input><button>Go</button></form></body>', "Long real text."),
+    ('<main><p>Long real text.</p><article class="related-card">See also</article></main>', "Long real text."),
+    ("<p>A</p><!--><p>B</p><!---><p>C</p><!-- x --!><p>D</p><!-- y > -- --><p>E</p>", "A\nB\nC\nD\nE"),
+    ('<div class="page-header"><h1>Title</h1></div><div class="content related"><p>Body</p></div><div class="header">Site</div><div class="related">More</div>', "Title\nBody"),
+    ("<form><p>Your mail</p></form><form><main><p>In</p></main></form><form><p>Again</p></form>", "In"),
+    ('<div><article class="teaser"><p>One</p></article><p>Two</p></div>', "One\nTwo"),
+    ("<nav>Menu</nav><form><label>Name</label></form>", ""),
+])
+def test_a_page_keeps_its_text(page, text):
+    assert Page(page).text == text
+    frame_ = f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>"
+    assert Page(frame_).text == text
+
+
+class Tree(HTMLParser):
+    """Elements and texts of well-formed markup, by the standard library's parser."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.root = self.top = ("body", {}, [], None)
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, dict(attrs), [], self.top)
+        self.top[2].append(node)
+        self.top = node
+
+    def handle_endtag(self, tag):
+        self.top = self.top[3]
+
+    def handle_data(self, data):
+        self.top[2].append(data)
+
+
+def slow_main_text(source):
+    """The contract's rules on a tree: what goes, in which region each block of text stands, and the highest region that has text."""
+    blocks = []
+
+    def holds(node):
+        return any(not isinstance(c, str) and (c[0] in ("article", "main") or holds(c)) for c in node[2])
+
+    def walk(node, region, line, inline):
+        tag, attrs, children, _ = node
+        words = (attrs.get("class") or "").split() if tag != "main" else []  # a main element is one whatever it is called
+        if tag in ("nav", "aside", "footer", "script") or "ad" in words or "comments" in words or (tag == "form" and not holds(node)) or (tag == "header" and not region):
+            if tag not in ("b", "span"):
+                end(line, region)
+            return
+        card = tag == "article" and "card" in words
+        if card and region:
+            end(line, region)
+            return
+        own = 2 if tag == "article" and not card else max(1, region) if tag == "main" else region
+        block = tag not in ("b", "span")
+        if block:
+            end(line, region)
+        for c in children:
+            if isinstance(c, str):
+                line.append(c)
+            else:
+                walk(c, own, line, inline)
+        if block:
+            end(line, own)
+
+    def end(line, region):
+        text = " ".join("".join(line).split())
+        if text:
+            blocks.append((region, text))
+        line.clear()
+
+    walk(Tree(source).root, 0, [], False)
+    best = max((r for r, _ in blocks), default=0)
+    return "\n".join(t for r, t in blocks if r >= best)
+
+
+def test_random_pages_match_a_slow_extractor():
+    rng = random.Random(4)
+
+    def grow(depth, form):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["word ", "two  words", "&amp; &eacute;", " ", "\n", "x<!-- gone -->y"])
+        tag = rng.choice(["div", "section", "b", "span", "main", "article", "aside", "nav", "header", "footer", "form", "div", "div", "p"])
+        if tag == "form" and form:
+            tag = "div"
+        if tag == "p":
+            return f"<p>{rng.choice(['par', 'a <b>bold</b> one'])}</p>"
+        attrs = rng.choice(["", "", "", ' class="ad"', ' class="comments"', ' class="card big"', ' class="text"', ' id="k1"'])
+        return f"<{tag}{attrs}>" + "".join(grow(depth - 1, form or tag == "form") for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+    some = 0
+    for _ in range(4000):
+        source = "".join(grow(4, False) for _ in range(3))
+        assert Page(source).text == slow_main_text(source), source
+        some += Page(source).text != ""
+    assert some > 2000
+
+
 def test_site_templates(spark):
     pages = []
     for k in range(12):
