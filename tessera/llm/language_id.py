@@ -159,7 +159,9 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     known = known.withColumn("h", F.xxhash64("text"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    some = known.join(sizes, "lang").where((F.col("n") <= 8 * rows) | (F.pmod("h", F.col("n")) < 8 * rows))  # about eight times what is taken
+    some = known.join(F.broadcast(sizes), "lang").where(  # a row for each language, as the model has
+        (F.col("n") <= 8 * rows) | (F.pmod("h", F.col("n")) < 8 * rows)
+    )  # about eight times what is taken
     some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     texts = some.withColumn("place", place).where(F.col("place") <= rows).select("lang", "h", "text")
