@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import small_batches
+from tessera.llm._store import small_batches, unused
 from tessera.llm._text import Words, mix64, pieces, utf8
 
 FORMS, WIDTH, HIDDEN, NETS, NEIGHBOURS, PARTS = 1024, 96, 24, 5, 2, 8
@@ -280,11 +280,11 @@ def fit_quality(
     return model
 
 
-def _scorer(model: QualityModel, score_col: str):
+def _scorer(model: QualityModel, own: str, score_col: str):
     def run(batches):
         for batch in batches:
-            names = [c for c in batch.schema.names if c != "_text"]
-            for first, part in pieces(batch.column("_text"), 1 << 20):
+            names = [c for c in batch.schema.names if c != own]
+            for first, part in pieces(batch.column(own), 1 << 20):
                 found = []
                 for at in range(0, len(part), 512):
                     words = Words(part.slice(at, 512))
@@ -303,6 +303,6 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     columns pass unchanged.
     """
     small_batches(docs.sparkSession)
-    rows = docs.drop(score_col).withColumn("_text", F.col(text_col))
-    shape = rows.drop("_text").schema.add(score_col, "double")
-    return rows.mapInArrow(_scorer(model, score_col), shape)
+    own, rows = unused(docs.columns, "_text"), docs.drop(score_col)
+    shape = rows.schema.add(score_col, "double")
+    return rows.withColumn(own, F.col(text_col)).mapInArrow(_scorer(model, own, score_col), shape)

@@ -312,10 +312,11 @@ def dedup_substrings(
     are whole numbers; a column that cannot be cast to them raises. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined cases: null text has no
     words; texts of less than a window lose none; a very long text is hashed whole, in one pass; rows with
     a null id neither lose words nor take them from others; rows that repeat an id are no smaller than each other, so both
-    keep what they share; an empty table gives an empty result; extra columns are not read.
+    keep what they share; an empty table gives an empty result; extra columns are not read. Of ``columns`` those that have the name of a result are left out
+    for it.
     """
     spark = docs.sparkSession
-    passed = [id_col, *columns]
+    passed = [id_col, *(c for c in columns if c.lower() not in ("n_words", "n_removed", "kept_text"))]
     rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(passed)), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
     cuts = sorted(set(rows.where("_id is not null").approxQuantile("_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     index = FingerprintIndex(spark, window, max_runs)
