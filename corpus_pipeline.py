@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import Kept, few_files
+from tessera.llm._store import Kept, few_files, unused
 from tessera.llm.packing import pack
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.queries import fifth
@@ -29,25 +29,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids are scored like any other; without labels every score is 0.5, so all stay; a very long text is read whole; an empty table gives an empty one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels.where(fifth() != 0))
-    return score_quality(docs, model, score_col="_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    score = unused(docs.columns, "_score")
+    return score_quality(docs, model, score_col=score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents but those that links join to a smaller id, whole rows. Texts without words and rows with a null id stay; rows that repeat an id are one
     document and stay or go together; very long texts are compared whole; an empty table gives an empty one."""
-    gone = shingle_links(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return few_files(docs.join(gone, docs.doc_id == gone._gone, "left_anti"))  # rows with a null id stay
+    name = unused(docs.columns, "_gone")
+    gone = shingle_links(docs).where("not kept").select(F.col("doc_id").alias(name))
+    return few_files(docs.join(gone, docs.doc_id == gone[name], "left_anti"))  # rows with a null id stay
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that start in a document with a smaller id; those that lose all go, and n_chars follows the text. A text
     that loses nothing stays as it is, null and empty ones too; rows with a null id lose nothing; rows that repeat an id keep what they share; an
     empty table gives an empty one."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    told = dedup_substrings(docs, columns=("n_chars", *others), verbatim=True)
-    told = told.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.col("kept_text"))
-    size = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return told.withColumn("n_chars", size).select(*docs.columns)
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}  # whatever the columns are called
+    others = tuple(c for name, c in at.items() if name not in ("doc_id", "text"))
+    told = dedup_substrings(docs.toDF(*at.values()), at["doc_id"], at["text"], columns=others, verbatim=True)
+    told = told.where("n_removed = 0 or n_removed < n_words")
+    size = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(at["n_chars"]))
+    new = {"text": F.col("kept_text"), "n_chars": size}
+    return told.select(*(new.get(name, F.col(c)).alias(name) for name, c in at.items()))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
