@@ -8,6 +8,7 @@ from tessera.catalog import query, table
 from tessera.functions import chat, parsers, prompts
 from tessera.functions import text as T
 from tessera.models import STOP_WORDS, identify_language
+from tessera.operators.language import fit_language
 from tessera.operators import gates, translate
 
 QUOTED = T.PUNCTUATION.replace("'", "''")
@@ -221,3 +222,11 @@ SELECT doc_id, w[1] AS verb, list_filter(w[2:], lambda x: length(x) > 3)[1] AS n
 def verb_object(spark, d):
     told = parsers.root_verb_object(F.col("text"))
     return _documents(spark, d).select("doc_id", told["verb"].alias("verb"), told["noun"].alias("noun"))
+
+
+@query()
+def language_bayes(spark, d):
+    """Every document's language by a model of character n-grams, learned from the documents whose hash is not divisible by four."""
+    docs = _documents(spark, d)
+    model = fit_language(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0))
+    return docs.select("doc_id", model.identify(F.col("text")).alias("x")).select("doc_id", F.col("x.lang").alias("guess"), "x.confidence")
