@@ -14,6 +14,7 @@ from tessera.operators import gates, judge, neighbours, ranking, stats, translat
 from tessera.operators.collection import VectorCollection
 from tessera.sources import io
 from tessera.sources.config import Mixture
+from tessera.sources.resume import ResumableOutput
 
 
 def self_instruct_round(
@@ -130,9 +131,9 @@ def build_mixture(mix: Mixture, load: Callable[[dict], DataFrame], embed: Callab
     return ranking.train_val(kept, "data_id", share, seed)
 
 
-def translate_docs(docs: DataFrame, task: translate.Task, client: Callable[[], Client] | None, lang: str, done: DataFrame | None = None, key: str = "data_id", identify: Callable[[Column], Column] | None = None) -> DataFrame:
+def translate_docs(docs: DataFrame, task: translate.Task, client: Callable[[], Client] | None, lang: str, done: DataFrame | ResumableOutput | None = None, key: str = "data_id", identify: Callable[[Column], Column] | None = None) -> DataFrame:
     """Resumable translation (P8): skips what is done, packs, translates, and keeps translations in the target language with their structure whole. No client: identity."""
-    left = docs if done is None else gates.remaining(docs, done, key)
+    left = docs if done is None else done.remaining(docs) if isinstance(done, ResumableOutput) else gates.remaining(docs, done, key)
     packed = task.packed(left)
     told = packed.withColumn("translated", F.col("combined")) if client is None else generate(packed, "combined", client, response_col="translated")
     if identify is not None:
