@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import query, table
 from tessera.functions import text as T
-from tessera.operators import gates, ranking, stats
+from tessera.operators import gates, moments, ranking, stats
 
 WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))"
 
@@ -140,3 +140,16 @@ def top_groups(spark, d):
 def char_cost(spark, d):
     chars = F.sum(F.length("text"))
     return _docs(spark, d).agg(chars.cast("long").alias("chars"), F.round(T.char_cost(chars), 6).alias("eur"))
+
+
+METRICS = ["n_chars", "quality", "toxic", "mod"]
+_PAIRS = [(x, y) for x in METRICS for y in METRICS if x != y]
+
+
+@query("WITH m AS (SELECT d.n_chars::DOUBLE AS n_chars, l.quality::DOUBLE AS quality, l.toxic::DOUBLE AS toxic, (d.doc_id % 17)::DOUBLE AS mod FROM documents d LEFT JOIN labels l USING (doc_id)) "
+       + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, regr_count({y}, {x})::BIGINT AS n, round(corr({x}, {y}), 6) AS r, round(regr_slope({y}, {x}), 6) AS slope, round(regr_intercept({y}, {x}), 5) AS intercept FROM m" for x, y in _PAIRS))
+def metric_matrix(spark, d):
+    """Correlation and regression of every pair of metrics, in one scan."""
+    rows = _docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left").withColumn("mod", F.col("doc_id") % 17)
+    told = moments.matrix(rows, METRICS)
+    return told.select("x", "y", "n", F.round("r", 6).alias("r"), F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"))
