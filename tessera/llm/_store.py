@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -56,9 +57,18 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets the driver's JVM collect garbage, upon which Spark deletes the shuffle files of results that nobody holds any more."""
-    spark.sparkContext._jvm.System.gc()
+BRIEF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark deletes a query's shuffle files when the query ends, by a setting of its own: for queries that run once."""
+    before = spark.conf.get(BRIEF)
+    spark.conf.set(BRIEF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(BRIEF, before)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

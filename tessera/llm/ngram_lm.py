@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import delete, free_shuffles, new_path, runs, small_batches
+from tessera.llm._store import brief_shuffles, delete, new_path, runs, small_batches
 from tessera.llm._text import Words, mix64, pieces
 
 END = np.uint64(0xE9D)
@@ -599,8 +599,9 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 3, wide: bool = Fa
     bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     model = Model(new_path(spark, "lm"), order, bits, wide=wide)
     dealt = lambda rows, parts: rows.repartition(parts, "slot").sortWithinPartitions("shard")
-    sizes = {r["shard"]: r for r in dealt(texts.mapInArrow(_count_vocabulary(bits), SHAPE), 1 << bits).mapInArrow(_write_vocabulary(model.folder), "shard int, size long, tokens long").collect()}
-    free_shuffles(spark)
+    counted = dealt(texts.mapInArrow(_count_vocabulary(bits), SHAPE), 1 << bits).mapInArrow(_write_vocabulary(model.folder), "shard int, size long, tokens long")
+    with brief_shuffles(spark):
+        sizes = {r["shard"]: r for r in counted.collect()}
     model.starts = [0]
     for s in range(1 << bits):
         model.starts.append(model.starts[-1] + (sizes[s]["size"] if s in sizes else 0))
@@ -610,10 +611,11 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 3, wide: bool = Fa
     for level in range(order, 1, -1):
         rows = dealt(rows, model.shards).mapInArrow(_write_level(model, level), SHAPE)
     sums: dict = {}
-    for r in dealt(rows, 1 << bits).mapInArrow(_write_lowest(model), "told string, total long").collect():
+    with brief_shuffles(spark):
+        told = dealt(rows, 1 << bits).mapInArrow(_write_lowest(model), "told string, total long").collect()
+    for r in told:
         _add_told(sums, json.loads(r["told"]))
         model.total += r["total"]
-    free_shuffles(spark)
     for level in range(1, order + 1):
         n = sums.get(str(level), {"n": [0] * 5, "done": []})
         model.discounts[level] = discounts(*n["n"][:4])
