@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera.catalog import query, table
 from tessera.functions import text as T
 from tessera.operators import gates, moments, ranking, stats
+from tessera.operators.diversity import DiversityStore
+from tessera.tables import Tables
 
 WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))"
 
@@ -153,3 +155,14 @@ def metric_matrix(spark, d):
     rows = _docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left").withColumn("mod", F.col("doc_id") % 17)
     told = moments.matrix(rows, METRICS)
     return told.select("x", "y", "n", F.round("r", 6).alias("r"), F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"))
+
+
+@query(f"WITH t AS (SELECT unnest(tags) AS tag FROM {TAGS}) SELECT tag, count(*) AS n FROM t GROUP BY tag HAVING count(*) >= 0.002::DOUBLE * (SELECT count(*) FROM t)")
+def frequent_tags(spark, d):
+    """Tags of a share of all occurrences, from statistics kept for each of the four languages and merged."""
+    rows = _docs(spark, d).select("lang", T.words(F.lower("text")).alias("tags"))
+    store = DiversityStore(spark, f"{Tables(spark).folder}/diversity")
+    for lang in ("de", "en", "es", "fr"):
+        store.add(lang, rows.where(F.col("lang") == lang))
+    store.add("other", rows.where("lang is null or lang not in ('de', 'en', 'es', 'fr')"))
+    return store.frequent(0.002)
