@@ -65,7 +65,7 @@ def generate_chat(df: DataFrame, messages_col: str, client: Callable[[], Client]
     return told.drop("_prompt")
 
 
-def translate_text(df: DataFrame, text_col: str, source: str, target: str, client: Callable[[], Client], template: str, out_col: str = "translated", marker: str = "##EOT##", wait: float = 1.0) -> DataFrame:
+def translate_text(df: DataFrame, text_col: str, source: str, target: str, client: Callable[[], Client], template: str = prompts.TRANSLATE, out_col: str = "translated", marker: str = "##EOT##", wait: float = 1.0) -> DataFrame:
     """Adds the text in another language (U6), up to the marker that ends a translation, with retries that wait; what is wanted in English stays as it
     is. ``template`` has {source_lang}, {target_lang} and {text}."""
     if target.lower().split("-")[0] == "en":

@@ -29,7 +29,7 @@ log = logging.getLogger(__name__)
 #: Rows of a block: a task compares one block of queries with one of the collection.
 BLOCK = 4096
 #: Rows for each pivot of a collection, and the most pivots; they travel in the closures of tasks.
-ROWS_PER_PIVOT, PIVOTS = 2048, 1024
+ROWS_PER_PIVOT, PIVOTS = 512, 1024
 #: Angles are compared with so much room for rounding, which near 0 is the square root of a double's.
 SLACK = 1e-6
 
@@ -77,7 +77,7 @@ class Cells:
 
 def choose_pivots(collection: DataFrame, rows: int, per: int = ROWS_PER_PIVOT, most: int = PIVOTS) -> np.ndarray:
     """Different directions of a sample by hash, one for each ``per`` rows and at most ``most``: a bounded sample for the driver."""
-    count = min(most, max(1, rows // per))
+    count = min(most, max(1, rows // max(1, per)))
     told = collection.orderBy(F.xxhash64("id"), "id").limit(count).select("vector").toArrow()
     units = matrix(told.column("vector"))
     return np.unique(units, axis=0) if len(units) else np.zeros((0, 1))
@@ -169,7 +169,8 @@ def _best(k: int, skip_same_id: bool) -> Callable[[pa.Table, pa.Table], pa.Table
 def _dealt(queries: DataFrame, collection: DataFrame, pivots: np.ndarray | None, tables: Tables) -> tuple[DataFrame, DataFrame, Cells]:
     own = _usable(collection)
     if pivots is None:
-        pivots = choose_pivots(own, own.count())
+        n = own.count()
+        pivots = choose_pivots(own, n, n if n <= BLOCK else ROWS_PER_PIVOT)  # one block needs no cells
     kind = lambda df: df.schema["vector"].dataType.simpleString()
     if not len(pivots):
         return queries, collection, Cells(pivots, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))

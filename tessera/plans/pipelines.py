@@ -44,7 +44,7 @@ def self_instruct_round(
     return rows.join(near, "id", "left").where(F.coalesce(F.col("cosine_distance") > least, F.lit(True)))
 
 
-def oss_instruct(documents: DataFrame, client: Callable[[], Client], template: str, key: str = "id", content: str = "content", seed: str = "", limit: int | None = None) -> DataFrame:
+def oss_instruct(documents: DataFrame, client: Callable[[], Client], template: str = prompts.PROBLEM, key: str = "id", content: str = "content", seed: str = "", limit: int | None = None) -> DataFrame:
     """Problems and solutions from windows of documents."""
     rows = documents.withColumn("seed", ranking.line_window(F.col(content), F.col(key), seed=seed))
     rows = rows if limit is None else ranking.sample_k(rows, key, limit, seed)
@@ -53,14 +53,14 @@ def oss_instruct(documents: DataFrame, client: Callable[[], Client], template: s
     return out.select(key, "seed", "parsed.problem", "parsed.solution").where("problem <> '' and solution <> ''")
 
 
-def evol_instruct(rows: DataFrame, client: Callable[[], Client], template: str) -> DataFrame:
+def evol_instruct(rows: DataFrame, client: Callable[[], Client], template: str = prompts.EVOLVE) -> DataFrame:
     """Rewrites instructions that have no input (P3); a failure keeps its row, empty and flagged."""
     some = rows.where("input = ''").withColumn("prompt", prompts.fill(template, instruction=F.col("instruction")))
     told = generate(some, "prompt", client).withColumn("evolved", parsers.evolved(F.col("response")))
     return told.withColumn("failed", F.col("evolved") == "").drop("prompt", "response")
 
 
-def everyday_conversations(topics: DataFrame, client: Callable[[], Client], template: str, key: str = "id") -> DataFrame:
+def everyday_conversations(topics: DataFrame, client: Callable[[], Client], template: str = prompts.EVERYDAY, key: str = "id") -> DataFrame:
     """Small-talk dialogues by topic (P4). ``topics`` has (id, topics)."""
     rows = topics.withColumn("prompt", prompts.fill(template, topics=F.col("topics"), greeting=ranking.pick(T.GREETINGS, F.col(key))))
     told = generate(rows, "prompt", client)
@@ -147,7 +147,7 @@ def translation_cost(docs: DataFrame, task: translate.Task) -> DataFrame:
     return task.packed(docs).agg(F.sum(F.length("combined")).cast("long").alias("chars"), T.char_cost(F.sum(F.length("combined"))).alias("eur"))
 
 
-def judge_pairs(source: DataFrame, one: DataFrame, two: DataFrame, lang: str, names: tuple[str, str], client: Callable[[], Client], template: str) -> DataFrame:
+def judge_pairs(source: DataFrame, one: DataFrame, two: DataFrame, lang: str, names: tuple[str, str], client: Callable[[], Client], template: str = prompts.JUDGE) -> DataFrame:
     """Winners of two translations."""
     rows = judge.judged_rows(source, one, two, lang)
     asked = rows.withColumn("prompt", prompts.fill(template, target_language=T.language_name(F.lit(lang)), source_text=F.col("source"), translation_1=F.col("translation_1"), translation_2=F.col("translation_2")))

@@ -184,6 +184,26 @@ def test_generation_pipelines(spark):
     assert r.topics == ["a", "b"] and r.messages[0].content == "hi" and r.messages[1].role == "assistant"
 
 
+def test_own_templates_ask_for_what_parsers_read(spark):
+    """A client that follows the default prompts to the letter is understood."""
+    docs = spark.createDataFrame([(1, "def f():\n  return 1\n")], "id long, content string")
+    said = lambda p: p.replace("[Problem Description]\nand", "[Problem Description]\nSum it.\nand").replace("after the line\n[Solution]\n", "after the line\n[Solution]\nsum(x)")
+    (r,) = pipelines.oss_instruct(docs, lambda: Echo(reply=said)).collect()
+    assert r.problem.startswith("Sum it.") and r.solution == "sum(x)"
+    rows = spark.createDataFrame([("count {x}", "")], "instruction string, input string")
+    (r,) = pipelines.evol_instruct(rows, lambda: Echo(reply=lambda p: f"Plan\n{T.EVOLVED}\n" + p.split("Task:\n")[1].strip() + " twice")).collect()
+    assert r.evolved == "count {x} twice" and not r.failed
+    (r,) = pipelines.everyday_conversations(spark.createDataFrame([(1, "tea/rain")], "id long, topics string"), lambda: Echo(reply=lambda p: p.strip().splitlines()[-1] + "\nAI: Hello")).collect()
+    assert r.messages[0].content in T.GREETINGS and r.messages[1].content == "Hello"
+    df = spark.createDataFrame([("Hallo {du}",)], "text string")
+    told = translate_text(df, "text", "de", "fr", lambda: Echo(reply=lambda p: p.split("Text:\n")[1].split("\n\n")[0].upper() + "##EOT## more")).first()
+    assert told.translated == "HALLO {DU}"
+    text = "data_id string, text string"
+    sides = [spark.createDataFrame([(f"a_b_{lang}_1", t)], text) for lang, t in (("en", "Good"), ("de", "Gut"), ("de", "Schlecht"))]
+    won = pipelines.judge_pairs(*sides, "de", ("m", "n"), lambda: Echo(reply=lambda p: ("Translation (a)" if "Translation (a):\nGut" in p else "Translation (b)") + T.EOS)).collect()
+    assert [r.winner for r in won] == ["m"]
+
+
 def test_mixture(spark):
     msg = "array<struct<role:string,content:string>>"
     shape = f"data_id long, messages {msg}, origin string, language string, setfit_label string, reward double, quality double, complexity double"
