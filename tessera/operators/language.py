@@ -98,8 +98,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit_language(df: DataFrame, text: str = "text", lang: str = "lang", aside: int = 2000, slots: int = SLOTS, smooth: float = 0.5) -> LanguageModel:
-    """Counts the n-grams of all rows with a language but a tenth by hash, of which at most ``aside`` set the temperature of the confidence,
-    whole and by a few words of theirs. n-grams overlap, so their sum says too much by a factor, which the temperature is.
+    """Counts the n-grams of all rows with a language but a tenth by hash, of which at most ``aside`` set the temperature of the confidence
+    by a few words of each. n-grams overlap, so their sum says too much by a factor, which the temperature is.
 
     What reaches the driver is one number for each slot and language and those rows; counts are summed within tasks first, so they do not grow with the rows.
     """
@@ -117,9 +117,9 @@ def fit_language(df: DataFrame, text: str = "text", lang: str = "lang", aside: i
     held = rows.where(tenth).orderBy(F.xxhash64("text", F.lit(1))).limit(aside).collect() if len(names) > 1 else []
     held = [r for r in held if r["lang"] in place]
     if held:
-        middle = [r["text"][len(r["text"]) // 2 :][:24] for r in held]  # whole texts alone leave little doubt to learn from
-        z = model.scores([*(r["text"] for r in held), *middle])
-        y = np.array([place[r["lang"]] for r in held] * 2)
+        middle = [r["text"][len(r["text"]) // 2 :][:24] for r in held]  # whole texts leave no doubt to learn from
+        z = model.scores(middle)
+        y = np.array([place[r["lang"]] for r in held])
         soft = (np.arange(len(names)) == y[:, None]) * (1 - 0.5 / len(y)) + 0.25 / len(y)  # half a count of doubt, or separable rows would ask for 0
         grid = np.exp(np.linspace(np.log(0.05), np.log(100), 77))
         model.temperature = float(grid[np.argmin([-(soft * np.log(_softmax(z / t) + 1e-300)).sum(axis=1).mean() for t in grid])])
