@@ -170,7 +170,11 @@ def _dealt(queries: DataFrame, collection: DataFrame, pivots: np.ndarray | None,
     own = _usable(collection)
     if pivots is None:
         n = own.count()
-        pivots = choose_pivots(own, n, n if n <= BLOCK else ROWS_PER_PIVOT)  # one block needs no cells
+        if 0 < n <= BLOCK:  # one block needs no cells
+            q = _usable(queries, "query_id").withColumn("cell", F.lit(0))
+            c = own.select(F.col("id").alias("id"), F.col("vector").alias("vector"), F.lit(0).alias("cell"))  # columns of their own, as both may be one table
+            return q, c, Cells(np.zeros((1, 1)), np.array([n]), np.zeros(1), np.full(1, math.pi))
+        pivots = choose_pivots(own, n)
     kind = lambda df: df.schema["vector"].dataType.simpleString()
     if not len(pivots):
         return queries, collection, Cells(pivots, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
@@ -241,6 +245,8 @@ def _within(queries: DataFrame, collection: DataFrame, least: float, block: int,
 
 
 def reach_cells(q: DataFrame, read: Callable[[list[int]], DataFrame], cells: Cells, least: float, block: int, compare: Callable, shape: str, tables: Tables) -> DataFrame:
+    if len(cells.pivots) == 1:
+        return _meet(q.select("query_id", "vector", "cell"), read([0]), cells.rows, block, compare, shape)
     reach = math.acos(max(-1.0, min(1.0, 1.0 - least)))
     asked = tables.put(_reaching(q.withColumn("reach", F.lit(reach)), cells, home=True))
     return _meet(asked, read(_cells_of(asked)), cells.rows, block, compare, shape)
