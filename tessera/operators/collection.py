@@ -189,7 +189,7 @@ class VectorCollection:
         place = F.create_map(*(F.lit(int(x)) for i, c in enumerate(names) for x in (c, i)))
         return lambda wanted: self._read(cells, [names[i] for i in wanted]).withColumn("cell", place[F.col("cell")])
 
-    def nearest(self, queries: DataFrame, k: int, block: int = N.BLOCK, before: int | None = None) -> DataFrame:
+    def nearest(self, queries: DataFrame, k: int, block: int | None = None, before: int | None = None) -> DataFrame:
         """(query_id, rank, id, distance) as ``neighbours.nearest``, reading only cells in reach."""
         asked = self._asked(queries, before)
         if asked is None:
@@ -197,7 +197,7 @@ class VectorCollection:
         q, cells, own, names = asked
         return N.search_cells(q, self._reader(cells, names), own, k, block, False, T.Tables(self.spark))
 
-    def near_ids(self, queries: DataFrame, least: float, block: int = N.BLOCK, before: int | None = None) -> DataFrame:
+    def near_ids(self, queries: DataFrame, least: float, block: int | None = None, before: int | None = None) -> DataFrame:
         """(id) of the queries that have a row not further than ``least``."""
         asked = self._asked(queries, before)
         if asked is None:

@@ -2,8 +2,11 @@
 
 A collection is dealt to cells, each row to the pivot of the least angle. Angles obey the triangle inequality, so a cell whose rows lie
 between the angles ``low`` and ``high`` from its pivot holds nothing nearer to a query than max(t - high, low - t), t being the query's angle to that pivot. A query
-searches its own cell first; other cells are paired with it only if their bound is within the k-th distance found so far. Nothing is lost; how much is
+searches its own cell first; other cells are compared with it only if their bound is within the k-th distance found so far. Nothing is lost; how much is
 saved depends on the data: clustered rows leave most cells out, isotropic ones of many dimensions hardly any.
+
+Cells lie together in blocks. A query goes once to each block that holds a cell in its reach, and what is out of its reach there is left out within the task; so
+rows are moved as often as there are blocks, some 8, and not as there are cells.
 """
 
 from __future__ import annotations
@@ -26,12 +29,17 @@ from tessera.tables import Tables
 
 log = logging.getLogger(__name__)
 
-#: Rows of a block: a task compares one block of queries with one of the collection.
-BLOCK = 4096
+#: A task compares one block of queries with one of the collection. A table is cut into about ``BLOCKS`` of them, of ``BLOCK`` rows at least, and of more once one would get over
+#: ``LARGEST`` rows or ``COMPONENTS`` components of vectors. So what is moved grows with the rows while a task's memory is bounded.
+BLOCK, BLOCKS, LARGEST, COMPONENTS = 4096, 8, 1 << 17, 1 << 23
 #: Rows for each pivot of a collection, and the most pivots; they travel in the closures of tasks.
 ROWS_PER_PIVOT, PIVOTS = 512, 1024
 #: Angles are compared with so much room for rounding, which near 0 is the square root of a double's.
 SLACK = 1e-6
+#: Queries and rows that a task multiplies at once.
+TILE_QUERIES, TILE_ROWS = 2048, 1024
+#: Which cells a query meets: its own, all in reach but its own, or all in reach.
+HOME, OTHERS, ALL = "home", "others", "all"
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -105,63 +113,186 @@ def summary(cells: DataFrame, pivots: np.ndarray) -> Cells:
     return out
 
 
-def _reaching(queries: DataFrame, cells: Cells, home: bool) -> DataFrame:
-    """Queries (query_id, vector, cell, reach) with each cell that their reach meets, their own left out unless ``home``."""
+class Blocks:
+    """Small cells lie together in a block, a large one in several: of each cell its first block and how many it has."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                least = cells.bounds(angle(matrix(part.column("vector")) @ cells.pivots.T))
-                if not home:
-                    least[np.arange(len(least)), part.column("cell").to_numpy()] = np.inf
-                i, j = np.nonzero(least <= part.column("reach").to_numpy()[:, None] + SLACK)
-                for k in range(0, len(i), 4096):
-                    rows = part.take(pa.array(i[k : k + 4096]))
-                    yield pa.RecordBatch.from_arrays([rows.column("query_id"), rows.column("vector"), pa.array(j[k : k + 4096].astype(np.int32))], names=["query_id", "vector", "cell"])
+    def __init__(self, rows: np.ndarray, size: int):
+        self.first, self.parts = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        last, held = -1, size
+        for c in np.flatnonzero(rows):
+            n = int(rows[c])
+            if n > size:
+                self.first[c], self.parts[c] = last + 1, -(-n // size)
+                last, held = last + int(self.parts[c]), size
+                continue
+            if held + n > size:
+                last, held = last + 1, 0
+            self.first[c], self.parts[c], held = last, 1, held + n
+        self.count = last + 1
+        number = np.arange(self.count)
+        self.of = ((number >= self.first[:, None]) & (number < (self.first + self.parts)[:, None])).astype(np.float32)
+
+    def asked(self, told: np.ndarray) -> np.ndarray:
+        """(queries, blocks) of (queries, cells)."""
+        return told.astype(np.float32) @ self.of > 0
+
+
+def block_rows(rows: int, dim: int | None) -> int:
+    return BLOCK if dim is None else min(max(BLOCK, -(-rows // BLOCKS)), LARGEST, max(256, COMPONENTS // max(1, dim)))
 
-    kind = queries.schema["vector"].dataType.simpleString()
-    return queries.select("query_id", "vector", "cell", "reach").mapInArrow(run, f"query_id long, vector {kind}, cell int")
 
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
-def _cells_of(queries: DataFrame) -> list[int]:
-    return sorted(r[0] for r in queries.select("cell").distinct().collect())  # a number for each pivot at most
 
+def _met(cells: Cells, some: np.ndarray, x: np.ndarray, own: np.ndarray, reach: np.ndarray, which: str) -> np.ndarray:
+    """(queries, cells): which of ``some`` cells the queries are compared with."""
+    home = own[:, None] == some
+    if which == HOME:
+        return home & (cells.rows[some] > 0)
+    part = Cells(cells.pivots[some], cells.rows[some], cells.low[some], cells.high[some])
+    told = part.bounds(angle(x @ part.pivots.T)) <= reach[:, None] + SLACK
+    return told & ~home if which == OTHERS else told
 
-def _meet(queries: DataFrame, cells: DataFrame, rows: np.ndarray, block: int, compare: Callable, shape: str) -> DataFrame:
-    """``compare`` of each block of queries (query_id, vector, cell) with each block of their cell (id, vector, cell). Cells and the queries of a cell are cut by hash into
-    blocks of about ``block`` rows, so one cell of any size is many tasks."""
+
+def _of_queries(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return batch.column("query_id").to_numpy(), matrix(batch.column("vector")), batch.column("cell").to_numpy(), batch.column("reach").to_numpy()
+
+
+def _meet(queries: DataFrame, read: Callable[[list[int]], DataFrame], cells: Cells, block: int | None, compare: Callable, shape: str, which: str) -> DataFrame:
+    """``compare`` of each block of queries (query_id, vector, cell, reach) with each block of cells (id, vector, cell) that they meet. Queries of a block and cells larger than one are
+    cut by hash, so one cell of any size is many tasks."""
     spark = queries.sparkSession
-    asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each pivot
-    log.info("compares %d pairs", sum(n * int(rows[c]) for c, n in asked.items()))
-    plan = spark.createDataFrame([(c, -(-n // block), max(1, -(-int(rows[c]) // block))) for c, n in asked.items()], "cell int, nq int, nc int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(F.broadcast(plan), "cell").withColumn("qb", F.pmod(F.xxhash64("query_id"), "nq").cast("int")).withColumn("cb", each("nc"))
-    c = cells.select("id", "vector", "cell").join(F.broadcast(plan), "cell").withColumn("cb", F.pmod(F.xxhash64("id"), "nc").cast("int")).withColumn("qb", each("nq"))
-    keys = ("cell", "qb", "cb")
-    return q.select("query_id", "vector", *keys).groupBy(*keys).cogroup(c.select("id", "vector", *keys).groupBy(*keys)).applyInArrow(compare, shape)
-
-
-def _best(k: int, skip_same_id: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    names = ["query_id", "id", "distance"]
-
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        b = b.sort_by("id")
-        x, y, ia, ib = matrix(a.column("vector")), matrix(b.column("vector")), a.column("query_id").to_numpy(), b.column("id").to_numpy()
-        out = []
-        for at in range(0, len(x), 512):
-            d = 1.0 - x[at : at + 512] @ y.T
-            if skip_same_id:
-                d[ia[at : at + 512][:, None] == ib[None, :]] = np.inf
-            most = min(len(ib), k)
-            least = np.partition(d, most - 1, axis=1)[:, most - 1]
-            i, j = np.nonzero((d <= least[:, None]) & np.isfinite(d))  # with all that tie
-            place = np.lexsort((ib[j], d[i, j], i))
-            place = place[np.arange(len(i)) - np.searchsorted(i, np.arange(len(d)))[i] < k]
-            out.append((ia[at + i[place]], ib[j[place]], d[i[place], j[place]]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+    dim = None if len(cells.pivots) == 1 else cells.pivots.shape[1]
+    blocks = Blocks(cells.rows, block or block_rows(int(cells.rows.sum()), dim))
+    every = np.arange(len(cells.rows))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_cell, by_block, n = np.zeros(len(every), np.int64), np.zeros(blocks.count, np.int64), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                _, x, own, reach = _of_queries(batch.slice(at, 512))
+                told = _met(cells, every, x, own, reach, which)
+                by_cell, by_block, n = by_cell + told.sum(axis=0), by_block + blocks.asked(told).sum(axis=0), n + len(own)
+        n = np.concatenate([by_cell, by_block, [n]])
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["at", "n"])
+
+    queries = queries.select("query_id", "vector", "cell", "reach")
+    n = np.zeros(len(every) + blocks.count + 1, np.int64)
+    for r in queries.mapInArrow(counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a number for each cell and block
+        n[r["at"]] = r["n"]
+    asked, asking = n[: len(every)], n[len(every) : -1]
+    parts = -(-asking // (block or block_rows(int(n[-1]), dim)))
+    held = blocks.of.T @ (cells.rows / np.maximum(blocks.parts, 1))
+    log.info("compares %d pairs, moves %d queries and %d rows", int(asked @ cells.rows), int(asking.sum()), int(held @ parts))
+
+    def spread_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                ids, x, own, reach = _of_queries(some)
+                i, j = np.nonzero(blocks.asked(_met(cells, every, x, own, reach, which)))
+                yield from _repeated(some, i, j, _mixed(ids)[i] % np.maximum(parts[j], 1))
+
+    def spread_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                cell = some.column("cell").to_numpy()
+                where = blocks.first[cell] + _mixed(some.column("id").to_numpy()) % np.maximum(blocks.parts[cell], 1)
+                times = np.where(asked[cell] > 0, parts[where], 0)
+                i = np.repeat(np.arange(len(cell)), times)
+                yield from _repeated(some, i, where[i], np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, x, own, reach = _of_queries(a)
+        b = b.sort_by([("cell", "ascending"), ("id", "ascending")])
+        y, ib, cell = matrix(b.column("vector")), b.column("id").to_numpy(), b.column("cell").to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else np.zeros(0, np.int64)
+        some = cell[cut[:-1]]
+
+        def tiles(left: np.ndarray) -> Iterator[tuple[np.ndarray, slice]]:
+            """Queries, of those that are ``left``, with rows of a cell that they meet."""
+            for at in range(0, len(x) if len(y) else 0, TILE_QUERIES):
+                part = slice(at, at + TILE_QUERIES)
+                told = _met(cells, some, x[part], own[part], reach[part], which)
+                for c, (low, high) in enumerate(zip(cut, cut[1:])):
+                    for first in range(low, high, TILE_ROWS):
+                        rows = at + np.flatnonzero(told[:, c] & left[part])
+                        if len(rows):
+                            yield rows, slice(first, min(first + TILE_ROWS, high))
+
+        return compare(x, y, ids, ib, reach, tiles)
+
+    kind = lambda df: df.schema["vector"].dataType.simpleString()
+    q = queries.mapInArrow(spread_queries, f"query_id long, vector {kind(queries)}, cell int, reach double, block int, part int")
+    c = read(np.flatnonzero(asked).tolist()).select("id", "vector", "cell")
+    c = c.mapInArrow(spread_rows, f"id long, vector {kind(c)}, cell int, block int, part int")
+    return q.groupBy("block", "part").cogroup(c.groupBy("block", "part")).applyInArrow(meet, shape)
+
+
+def _repeated(rows: pa.RecordBatch, i: np.ndarray, block: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(i), 4096):
+        told = rows.take(pa.array(i[k : k + 4096]))
+        own = [pa.array(c[k : k + 4096].astype(np.int32)) for c in (block, part)]
+        yield pa.RecordBatch.from_arrays([*told.columns, *own], names=[*told.schema.names, "block", "part"])
+
+
+def _room(x: np.ndarray) -> float:
+    """By how much a product of unit vectors in single precision can be off, twice."""
+    return (x.shape[1] + 8) * 1.2e-7
+
+
+def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of pairs in double precision, the same wherever a pair meets."""
+    return 1.0 - np.concatenate([np.zeros(0), *((x[i[k : k + 65536]] * y[j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536))])
+
+
+def _first_copies(y: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Which rows have one of the ``most`` smallest ids of their vector."""
+    y = np.ascontiguousarray(y)
+    _, group = np.unique(y.view(np.dtype((np.void, y.shape[1] * 8))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+    g, own = group[order], ids[order]
+    starts = np.concatenate([[True], g[1:] != g[:-1]])
+    number = np.cumsum(np.concatenate([[True], (g[1:] != g[:-1]) | (own[1:] != own[:-1])]))
+    keep = np.zeros(len(y), bool)
+    keep[order] = number - np.maximum.accumulate(np.where(starts, number, 0)) < most
+    return keep
+
+
+def _best(k: int, skip_same_id: bool) -> Callable[..., pa.Table]:
+    """The k nearest rows of each query. Products in single precision tell which pairs can be among them, with room for their rounding; those are computed in double precision. With
+    ties by id, of equal vectors only the smallest ids count."""
+
+    def best(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, reach: np.ndarray, tiles: Callable) -> pa.Table:
+        near, who = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max)
+        bound = 1.0 - np.cos(np.minimum(reach + SLACK, math.pi))
+        if len(x) and len(y):
+            few, room, x4, y4 = _first_copies(y, ib, k + 1), _room(x), x.astype(np.float32), y.astype(np.float32)
+            for rows, place in tiles(np.ones(len(x), bool)):
+                own = np.arange(place.start, place.stop)[few[place]]
+                rough = x4[rows] @ y4[own].T
+                hit = rough >= (1.0 - bound[rows] - room)[:, None]
+                if len(own) > k and np.count_nonzero(hit) > 8 * k * len(rows):
+                    if skip_same_id:
+                        rough[ia[rows][:, None] == ib[own]] = -np.inf
+                    hit &= rough >= (np.partition(rough, len(own) - k, axis=1)[:, len(own) - k] - 2 * room)[:, None]
+                i, j = np.nonzero(hit)
+                i, j = rows[i], own[j]
+                if skip_same_id:
+                    i, j = i[ia[i] != ib[j]], j[ia[i] != ib[j]]
+                d = _exact(x, y, i, j)
+                sub = np.unique(i)
+                at, told, names = np.concatenate([i, np.repeat(sub, k)]), np.concatenate([d, near[sub].ravel()]), np.concatenate([ib[j], who[sub].ravel()])
+                order = np.lexsort((names, told, at))
+                at = at[order]
+                order = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+                near[sub], who[sub] = told[order].reshape(-1, k), names[order].reshape(-1, k)
+                bound[sub] = np.minimum(bound[sub], near[sub, -1])
+        i, j = np.nonzero(np.isfinite(near))
+        return pa.table([pa.array(ia[i].astype(np.int64)), pa.array(who[i, j]), pa.array(near[i, j])], names=["query_id", "id", "distance"])
 
     return best
 
@@ -183,7 +314,7 @@ def _dealt(queries: DataFrame, collection: DataFrame, pivots: np.ndarray | None,
     return q, c, summary(c, pivots)
 
 
-def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int = BLOCK, skip_same_id: bool = False, pivots: np.ndarray | None = None) -> DataFrame:
+def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int | None = None, skip_same_id: bool = False, pivots: np.ndarray | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the k rows of ``collection`` least far from each row of ``queries``, ties by id.
 
     Both have (id, vector). The k-th distance in a query's own cell, or the one that counts of cells already promise, bounds which other cells it is paired with. Blocks of queries
@@ -197,16 +328,17 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, block: int = BLOC
     return search_cells(q, lambda _: c, cells, k, block, skip_same_id, tables)
 
 
-def search_cells(q: DataFrame, read: Callable[[list[int]], DataFrame], cells: Cells, k: int, block: int, skip_same_id: bool, tables: Tables) -> DataFrame:
+def search_cells(q: DataFrame, read: Callable[[list[int]], DataFrame], cells: Cells, k: int, block: int | None, skip_same_id: bool, tables: Tables) -> DataFrame:
     """``nearest`` of assigned queries; ``read`` gives the rows of the cells that are in reach, and may give more."""
     shape = "query_id long, id long, distance double"
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     compare = _best(k, skip_same_id)
+    anywhere = lambda df: df.withColumn("reach", F.lit(math.pi))
     if len(cells.pivots) == 1:
-        found = _meet(q.select("query_id", "vector", "cell"), read([0]), cells.rows, block, compare, shape)
+        found = _meet(anywhere(q), read, cells, block, compare, shape, HOME)
     else:
         q = tables.put(q)
-        found = tables.put(_meet(q.select("query_id", "vector", "cell"), read(_cells_of(q)), cells.rows, block, compare, shape))
+        found = tables.put(_meet(anywhere(q), read, cells, block, compare, shape, HOME))
         kth = found.withColumn("r", rank).where(F.col("r") == k).select("query_id", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("distance")))).alias("kth"))
         wanted = k + int(skip_same_id)
 
@@ -219,12 +351,11 @@ def search_cells(q: DataFrame, read: Callable[[list[int]], DataFrame], cells: Ce
 
         kind = q.schema["vector"].dataType.simpleString()
         bounded = q.join(kth, "query_id", "left").select("query_id", "vector", "cell", "kth").mapInArrow(promised, f"query_id long, vector {kind}, cell int, reach double")
-        others = tables.put(_reaching(bounded, cells, home=False))
-        found = found.unionByName(_meet(others, read(_cells_of(others)), cells.rows, block, compare, shape))
+        found = found.unionByName(_meet(tables.put(bounded), read, cells, block, compare, shape, OTHERS))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def self_distance(items: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+def self_distance(items: DataFrame, text: str = "text", block: int | None = None) -> DataFrame:
     """(id, distance) to the nearest other row: where the nearest row has the query's own text the second one counts, so an exact
     copy has 0 (O54). ``items`` has (id, vector, text)."""
     two = nearest(items, items, 2, block)
@@ -235,7 +366,7 @@ def self_distance(items: DataFrame, text: str = "text", block: int = BLOCK) -> D
     return pairs.groupBy(F.col("query_id").alias("id")).agg(F.when(same, one(2)).otherwise(one(1)).alias("distance"))
 
 
-def _within(queries: DataFrame, collection: DataFrame, least: float, block: int, compare: Callable, shape: str, pivots: np.ndarray | None) -> DataFrame:
+def _within(queries: DataFrame, collection: DataFrame, least: float, block: int | None, compare: Callable, shape: str, pivots: np.ndarray | None) -> DataFrame:
     """``compare`` of each block of queries with the blocks of the cells that may hold rows not further than ``least``."""
     tables = Tables(queries.sparkSession)
     q, c, cells = _dealt(queries, collection, pivots, tables)
@@ -244,43 +375,46 @@ def _within(queries: DataFrame, collection: DataFrame, least: float, block: int,
     return reach_cells(q, lambda _: c, cells, least, block, compare, shape, tables)
 
 
-def reach_cells(q: DataFrame, read: Callable[[list[int]], DataFrame], cells: Cells, least: float, block: int, compare: Callable, shape: str, tables: Tables) -> DataFrame:
-    if len(cells.pivots) == 1:
-        return _meet(q.select("query_id", "vector", "cell"), read([0]), cells.rows, block, compare, shape)
+def reach_cells(q: DataFrame, read: Callable[[list[int]], DataFrame], cells: Cells, least: float, block: int | None, compare: Callable, shape: str, tables: Tables) -> DataFrame:
     reach = math.acos(max(-1.0, min(1.0, 1.0 - least)))
-    asked = tables.put(_reaching(q.withColumn("reach", F.lit(reach)), cells, home=True))
-    return _meet(asked, read(_cells_of(asked)), cells.rows, block, compare, shape)
+    if len(cells.pivots) > 1:
+        q = tables.put(q)
+    return _meet(q.withColumn("reach", F.lit(reach)), read, cells, block, compare, shape, HOME if len(cells.pivots) == 1 else ALL)
+
+
+def _close(x: np.ndarray, y: np.ndarray, x4: np.ndarray, y4: np.ndarray, rows: np.ndarray, place: slice, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a tile that are not further than ``least``."""
+    i, j = np.nonzero(x4[rows] @ y4[place].T >= 1.0 - least - _room(x))
+    i, j = rows[i], place.start + j
+    near = _exact(x, y, i, j) <= least
+    return i[near], j[near]
 
 
-def near_pairs(items: DataFrame, least: float, block: int = BLOCK, pivots: np.ndarray | None = None) -> DataFrame:
+def near_pairs(items: DataFrame, least: float, block: int | None = None, pivots: np.ndarray | None = None) -> DataFrame:
     """(a, b) of different rows not further than ``least`` from each other, both ways."""
 
-    def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
-        x, y, ia, ib = matrix(a.column("vector")), matrix(b.column("vector")), a.column("query_id").to_numpy(), b.column("id").to_numpy()
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for at in range(0, len(x), 512):
-            i, j = np.nonzero(1.0 - x[at : at + 512] @ y.T <= least)
-            out.append((ia[i + at], ib[j]))
+    def near(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, reach: np.ndarray, tiles: Callable) -> pa.Table:
+        out, x4, y4 = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], x.astype(np.float32), y.astype(np.float32)
+        for rows, place in tiles(np.ones(len(x), bool)):
+            i, j = _close(x, y, x4, y4, rows, place, least)
+            out.append((ia[i], ib[j]))
         one, two = (np.concatenate(c) for c in zip(*out))
         return pa.table([pa.array(one[one != two]), pa.array(two[one != two])], names=["a", "b"])
 
     return _within(items, items, least, block, near, "a long, b long", pivots)
 
 
-def any_within(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table([pa.array([], pa.int64())], names=["id"])
-        x, y = matrix(a.column("vector")), matrix(b.column("vector"))
-        hit = np.concatenate([((1.0 - x[at : at + 512] @ y.T) <= least).any(axis=1) for at in range(0, len(x), 512)])
-        return pa.table([pa.array(a.column("query_id").to_numpy()[hit])], names=["id"])
+def any_within(least: float) -> Callable[..., pa.Table]:
+    def near(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, reach: np.ndarray, tiles: Callable) -> pa.Table:
+        left, x4, y4 = np.ones(len(x), bool), x.astype(np.float32), y.astype(np.float32)
+        for rows, place in tiles(left):
+            left[_close(x, y, x4, y4, rows, place, least)[0]] = False
+        return pa.table([pa.array(ia[~left].astype(np.int64))], names=["id"])
 
     return near
 
 
-def near_ids(queries: DataFrame, collection: DataFrame, least: float, block: int = BLOCK, pivots: np.ndarray | None = None) -> DataFrame:
+def near_ids(queries: DataFrame, collection: DataFrame, least: float, block: int | None = None, pivots: np.ndarray | None = None) -> DataFrame:
     """(id) of the queries that have a row of ``collection`` not further than ``least``: a block tells an id at most once."""
     return _within(queries, collection, least, block, any_within(least), "id long", pivots).distinct()
 

@@ -97,3 +97,28 @@ def test_greedy_windows_of_plain_rows(spark):
     assert sorted(r.id for r in neighbours.greedy_windows(df, 0.1, window=8).collect()) == want
     assert sorted(r.id for r in neighbours.greedy_select(df, 0.1, small=0).collect()) == want
     assert neighbours.greedy_windows(df.limit(0), 0.1).count() == 0
+
+
+def test_rows_move_once_for_each_block(spark, caplog):
+    """Every query reaches every cell of isotropic rows, and still goes to each block of cells but once."""
+    x = np.random.default_rng(8).standard_normal((600, 48))
+    df = frame(spark, x)
+    with caplog.at_level(logging.INFO, neighbours.log.name):
+        got = neighbours.nearest(df, df, 3, block=200, skip_same_id=True, pivots=unit(x[::10])).collect()
+    d = 1 - unit(x) @ unit(x).T
+    np.fill_diagonal(d, np.inf)
+    assert sorted((r.query_id, r["rank"], r.id) for r in got) == [(i, k + 1, j) for i in range(600) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3].tolist())]
+    home, others = (r.args for r in caplog.records if r.name == neighbours.log.name)
+    assert others[0] > 0.9 * 600 * 600
+    assert home[1] <= 600 and max(others[1:]) <= 600 * 6  # 36,000 by cells
+
+
+def test_ties_of_copies_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(4)
+    which = rng.integers(0, 5, 300)
+    x = rng.standard_normal((5, 16))[which]
+    df = frame(spark, x).repartition(7)
+    got = neighbours.nearest(df, df, 4, block=16, skip_same_id=True).collect() + neighbours.nearest(df, df, 4, block=16, skip_same_id=True, pivots=np.unique(unit(x), axis=0)).collect()
+    assert len(got) == 2 * 4 * 300
+    same = {g: np.flatnonzero(which == g).tolist() for g in range(5)}
+    assert all(r.id == [i for i in same[which[r.query_id]] if i != r.query_id][r["rank"] - 1] for r in got)
