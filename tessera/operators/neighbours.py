@@ -487,20 +487,10 @@ def _pass_of_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": out}, dtype="int64")
 
 
-def greedy_select(items: DataFrame, least: float, pairs: DataFrame | None = None, small: int = 200_000) -> DataFrame:
-    """The rows (id, rank, vector) that a pass in order of rank accepts, each further than ``least`` from all accepted before (O63 without
-    tags and quotas).
-
-    That is the lexicographically first maximal independent set of the graph of near pairs. In each round the rows without an open row before them are accepted and those
+def _refused(edges: DataFrame, ranks: DataFrame, small: int) -> list[DataFrame]:
+    """(id) of the rows that a pass refuses, by edges (a, b) from rows to later ones. In each round the rows without an open row before them are accepted and those
     near them refused; only edges between rows that are still open go on to the next round, written once. When at most ``small`` of them are left, which is counted, one task goes
-    through their rows in order. ``pairs`` (a, b: ids of near rows, both ways) may come from any similarity join; by default they are found exactly, by cells.
-    """
-    ensure_checkpoints(items.sparkSession)
-    if pairs is None:
-        pairs = near_pairs(items, least)
-    ranks = items.select("id", "rank")
-    up = pairs.join(ranks.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranks.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
-    edges = up.where("ra < rb").select("a", "b").distinct().checkpoint()
+    through their rows in order."""
     refused: list[DataFrame] = []
     while (left := edges.count()) > small:
         first = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
@@ -511,7 +501,82 @@ def greedy_select(items: DataFrame, least: float, pairs: DataFrame | None = None
         before = edges.groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("before"))
         rows = ranks.join(before, "id").coalesce(1).sortWithinPartitions("rank", "id").select("id", "before")
         refused.append(rows.mapInPandas(_pass_of_pairs, "id long"))
-    for gone in refused:
+    return refused
+
+
+def _edges(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
+    up = pairs.join(ranks.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranks.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
+    return up.where("ra < rb").select("a", "b").distinct().checkpoint()
+
+
+#: The first window of a selection, and of how many near pairs, by a sample of so many rows, a window is halved.
+WINDOW, PAIRS, SAMPLE = 8192, 1 << 22, 256
+
+
+def _many_pairs(rows: DataFrame, count: int, least: float, most: int) -> bool:
+    """Whether ``count`` rows have more than about ``most`` near pairs, told from a sample."""
+    if count * count <= most:
+        return False
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+
+    def number(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, reach: np.ndarray, tiles: Callable) -> pa.Table:
+        n, x4, y4 = 0, x.astype(np.float32), y.astype(np.float32)
+        for told, place in tiles(np.ones(len(x), bool)):
+            n += int(np.count_nonzero(x4[told] @ y4[place].T >= 1.0 - least))
+        return pa.table([pa.array([n], pa.int64())], names=["n"])
+
+    found = _within(some, rows, least, None, number, "n long", None).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return found * count > most * min(count, SAMPLE)
+
+
+def greedy_select(items: DataFrame, least: float, pairs: DataFrame | None = None, small: int = 200_000, window: int = WINDOW, most: int = PAIRS) -> DataFrame:
+    """The rows (id, rank, vector) that a pass in order of rank accepts, each further than ``least`` from all accepted before (O63 without
+    tags and quotas).
+
+    That is the lexicographically first maximal independent set of the graph of near pairs, which is decided in parallel rounds (``_refused``). ``pairs`` (a, b: ids of near rows, both
+    ways) may come from any similarity join. By default rows are taken in windows in order of (rank, id), each twice as long as the one before: those near to a row accepted
+    earlier go first, so that only pairs among the rest of the window are ever written. The more rows there are before a window, the fewer are left, so all
+    those pairs grow no faster than the rows. Where a window's rest has more than about ``most`` of them, it is halved.
+    """
+    ensure_checkpoints(items.sparkSession)
+    if pairs is not None:
+        ranks = items.select("id", "rank")
+        for gone in _refused(_edges(pairs, ranks), ranks, small):
+            items = items.join(gone, "id", "left_anti")
+        return items
+    tables = Tables(items.sparkSession)
+    usable = items.select("id", "rank", "vector").where(F.exists("vector", lambda x: x != 0))
+    ranked = tables.put(global_rank(usable, [F.asc("rank"), F.asc("id")], "_pos").select("id", F.col("_pos").alias("rank"), "vector"))
+    last, at = ranked.agg(F.max("rank")).first()[0] or 0, 0
+    refused: list[DataFrame] = []
+    kept: DataFrame | None = None
+    while at < last:
+        size = min(window, last - at)
+        rows = ranked.where((F.col("rank") > at) & (F.col("rank") <= at + size))
+        if kept is not None:
+            gone = tables.put(near_ids(rows.select("id", "vector"), kept, least))
+            refused.append(gone)
+            rows = tables.put(rows.join(gone, "id", "left_anti"))
+        whole = size
+        while size > 1 and _many_pairs(rows, rows.count(), least, most):
+            size = -(-size // 2)
+            rows = rows.where(F.col("rank") <= at + size)
+        gone = None
+        for told in _refused(_edges(near_pairs(rows.select("id", "vector"), least), rows.select("id", "rank")), rows.select("id", "rank"), small):
+            gone = told if gone is None else gone.unionByName(told)
+        if gone is not None:
+            gone = tables.put(gone)
+            refused.append(gone)
+            rows = rows.join(gone, "id", "left_anti")
+        at += size
+        if at < last:
+            new = tables.put(rows.select("id", "vector"))
+            kept = new if kept is None else kept.unionByName(new)
+            window = 2 * size if size == whole else size
+    if refused:
+        gone = refused[0]
+        for told in refused[1:]:
+            gone = gone.unionByName(told)
         items = items.join(gone, "id", "left_anti")
     return items
 

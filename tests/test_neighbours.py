@@ -122,3 +122,19 @@ def test_ties_of_copies_go_to_the_smaller_id(spark):
     assert len(got) == 2 * 4 * 300
     same = {g: np.flatnonzero(which == g).tolist() for g in range(5)}
     assert all(r.id == [i for i in same[which[r.query_id]] if i != r.query_id][r["rank"] - 1] for r in got)
+
+
+def test_selection_writes_few_pairs(spark, monkeypatch):
+    """Near pairs of rows that something before them refuses are never written, and windows of copies are halved."""
+    x = np.concatenate([clustered(60, 40, 3), np.repeat(clustered(3, 3, 9), 60, axis=0), clustered(60, 40, 3)])
+    df = frame(spark, x).withColumn("rank", F.col("id") % 7)
+    found, plain = [], neighbours.near_pairs
+
+    def counted(*args, **more):
+        found.append(plain(*args, **more).count())
+        return plain(*args, **more)
+
+    monkeypatch.setattr(neighbours, "near_pairs", counted)
+    got = sorted(r.id for r in neighbours.greedy_select(df, 0.05, window=64, most=600).collect())
+    assert got == sorted(r.id for r in neighbours.greedy_pass(df, 0.05).collect())
+    assert len(found) > 1 and sum(found) < 0.25 * plain(df.select("id", "vector"), 0.05).count()
