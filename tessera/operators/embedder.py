@@ -27,6 +27,15 @@ def features(texts: list[str | None], size: int = FEATURES) -> tuple[np.ndarray,
     return keys % size, n.astype(np.float64), np.searchsorted(keys // size, np.arange(len(texts) + 1))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, all lowest bytes first, then the next: small ones compress to about a byte each."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(told: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(told, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def dense(slots: np.ndarray, n: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """(texts, features): TF-IDF values, each text of unit length."""
     out = np.zeros((len(at) - 1, len(idf)))
@@ -65,7 +74,7 @@ def fit_embedder(df: DataFrame, text_col: str, rank: int = 64, size: int = FEATU
     """Of all rows: one pass counts in how many texts a feature occurs, ``power`` + 1 passes multiply a thin matrix by the corpus and its transpose.
 
     A task sums strips of features x (rank + over) over its rows; strips are added up by their number, each in a task of its own, so neither a task nor the driver, which makes the thin
-    matrix orthogonal, ever holds more than features x (rank + over). Null and empty texts have no features.
+    matrix orthogonal, ever holds more than features x (rank + over). The passes read the texts' features from a table of about two bytes each at most, as gaps and counts. Null and empty texts have no features.
     """
     tables = Tables(df.sparkSession)
     rows = df.select(F.col(text_col).alias("text"))
@@ -75,16 +84,18 @@ def fit_embedder(df: DataFrame, text_col: str, rank: int = 64, size: int = FEATU
             texts = batch.column("text").to_pylist()
             for first in range(0, len(texts), 64):
                 slots, n, at = features(texts[first : first + 64], size)
-                told = [pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(at, at[1:])], pa.binary()) for x, kind in ((slots, "<i4"), (n, "<f4"))]
-                yield pa.RecordBatch.from_arrays(told, names=["slots", "n"])
+                gaps = np.diff(slots, prepend=0)
+                gaps[at[:-1][np.diff(at) > 0]] = slots[at[:-1][np.diff(at) > 0]]  # a text's slots ascend; its first counts from 0
+                told = [pa.array([packed(x[a:b]) for a, b in zip(at, at[1:])], pa.binary()) for x in (gaps, n)]
+                yield pa.RecordBatch.from_arrays(told, names=["gaps", "n"])
 
-    table = tables.put(rows.mapInArrow(sparse, "slots binary, n binary"))
+    table = tables.put(rows.mapInArrow(sparse, "gaps binary, n binary"), compression="zstd")
 
     def read(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         told = batch.slice(first, 256)
-        slots = [np.frombuffer(x, "<i4") for x in told.column("slots").to_pylist()]
-        n = [np.frombuffer(x, "<f4") for x in told.column("n").to_pylist()]
-        return np.concatenate(slots).astype(np.int64), np.concatenate(n).astype(np.float64), np.cumsum([0, *map(len, slots)])
+        slots = [unpacked(x).cumsum() for x in told.column("gaps").to_pylist()]
+        n = [unpacked(x) for x in told.column("n").to_pylist()]
+        return np.concatenate(slots), np.concatenate(n).astype(np.float64), np.cumsum([0, *map(len, slots)])
 
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros(size, np.int64), 0

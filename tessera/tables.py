@@ -18,11 +18,11 @@ class Tables:
         self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
         self.number = 0
 
-    def put(self, df: DataFrame, *by: str) -> DataFrame:
-        """``df`` as written, in folders by the values of ``by``, so that a filter on them reads no more than it asks for."""
+    def put(self, df: DataFrame, *by: str, compression: str | None = None) -> DataFrame:
+        """``df`` as written, in folders by the values of ``by``, so that a filter on them reads no more than it asks for; ``compression`` names another than the session's."""
         self.number += 1
         path = f"{self.folder}/{self.number}"
-        df.write.partitionBy(*by).parquet(path)
+        df.write.partitionBy(*by).parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tables_path = path
         return out

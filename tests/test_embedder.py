@@ -1,5 +1,7 @@
 """The trained embedder against numpy's singular value decomposition, and in the mixture pipeline."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -57,3 +59,27 @@ def test_mixture_with_a_trained_embedder(spark):
     out = pipelines.build_mixture(mix, lambda p: parts[p["name"]], lambda df: model.embed(df, "text"), share=0.5).collect()
     kept = {r.data_id for r in out}
     assert set(range(8)) <= kept and {104, 105} <= kept and not kept & {100, 101, 102, 103}  # copies of the first part go
+
+
+def test_features_are_kept_small(spark, monkeypatch):
+    """The table that the passes read takes under two bytes for each feature of a text."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10), p=np.arange(26, 0, -1) / 351)) for _ in range(400)]
+    told = [" ".join(rng.choice(words, 300)) for _ in range(150)]
+    sizes = []
+
+    class Seen(embedder.Tables):
+        def put(self, df, *by, **more):
+            out = super().put(df, *by, **more)
+            path = out._tables_path.removeprefix("file:")
+            sizes.append(sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part-")))
+            return out
+
+    monkeypatch.setattr(embedder, "Tables", Seen)
+    embedder.fit_embedder(spark.createDataFrame([(t,) for t in told], "text string").coalesce(1), "text", rank=4, power=1)
+    assert len(sizes) == 1 and 0 < sizes[0] < 2 * len(embedder.features(told)[0])
+
+
+def test_numbers_are_packed_and_unpacked():
+    for numbers in ([], [0], [1, 255, 256, 65536, 2**32 - 1]):
+        assert embedder.unpacked(embedder.packed(np.array(numbers, np.int64))).tolist() == numbers
