@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,29 +18,64 @@ LONGEST, SLOTS = 3, 1 << 15
 _BREAK = 0x0A  # between texts and in place of white space runs' ends; no n-gram of it counts
 
 
-def gram_slots(texts: list[str], longest: int = LONGEST, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, offsets): the slot of every n-gram of the texts in lower case, white space and digits being one blank a run; n-grams of blanks only are left out."""
-    plain = [" ".join("".join(" " if c.isdigit() else c for c in t.lower()).split()) for t in texts]
-    size = np.array([len(t) + 1 for t in plain], np.int64)
-    codes = np.frombuffer("\n".join([*plain, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    row = np.repeat(np.arange(len(texts)), size)
-    found, owner = [], []
+@functools.cache
+def _blanks() -> np.ndarray:
+    """Which code points count as blanks: white space and digits."""
+    return np.array([c.isspace() or c.isdigit() for c in map(chr, range(sys.maxunicode + 1))])
+
+
+def _plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, texts' numbers): the texts in lower case, white space and digits being one blank a run, none at the ends, each with a break behind it."""
+    low = [t.lower() for t in texts]
+    size = np.array([len(t) + 1 for t in low], np.int64)
+    codes = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = _blanks()[codes]
+    codes = np.where(blank, np.uint32(0x20), codes)
+    ends = np.cumsum(size) - 1
+    codes[ends] = _BREAK
+    again = np.concatenate([[True], blank])[:-1]  # after a blank or a break
+    keep = ~(blank & again)
+    keep[ends] = True
+    row = np.repeat(np.arange(len(texts)), size)[keep]
+    codes = codes[keep]
+    last = (codes[:-1] == 0x20) & (codes[1:] == _BREAK)  # a text's last blank
+    keep = np.concatenate([~last, [True]]) if len(codes) else np.zeros(0, bool)
+    return codes[keep].astype(np.uint64), row[keep]
+
+
+def gram_keys(texts: list[str], longest: int = LONGEST, slots: int = SLOTS) -> np.ndarray:
+    """Text's number * slots + slot of every n-gram of the texts in lower case, white space and digits being one blank a run; that of no text, len(texts) * slots, for those of blanks
+    only or over two texts."""
+    codes, row = _plain(texts)
+    first, none = row * slots, len(texts) * slots
+    told = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    ends, blank = codes == _BREAK, codes <= 0x20
     part = np.zeros(len(codes), np.uint64)
-    good = np.ones(len(codes), bool)
-    letter = np.zeros(len(codes), bool)
+    bad, empty = np.zeros(len(codes), bool), np.ones(len(codes), bool)
+    out = []
     for n in range(1, longest + 1):
-        head = codes[n - 1 :]
-        part = part[: len(head)] * np.uint64(0x9E3779B97F4A7C15) + (head + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-        good = good[: len(head)] & (head != _BREAK)
-        letter = letter[: len(head)] | (head > 0x20)
-        mixed = part ^ (part >> np.uint64(29))
-        mixed = (mixed * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - int(slots).bit_length() + 1)
-        some = np.flatnonzero(good & letter)
-        found.append(mixed[some].astype(np.int64))
-        owner.append(row[some])
-    found, owner = np.concatenate(found), np.concatenate(owner)
+        part = part[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15)
+        part += told[n - 1 :]
+        bad = bad[: len(part)] | ends[n - 1 :]
+        empty = empty[: len(part)] & blank[n - 1 :]
+        mixed = part >> np.uint64(29)
+        mixed ^= part
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed >>= np.uint64(64 - int(slots).bit_length() + 1)
+        key = mixed.view(np.int64)
+        key += first[: len(part)]
+        key[bad | empty] = none
+        out.append(key)
+    return np.concatenate(out)
+
+
+def gram_slots(texts: list[str], longest: int = LONGEST, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, offsets): the slots of ``gram_keys`` by text."""
+    keys = gram_keys(texts, longest, slots)
+    keys = keys[keys < len(texts) * slots]
+    owner = keys // slots
     order = np.argsort(owner, kind="stable")
-    return found[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
+    return keys[order] % slots, np.searchsorted(owner[order], np.arange(len(texts) + 1))
 
 
 def _counts(batches: Iterator[pa.RecordBatch], longest: int, slots: int) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,11 @@
 
 A collection is dealt to cells, each row to the pivot of the least angle. Angles obey the triangle inequality, so a cell whose rows lie
 between the angles ``low`` and ``high`` from its pivot holds nothing nearer to a query than max(t - high, low - t), t being the query's angle to that pivot. A query
-searches its own cell first; other cells are compared with it only if their bound is within the k-th distance found so far. Nothing is lost; how much is
+searches its own cell first; other cells are compared with it only if their bound is within the k-th distance found so far. A row is also no nearer to the pivot of
+the query's cell than to its own, so it lies beyond the plane midway between the two: the query's angle to that plane is a second bound. Nothing is lost; how much is
 saved depends on the data: clustered rows leave most cells out, isotropic ones of many dimensions hardly any.
 
-Cells lie together in blocks. A query goes once to each block that holds a cell in its reach, and what is out of its reach there is left out within the task; so
+Cells lie together in blocks, near ones in the same. A query goes once to each block that holds a cell in its reach, and what is out of its reach there is left out within the task; so
 rows are moved as often as there are blocks, some 8, and not as there are cells.
 """
 
@@ -61,12 +62,21 @@ def _usable(df: DataFrame, name: str = "id") -> DataFrame:
 
 @dataclass
 class Cells:
-    """Pivots, and of each cell how many rows it has and between which angles from its pivot they lie."""
+    """Pivots, and of each cell how many rows it has and between which angles from its pivot they lie. ``nearest``: no row is nearer to another cell's pivot."""
 
     pivots: np.ndarray
     rows: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    nearest: bool = False
+
+    def beyond(self, some: np.ndarray, x: np.ndarray, own: np.ndarray, cosines: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """(queries, ``some`` cells): the plane midway between the pivots of the query's cell and of the other is out of reach. Pivots that hardly differ have no sure plane."""
+        named, at = np.unique(own, return_inverse=True)
+        apart = np.sqrt(np.maximum(2.0 - 2.0 * self.pivots[named] @ self.pivots[some].T, 0.0))
+        apart[apart < 1e-3] = np.inf
+        sure = np.where(reach + SLACK < math.pi / 2, np.sin(np.minimum(reach + SLACK, math.pi / 2)), np.inf)
+        return (x * self.pivots[own]).sum(axis=1)[:, None] - cosines > sure[:, None] * apart[at]
 
     def bounds(self, angles: np.ndarray) -> np.ndarray:
         """(queries, cells): nothing in the cell is at a lesser angle. Cells without rows are out of reach."""
@@ -88,7 +98,16 @@ def choose_pivots(collection: DataFrame, rows: int, per: int = ROWS_PER_PIVOT, m
     count = min(most, max(1, rows // max(1, per)))
     told = collection.orderBy(F.xxhash64("id"), "id").limit(count).select("vector").toArrow()
     units = matrix(told.column("vector"))
-    return np.unique(units, axis=0) if len(units) else np.zeros((0, 1))
+    return in_order(np.unique(units, axis=0)) if len(units) else np.zeros((0, 1))
+
+
+def in_order(points: np.ndarray) -> np.ndarray:
+    """The rows so that near ones lie together: halved again and again along the axis of most spread."""
+    if len(points) < 3:
+        return points
+    axis = points[:, points.var(axis=0).argmax()].argsort(kind="stable")
+    half = len(points) // 2
+    return np.concatenate([in_order(points[axis[:half]]), in_order(points[axis[half:]])])
 
 
 def assign(df: DataFrame, pivots: np.ndarray, columns: str) -> DataFrame:
@@ -107,7 +126,7 @@ def assign(df: DataFrame, pivots: np.ndarray, columns: str) -> DataFrame:
 def summary(cells: DataFrame, pivots: np.ndarray) -> Cells:
     """Counted from the assigned rows, one row a cell."""
     n = len(pivots)
-    out = Cells(pivots, np.zeros(n, np.int64), np.zeros(n), np.zeros(n))
+    out = Cells(pivots, np.zeros(n, np.int64), np.zeros(n), np.zeros(n), nearest=True)
     for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("a"), F.max("angle").alias("b")).collect():
         out.rows[r["cell"]], out.low[r["cell"]], out.high[r["cell"]] = r["n"], r["a"], r["b"]
     return out
@@ -151,7 +170,10 @@ def _met(cells: Cells, some: np.ndarray, x: np.ndarray, own: np.ndarray, reach:
     if which == HOME:
         return home & (cells.rows[some] > 0)
     part = Cells(cells.pivots[some], cells.rows[some], cells.low[some], cells.high[some])
-    told = part.bounds(angle(x @ part.pivots.T)) <= reach[:, None] + SLACK
+    cosines = x @ part.pivots.T
+    told = part.bounds(angle(cosines)) <= reach[:, None] + SLACK
+    if cells.nearest:
+        told &= ~cells.beyond(some, x, own, cosines, reach)
     return told & ~home if which == OTHERS else told
 
 
@@ -273,8 +295,16 @@ def _best(k: int, skip_same_id: bool) -> Callable[..., pa.Table]:
             few, room, x4, y4 = _first_copies(y, ib, k + 1), _room(x), x.astype(np.float32), y.astype(np.float32)
             for rows, place in tiles(np.ones(len(x), bool)):
                 own = np.arange(place.start, place.stop)[few[place]]
+                if not len(own):
+                    continue
                 rough = x4[rows] @ y4[own].T
-                hit = rough >= (1.0 - bound[rows] - room)[:, None]
+                least = 1.0 - bound[rows] - room
+                some = rough.max(axis=1) >= least  # most queries have nothing to gain here
+                if not some.all():
+                    rows, rough, least = rows[some], rough[some], least[some]
+                if not len(rows):
+                    continue
+                hit = rough >= least[:, None]
                 if len(own) > k and np.count_nonzero(hit) > 8 * k * len(rows):
                     if skip_same_id:
                         rough[ia[rows][:, None] == ib[own]] = -np.inf

@@ -3,7 +3,10 @@
 import os
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import embedder
 from tessera.plans import pipelines
@@ -83,3 +86,40 @@ def test_features_are_kept_small(spark, monkeypatch):
 def test_numbers_are_packed_and_unpacked():
     for numbers in ([], [0], [1, 255, 256, 65536, 2**32 - 1]):
         assert embedder.unpacked(embedder.packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_embedded_from_the_counted_features(spark):
+    """The table that comes with the model holds its vectors, and no text is read twice."""
+    told = [*texts(90), None, "", "  ", "river " * 3000]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def read(text: pd.Series) -> pd.Series:
+        seen.add(len(text))
+        return text
+
+    df = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(told)], "name string, text string").repartition(3)
+    model, table = embedder.fit_and_embed(df.withColumn("text", read("text")), "name", "text", rank=6, size=1 << 9)
+    assert seen.value == len(told)
+    got = {r.name: r.vector for r in table.collect()}
+    want = model.vectors(told)
+    assert len(got) == len(told)
+    assert np.array([got[f"t{i}"] for i in range(len(told))]) == pytest.approx(want, abs=1e-4)
+    assert not want[90:93].any() and want[93].any()
+    plain = embedder.fit_embedder(df, "text", rank=6, size=1 << 9)
+    assert model.strength == pytest.approx(plain.strength, rel=1e-5)
+
+
+def test_small_numbers_take_few_bytes():
+    assert len(embedder.packed(np.array([1, 2, 255]))) == 1 + 3
+    rows = [[1, 2], [], [70000, 3], [300], []]
+    column = pa.array([embedder.packed(np.array(r, np.int64)) for r in rows], pa.binary())
+    numbers, at = embedder.unpacked_rows(column.slice(1))
+    assert numbers.tolist() == [70000, 3, 300] and at.tolist() == [0, 0, 2, 3, 3]
+
+
+def test_texts_are_counted_in_bounded_stretches():
+    told = ["a" * 70_000, "b", "c" * 70_000, None, *["d"] * 130]
+    parts = [told[s] for s in embedder.stretches(told)]
+    assert sum(parts, []) == told and [len(p) for p in parts] == [3, 64, 64, 3]
+    assert not list(embedder.stretches([]))

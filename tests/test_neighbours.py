@@ -138,3 +138,44 @@ def test_selection_writes_few_pairs(spark, monkeypatch):
     got = sorted(r.id for r in neighbours.greedy_select(df, 0.05, window=64, most=600).collect())
     assert got == sorted(r.id for r in neighbours.greedy_pass(df, 0.05).collect())
     assert len(found) > 1 and sum(found) < 0.25 * plain(df.select("id", "vector"), 0.05).count()
+
+
+def spread(n, seed, d=24):
+    """Rows all over five directions, with little in the others."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.standard_normal((n, 5)), 0.05 * rng.standard_normal((n, d - 5))], axis=1)
+
+
+def test_planes_between_pivots_leave_cells_out(spark, caplog):
+    x = spread(1200, 6)
+    df = frame(spark, x)
+    with caplog.at_level(logging.INFO, neighbours.log.name):
+        got = neighbours.nearest(df, df, 2, block=150, skip_same_id=True, pivots=neighbours.in_order(np.unique(unit(x[::20]), axis=0))).collect()
+    d = 1 - unit(x) @ unit(x).T
+    np.fill_diagonal(d, np.inf)
+    assert sorted((r.query_id, r["rank"], r.id) for r in got) == [(i, k + 1, j) for i in range(1200) for k, j in enumerate(np.argsort(d[i], kind="stable")[:2].tolist())]
+    _, others = (r.args for r in caplog.records if r.name == neighbours.log.name)
+    assert others[0] < 0.16 * 1200 * 1200 and others[1] < 5 * 1200  # 0.19 and 5.7 by angles to pivots alone
+
+
+def test_planes_hold_for_pivots_that_hardly_differ(spark):
+    rng = np.random.default_rng(9)
+    heads = unit(rng.standard_normal((6, 12)))
+    pivots = np.unique(unit(np.concatenate([heads, heads + 1e-9, heads + 1e-5, heads + 2e-3])), axis=0)
+    x = np.concatenate([heads[rng.integers(0, 6, 300)] + w * rng.standard_normal((300, 12)) for w in (0, 1e-7, 1e-3, 0.3)])
+    df = frame(spark, x)
+    got = {(r.query_id, r.id): r.distance for r in neighbours.nearest(df, df, 1, block=128, skip_same_id=True, pivots=pivots).collect()}
+    d = 1 - unit(x) @ unit(x).T
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == 1200
+    assert [got[k] for k in sorted(got)] == pytest.approx(d.min(axis=1).tolist(), abs=1e-12)
+
+
+def test_pivots_in_order():
+    x = np.random.default_rng(2).standard_normal((77, 3))
+    told = neighbours.in_order(x)
+    assert sorted(map(tuple, told)) == sorted(map(tuple, x))
+    step = lambda y: np.linalg.norm(np.diff(y, axis=0), axis=1).mean()
+    assert step(told) < 0.8 * step(x)
+    same = np.ones((5, 3))
+    assert np.array_equal(neighbours.in_order(same), same) and len(neighbours.in_order(x[:0])) == 0
